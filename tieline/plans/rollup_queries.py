@@ -31,7 +31,7 @@ SELECT p.sender_id, p.recipient_id, p.n_emails, p.n_emails AS n_to, 0 AS n_cc, C
   CAST(p.n_commit_sent AS BIGINT) AS n_commit_sent, CAST(p.n_deliver_sent AS BIGINT) AS n_deliver_sent,
   CAST(p.n_propose_sent AS BIGINT) AS n_propose_sent, CAST(p.n_decision AS BIGINT) AS n_decision,
   CAST(p.n_action_required AS BIGINT) AS n_action_required, round(p.mean_sentiment, 6) AS mean_sentiment,
-  round(p.mean_body_words, 6) AS mean_body_words, round(p.mean_reply_latency_h, 6) AS mean_reply_latency_h,
+  round(p.mean_body_words, 6) AS mean_body_words, round(p.mean_reply_latency_h + 1e-9, 6) AS mean_reply_latency_h,
   round(p.mean_body_words - r.mean_body_words, 6) AS length_asymmetry,
   round(CASE WHEN r.n_commit_sent > 0 THEN p.n_request_sent / r.n_commit_sent END, 6) AS request_commit_ratio,
   {STAMP.format('p.first_email_date')} AS first_email_date, {STAMP.format('p.last_email_date')} AS last_email_date
@@ -44,7 +44,7 @@ def _(t):
     means = ["mean_sentiment", "mean_body_words", "mean_reply_latency_h", "length_asymmetry", "request_commit_ratio"]
     keep = [c for c in out.columns if c not in means and not c.endswith("_date")]
     return out.select(
-        *keep, *[r6(c, c) for c in means], stamp("first_email_date", "first_email_date"), stamp("last_email_date", "last_email_date")
+        *keep, *[r6(F.col(c) + 1e-9 if "latency" in c else c, c) for c in means], stamp("first_email_date", "first_email_date"), stamp("last_email_date", "last_email_date")
     )
 
 
@@ -80,7 +80,7 @@ SELECT a.sender, n AS n_emails_sent, CAST(d AS BIGINT) AS n_decision_carrying_se
  CAST(cm AS BIGINT) AS n_commitment_made_sent, round(pr, 6) AS pct_request_sent, round(pc, 6) AS pct_commit_sent,
  round(pd, 6) AS pct_deliver_sent, round(d / n, 6) AS pct_decision_carrying, round(ms, 6) AS mean_sentiment_sent,
  round(mw, 6) AS mean_body_words, round(mt, 6) AS mean_to_count, round(ti, 6) AS pct_thread_initiator,
- round(rl, 6) AS mean_reply_latency_received_hours, round(oh, 6) AS pct_off_hours, round(po, 6) AS politeness_baseline,
+ round(rl + 1e-9, 6) AS mean_reply_latency_received_hours, round(oh, 6) AS pct_off_hours, round(po, 6) AS politeness_baseline,
  round(hr, 6) AS hedge_rate, t.top AS top3_topics, e.top AS top3_entities, y AS most_active_year
 FROM a LEFT JOIN t USING (sender) LEFT JOIN e USING (sender) LEFT JOIN (SELECT * FROM y WHERE rn = 1) USING (sender)""")
 def _(t):
@@ -88,7 +88,7 @@ def _(t):
     lists = ["top3_topics", "top3_entities"]
     real = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
     keep = [c for c in out.columns if c not in lists + real]
-    return out.select(*keep, *[r6(c, c) for c in real], *[listed(c, c) for c in lists])
+    return out.select(*keep, *[r6(F.col(c) + 1e-9 if "latency" in c else c, c) for c in real], *[listed(c, c) for c in lists])
 
 
 @query("corpus_stats", "D6", f"""
@@ -349,11 +349,11 @@ def _(t):
 
 
 @query("external_edges", "C13 G1", """
-WITH dom AS (SELECT n_name AS place, lower(replace(n_name, '_', '')) || '.example' AS domain FROM nation WHERE n_regionkey < 3),
-o AS (SELECT sender, email_id, split_part(u.a, '@', 2) AS domain FROM mail, unnest(recipients_emails) AS u(a)),
-oo AS (SELECT sender AS person, o.domain, 'out' AS direction, count(*) AS weight FROM o JOIN dom ON dom.domain = o.domain GROUP BY 1, 2),
-ii AS (SELECT recipient AS person, dom.domain, 'in' AS direction, count(*) AS weight FROM mail_line JOIN dom USING (place) WHERE recipient IS NOT NULL GROUP BY 1, 2)
-SELECT * FROM oo UNION ALL SELECT * FROM ii""")
+WITH o AS MATERIALIZED (SELECT sender AS person, split_part(u.a, '@', 2) AS domain, count(*) AS weight FROM mail, unnest(recipients_emails) AS u(a) GROUP BY 1, 2),
+i AS MATERIALIZED (SELECT recipient AS person, lower(replace(place, '_', '')) || '.example' AS domain, count(*) AS weight FROM mail_line
+  WHERE recipient IS NOT NULL GROUP BY 1, 2),
+u AS (SELECT person, domain, 'out' AS direction, weight FROM o UNION ALL SELECT person, domain, 'in', weight FROM i)
+SELECT * FROM u WHERE list_contains((SELECT list(lower(replace(n_name, '_', '')) || '.example') FROM nation WHERE n_regionkey < 3), domain)""")
 def _(t):
     from tieline.operators.knowledge import external_edges
 

@@ -134,8 +134,11 @@ class Tables:
 
     @cached_property
     def mail_full(self) -> DataFrame:
-        """Mail with text, send-time and thread features."""
-        m = self.mail
+        """Mail with text, send-time and thread features.
+
+        The mail table feeds three branches of this plan, so it is persisted (it spills to disk).
+        """
+        m = self.mail.persist()
         return (
             m.join(self.doc_features, "doc_id")
             .join(thread_features(m), "email_id")
