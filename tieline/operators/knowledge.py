@@ -154,3 +154,23 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def cluster_context(labels: DataFrame, names: DataFrame, mail: DataFrame, label: str, letter: str, k: int = 3) -> DataFrame:
+    """Cluster id, name and the subjects of up to ``k`` representative mails other than the mail itself.
+
+    ``names``: label, topic_name, rep_ids (a short ordered list per cluster).  The representatives
+    are hydrated once per cluster, then attached to the mails as a short list.
+    """
+    reps = names.select(label, F.posexplode("rep_ids").alias("_pos", "email_id"))
+    hydrated = (
+        reps.join(mail.select("email_id", "subject"), "email_id")
+        .groupBy(label)
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", "email_id", "subject"))).alias("_reps"))
+    )
+    known = names.select(label, "topic_name").join(hydrated, label, "left")
+    rows = labels.where(F.col(label) >= 0).select("email_id", label).join(known, label, "left")
+    other = F.slice(F.filter("_reps", lambda r: r["email_id"] != F.col("email_id")), 1, k)
+    return rows.select(
+        "email_id", X.padded_id(F.col(label), letter).alias("topic_id"), "topic_name", F.transform(other, lambda r: r["subject"]).alias("examples")
+    )

@@ -1,7 +1,7 @@
 """Graph operators over edge tables ``(src, dst, weight)``.
 
-Every iterative operator keeps its state in a cached DataFrame, cuts lineage with a reliable
-checkpoint every few rounds and reads back only a row of counters per round.
+Every iterative operator keeps its state in a DataFrame, cuts lineage with a reliable checkpoint
+each round and reads back only a row of counters.
 """
 
 from __future__ import annotations
@@ -76,20 +76,18 @@ def density(edges: DataFrame) -> DataFrame:
 
 
 class _State:
-    """A cached iterate; replaces its predecessor and cuts lineage now and then."""
+    """The iterate of a loop.
+
+    Every round ends in a reliable checkpoint: the plan of the next round then starts from files,
+    however often the round refers to the state, and a lost executor costs one round at most.
+    """
 
     def __init__(self, df: DataFrame):
-        self.df = df.persist()
-        self.rounds = 0
+        self.df = cut_lineage(df)
 
     def step(self, df: DataFrame) -> DataFrame:
-        self.rounds += 1
-        new = (cut_lineage(df) if self.rounds % CUT_EVERY == 0 else df).persist()
-        self.old, self.df = self.df, new
-        return new
-
-    def settle(self) -> None:
-        self.old.unpersist()
+        self.df = cut_lineage(df)
+        return self.df
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
@@ -99,9 +97,11 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter:
     change and the mass on sinks; ranks never leave the cluster.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_w"))
-    links = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_w")).alias("share")).persist()
+    links = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_w")).alias("share"))
+    links = cut_lineage(links.repartition("src"))
     base = nodes(edges).join(out.select(F.col("src").alias("node"), F.lit(False).alias("sink")), "node", "left")
-    base = base.select("node", F.coalesce("sink", F.lit(True)).alias("sink")).persist()
+    base = base.select("node", F.coalesce("sink", F.lit(True)).alias("sink"))
+    base = cut_lineage(base)
     head = base.agg(F.count("*").alias("n"), F.count_if("sink").alias("sinks")).first()
     n = head["n"]
     if not n:
@@ -126,7 +126,6 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter:
             F.sum(F.abs(F.col("rank") - F.col("_before"))).alias("change"),
             F.sum(F.when(F.col("sink"), F.col("rank")).otherwise(0.0)).alias("sunk"),
         ).first()
-        state.settle()
         sink_mass = seen["sunk"]
         if seen["change"] < n * tol:
             break
@@ -139,9 +138,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Each round takes the smallest label among neighbours, then follows one label pointer, so
     long chains shrink geometrically.
     """
+    everyone = cut_lineage(nodes(edges))
     pairs = undirected(edges.withColumn("weight", F.lit(1)))
-    links = both_ways(pairs).select("src", "dst").persist()
-    state = _State(nodes(edges).select("node", F.col("node").alias("component")))
+    links = cut_lineage(both_ways(pairs).select("src", "dst"))
+    state = _State(everyone.select("node", F.col("node").alias("component")))
     for _ in range(max_rounds):
         labels = state.df
         near = (
@@ -158,7 +158,6 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         )
         new = state.step(new)
         moved = new.agg(F.count_if("_moved")).first()[0]
-        state.settle()
         if moved == 0:
             break
     return state.df.select("node", "component")
@@ -178,7 +177,6 @@ def _spread(seed: DataFrame, links: DataFrame, take) -> DataFrame:
         )
         new = state.step(new)
         moved = new.agg(F.count_if(~F.col("label").eqNullSafe(F.col("_old")))).first()[0]
-        state.settle()
         if moved == 0:
             return state.df.select("node", "label")
 
@@ -189,26 +187,33 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     Forward: every node takes the smallest label that reaches it.  Backward: within one
     colour, the nodes that reach the colour's own root form a component and are taken out.
     """
-    live_edges = edges.select("src", "dst").where("src <> dst").distinct().persist()
-    live = nodes(edges).persist()
-    done = None
+    live_edges = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
+    live = cut_lineage(nodes(edges))
+    # A node without edges on one side is a component of its own.
+    core = cut_lineage(live_edges.select(F.col("src").alias("node")).intersect(live_edges.select("dst")))
+    done = live.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
+    live = core
+    live_edges = cut_lineage(
+        live_edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(
+            core.withColumnRenamed("node", "dst"), "dst", "left_semi"
+        )
+    )
     for _ in range(max_rounds):
-        colour = _spread(live.select("node", F.col("node").alias("label")), live_edges, F.min).persist()
-        same = (
+        if live.isEmpty():
+            break
+        colour = _spread(live.select("node", F.col("node").alias("label")), live_edges, F.min)
+        same = cut_lineage(
             live_edges.join(colour.select(F.col("node").alias("src"), F.col("label").alias("_a")), "src")
             .join(colour.select(F.col("node").alias("dst"), F.col("label").alias("_b")), "dst")
             .where("_a = _b")
             .select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            .persist()
         )
         roots = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
         found = cut_lineage(
             _spread(roots, same, F.min).where("label is not null").select("node", F.col("label").alias("component"))
         )
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         live = cut_lineage(live.join(found, "node", "left_anti"))
-        if live.isEmpty():
-            break
         keep = live.select(F.col("node"))
         live_edges = cut_lineage(
             live_edges.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(
@@ -258,8 +263,9 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, sources: DataFrame | None = None, weighted: bool = False) -> DataFrame:
     """Shortest distances (source, node, distance) by rounds of frontier joins."""
-    links = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("_w")).persist()
-    seeds = sources if sources is not None else nodes(edges)
+    links = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1)).cast("double").alias("_w"))
+    links = cut_lineage(links)
+    seeds = sources if sources is not None else nodes(links)
     start = seeds.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance"), F.lit(True).alias("_new"))
     state = _State(start)
     while True:
@@ -277,15 +283,15 @@ def distances(edges: DataFrame, sources: DataFrame | None = None, weighted: bool
         )
         new = state.step(new)
         moved = new.agg(F.count_if("_new")).first()[0]
-        state.settle()
         if moved == 0:
             return state.df.select("source", "node", "distance")
 
 
 def path_summary(edges: DataFrame) -> DataFrame:
     """Weak components, the largest one's size, its diameter and mean undirected distance."""
-    comp = components(edges).persist()
-    sizes = comp.groupBy("component").agg(F.count("*").alias("size")).persist()
+    edges = cut_lineage(edges)
+    comp = components(edges)
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
     n_comp = sizes.agg(F.count("*")).scalar()
     biggest = sizes.orderBy(F.desc("size"), "component").limit(1)
     inside = comp.join(biggest.select("component"), "component", "left_semi").select("node")
@@ -310,10 +316,10 @@ def betweenness(
     """
     if distance == "inverse":
         edges = edges.withColumn("weight", 1.0 / F.col("weight"))
-    links = edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")).persist()
-    everyone = nodes(edges).persist()
+    links = cut_lineage(edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    everyone = cut_lineage(nodes(links))
     n = everyone.count()
-    dist = cut_lineage(distances(links, sources if sources is not None else everyone, weighted=True))
+    dist = distances(links, sources if sources is not None else everyone, weighted=True)
     ahead = dist.select("source", F.col("node").alias("dst"), F.col("distance").alias("_to"))
     close = F.abs(F.col("distance") + F.col("weight") - F.col("_to")) <= 1e-9 * (1.0 + F.col("_to"))
     dag = cut_lineage(
@@ -321,7 +327,7 @@ def betweenness(
         .join(ahead, ["source", "dst"])
         .where(close)
         .select("source", F.col("src").alias("u"), F.col("dst").alias("v"))
-    ).persist()
+    )
 
     def series(first: DataFrame, step) -> DataFrame:
         """Sum of a row vector pushed through the path graph until nothing is left."""
@@ -348,7 +354,7 @@ def betweenness(
         dag.join(sigma.select("source", F.col("node").alias("u"), F.col("value").alias("_su")), ["source", "u"])
         .join(sigma.select("source", F.col("node").alias("v"), F.col("value").alias("_sv")), ["source", "v"])
         .select("source", "u", "v", (F.col("_su") / F.col("_sv")).alias("share"))
-    ).persist()
+    )
 
     def backward(cur: DataFrame) -> DataFrame:
         return (
@@ -391,7 +397,7 @@ def modularity(pairs: DataFrame, member: DataFrame, resolution: float = 1.0) ->
 
 
 def louvain(
-    edges: DataFrame, resolution: float = 1.0, max_levels: int = 10, max_rounds: int = 12, seed: int = 42
+    edges: DataFrame, resolution: float = 1.0, max_levels: int = 4, max_rounds: int = 4, seed: int = 42
 ) -> DataFrame:
     """Communities (node, community) by distributed local moves and contraction.
 
@@ -401,18 +407,18 @@ def louvain(
     """
     graph = cut_lineage(both_ways(undirected(edges)).withColumn("weight", F.col("weight").cast("double")))
     total = graph.agg(F.sum("weight")).first()[0]
-    member = cut_lineage(nodes(edges).select("node", F.col("node").alias("community")))
+    member = cut_lineage(nodes(graph).select("node", F.col("node").alias("community")))
     if not total:
         return member
     for level in range(max_levels):
-        strength = graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")).persist()
-        links = graph.where("src <> dst").persist()
+        strength = graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+        links = graph.where("src <> dst")
         state = _State(strength.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("_moved")))
         any_move = False
         quiet = 0
         for rnd in range(2 * max_rounds):
             cur = state.df.select("node", "k", "community")
-            mass = cur.groupBy("community").agg(F.sum("k").alias("mass"))
+            mass = cur.groupBy("community").agg(F.sum("k").alias("mass"), F.count("*").alias("size"))
             toward = (
                 links.join(cur.select(F.col("node").alias("dst"), "community"), "dst")
                 .groupBy(F.col("src").alias("node"), "community")
@@ -429,7 +435,9 @@ def louvain(
             mine = F.col("community") == F.col("_own")
             other = F.col("mass") - F.when(mine, F.col("k")).otherwise(0.0)
             gain = F.col("link") - resolution * F.col("k") * other / total
-            best = option.groupBy("node").agg(
+            # Two single nodes must not swap places: only the larger label may join the smaller.
+            swap = (F.col("size") == 1) & ~mine & (F.col("community") > F.col("_own"))
+            best = option.where(~swap).groupBy("node").agg(
                 F.max_by("community", F.struct(F.round(gain, 9), F.col("community"))).alias("_best"),
                 F.max(F.round(gain, 9)).alias("_top"),
                 F.max(F.when(mine, F.round(gain, 9))).alias("_keep"),
@@ -444,7 +452,6 @@ def louvain(
             )
             new = state.step(new)
             moved = new.agg(F.count_if("_moved")).first()[0]
-            state.settle()
             any_move = any_move or moved > 0
             quiet = 0 if moved else quiet + 1
             if quiet == 2:

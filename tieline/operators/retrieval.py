@@ -297,3 +297,62 @@ def guarded_sql(spark, statement: str, cap: int = 200) -> DataFrame:
     page = spark.sql(text).limit(cap + 1)
     n = page.agg(F.count("*")).scalar()
     return page.limit(cap).withColumn("truncated", n > cap)
+
+
+def profiles(people: DataFrame, parts: Sequence[DataFrame], name: str | None = None) -> DataFrame:
+    """Directory rows with every per-name table left-joined; one name or all."""
+    out = people if name is None else people.where(F.col("name") == name)
+    for part in parts:
+        out = out.join(part, "name", "left")
+    return out
+
+
+def backfill(hits: DataFrame, full: DataFrame, key: str, column: str) -> DataFrame:
+    """Fills a column missing on retrieved rows from the full table."""
+    side = full.select(key, F.col(column).alias("_full"))
+    return hits.join(side, key, "left").withColumn(column, F.coalesce(column, "_full", F.lit(""))).drop("_full")
+
+
+def pick_candidate(df: DataFrame, candidates: str, wanted: Column) -> DataFrame:
+    """The first list element whose ``dataset_id`` is the wanted one; rows without it are dropped."""
+    hit = F.get(F.filter(candidates, lambda x: x["dataset_id"] == wanted), F.lit(0))
+    return df.withColumn("candidate", hit).where("candidate is not null")
+
+
+def decisions_between(mail: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
+    """Oldest ``n`` decision mails in an inclusive date range."""
+    day = F.col("date").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    return mail.where(day & F.col("decision_carrying")).orderBy("date", "email_id").limit(n)
+
+
+def mails_of_person(mail: DataFrame, part: str, n: int = 10) -> DataFrame:
+    """Newest ``n`` mails sent by or to anyone whose name holds ``part``."""
+    low = part.lower()
+    hit = F.lower("sender").contains(low) | F.exists("recipients", lambda r: F.lower(r).contains(low))
+    return mail.where(hit).orderBy(F.desc("date"), "email_id").limit(n)
+
+
+def with_fallback(queries: DataFrame, direct: DataFrame, fallback, key: str) -> DataFrame:
+    """Direct rows per query; queries without any go to ``fallback``.  Adds ``used_fallback``."""
+    left = queries.join(direct.select(key), key, "left_anti")
+    return direct.withColumn("used_fallback", F.lit(False)).unionByName(
+        fallback(left).withColumn("used_fallback", F.lit(True)), allowMissingColumns=True
+    )
+
+
+def embedded_label(text: Column) -> Column:
+    """Label after ``[/INST] Category:`` up to a bracket or line end; NULL when absent."""
+    return F.nullif(F.trim(F.regexp_extract(text, r"(?i)\[/INST\]\s*Category:\s*([^(\n\r<\[]+)", 1)), F.lit(""))
+
+
+def zip_answers(df: DataFrame, key: str, questions: str, answers: str) -> DataFrame:
+    """(key, pos, question, answer): lists zipped, missing answers as "", blank questions dropped."""
+    z = df.select(key, F.posexplode(F.arrays_zip(F.col(questions).alias("q"), F.col(answers).alias("a"))).alias("pos", "z"))
+    out = z.select(key, "pos", F.trim(F.coalesce("z.q", F.lit(""))).alias("question"), F.trim(F.coalesce("z.a", F.lit(""))).alias("answer"))
+    return out.where("question <> ''")
+
+
+def visible_to(name: str, broadcast: str = "*") -> Column:
+    """A message is visible to its sender, its recipients and, when broadcast, to everyone."""
+    everyone = (F.size("recipients") == 1) & (F.get("recipients", F.lit(0)) == broadcast)
+    return everyone | (F.col("sender") == name) | F.array_contains("recipients", name)

@@ -78,14 +78,14 @@ def cosine_top_k(
     narrow = items.where(F.col(vec).isNotNull()).select(item, vec)
     found = None
     for keys, matrix in _blocks(queries, query, qvec):
-        near = narrow.mapInArrow(_nearest(keys, matrix, k, item, vec, query), schema)
+        near = narrow.mapInArrow(_nearest(keys, matrix, k, item, vec, query, _arrow(fields[query]), _arrow(fields[item])), schema)
         found = near if found is None else found.unionByName(near)
     if found is None:
         found = items.sparkSession.createDataFrame([], schema)
     return top_per_key(found, [query], [F.desc("similarity"), F.col(item)], k)
 
 
-def _nearest(keys, matrix, k, item, vec, query):
+def _nearest(keys, matrix, k, item, vec, query, query_type, item_type):
     def scan(batches):
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(keys)
         for batch in batches:
@@ -103,7 +103,8 @@ def _nearest(keys, matrix, k, item, vec, query):
                 best[q] = (s, i)
         rows = [(keys[q], i, float(s)) for q in range(len(keys)) for s, i in zip(*best[q])]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=[query, item, "similarity"])
+            kinds = (query_type, item_type, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[query, item, "similarity"])
 
     return scan
 

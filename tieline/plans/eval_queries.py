@@ -83,7 +83,7 @@ def _(t):
 
 @query("min_max_scores", "E16", """
 SELECT name, round((balance - (SELECT min(balance) FROM person)) / (SELECT max(balance) - min(balance) FROM person), 6) AS balance,
- round(1 - (ln(1 + level) - (SELECT min(ln(1 + level)) FROM person)) / (SELECT max(ln(1 + level)) - min(ln(1 + level)) FROM person), 6) AS level, 0.0 AS flat FROM person""")
+ round(1 - (ln(1 + level) - (SELECT min(ln(1 + level)) FROM person)) / (SELECT max(ln(1 + level)) - min(ln(1 + level)) FROM person), 6) AS level, CAST(0 AS DOUBLE) AS flat FROM person""")
 def _(t):
     p = t.person.select("name", "balance", F.col("level").cast("double").alias("level"), F.lit(7.0).alias("flat"))
     out = scoring.min_max(p, ["balance", "level", "flat"], invert=["level"], log=["level"])
@@ -127,7 +127,7 @@ def _(t):
 @query("weight_sweep", "J7", BLEND_SQL + """
 , r AS (SELECT w, avg(CAST(a.c + w * a.s > b.c + w * b.s AS INT)) AS acc, count(*) AS n FROM staff_pair JOIN p a ON a.name = superior
   JOIN p b ON b.name = subordinate, (SELECT unnest([0.5, 1.0, 1.5, 2.0, 2.5, 3.0]) AS w) GROUP BY w)
-SELECT w AS weight, round(acc, 6) AS accuracy, n, row_number() OVER (ORDER BY acc DESC, w) = 1 AS best FROM r""")
+SELECT CAST(w AS DOUBLE) AS weight, round(acc, 6) AS accuracy, n, row_number() OVER (ORDER BY acc DESC, w) = 1 AS best FROM r""")
 def _(t):
     out = scoring.weight_sweep(staff_people(t), scoring.dominance_pairs(t.staff))
     return out.select("weight", r6("accuracy", "accuracy"), "n", "best")
@@ -314,7 +314,7 @@ def _(t):
 
 @query("category_rates", "D22", RUN_SQL + """
 SELECT category, count(*) AS n, count(*) FILTER (ok) AS n_passed, round(avg(CAST(ok AS INT)), 6) AS pass_rate,
- CASE category WHEN 'click' THEN 0.65 WHEN 'view' THEN 0.5 ELSE 0.0 END AS threshold, avg(CAST(ok AS INT)) >= CASE category WHEN 'click' THEN 0.65 WHEN 'view' THEN 0.5 ELSE 0.0 END AS meets_threshold,
+ CAST(CASE category WHEN 'click' THEN 0.65 WHEN 'view' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS threshold, avg(CAST(ok AS INT)) >= CASE category WHEN 'click' THEN 0.65 WHEN 'view' THEN 0.5 ELSE 0.0 END AS meets_threshold,
  round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(max(ms), 6) AS max_ms FROM r GROUP BY category""")
 def _(t):
     out = E.category_rates(runs(t), {"click": 0.65, "view": 0.5})
@@ -390,7 +390,7 @@ def _(t):
 @query("enrichment_quality", "D33 H33", """
 WITH b AS (SELECT md5(substr(text, 1, 40)) AS h, length(text) AS n, quality AS c, toxic FROM documents JOIN labels USING (doc_id))
 SELECT count(*) AS rows, round(100.0 * count(*) FILTER (toxic = 0) / count(*), 6) AS pct_populated, round(100.0 * count(*) FILTER (c = 1) / count(*), 6) AS pct_heuristic,
- round(100.0 * count(DISTINCT h) FILTER (toxic = 0) / count(*) FILTER (toxic = 0), 6) AS pct_unique, round(avg(32) FILTER (toxic = 0), 6) AS mean_length, 0.0 AS stdev_length, 32.0 AS median_length FROM b""")
+ round(100.0 * count(DISTINCT h) FILTER (toxic = 0) / count(*) FILTER (toxic = 0), 6) AS pct_unique, round(avg(32) FILTER (toxic = 0), 6) AS mean_length, CAST(0 AS DOUBLE) AS stdev_length, CAST(32 AS DOUBLE) AS median_length FROM b""")
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select(
         F.when(F.col("toxic") == 0, F.md5(F.substring("text", 1, 40))).otherwise("  ").alias("role_summary"), F.col("quality").alias("confidence"),
@@ -451,7 +451,7 @@ def _(t):
 , x AS (SELECT doc_id, w, sum(p) AS p, sum(g) AS g FROM (SELECT doc_id, unnest(a) AS w, 1 AS p, 0 AS g FROM tk UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM tk) GROUP BY ALL),
 s AS (SELECT doc_id, sum(p) AS p, sum(g) AS g, sum(least(p, g)) AS same FROM x GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(p, 0) AS BIGINT) AS n_pred, CAST(coalesce(g, 0) AS BIGINT) AS n_gold, CAST(coalesce(same, 0) AS BIGINT) AS n_same,
- round(CASE WHEN s.doc_id IS NULL THEN 1.0 WHEN same = 0 THEN 0.0 ELSE 2.0 * same / (p + g) END, 6) AS f1 FROM tk LEFT JOIN s USING (doc_id)""")
+ CAST(round(CASE WHEN s.doc_id IS NULL THEN 1.0 WHEN same = 0 THEN 0.0 ELSE 2.0 * same / (p + g) END, 6) AS DOUBLE) AS f1 FROM tk LEFT JOIN s USING (doc_id)""")
 def _(t):
     out = overlap.token_f1(paired_texts(t), "doc_id", F.col("pred"), F.col("gold"))
     return out.select("doc_id", "n_pred", "n_gold", "n_same", r6("f1", "f1"))
