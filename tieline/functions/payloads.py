@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S)
 _TOKEN = re.compile(r'\\.|"(?:\\.|[^"\\])*(?:"|$)|[{}]', re.S)
@@ -41,6 +41,6 @@ def parse_object(text: str | None) -> str | None:
     return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json_object(texts: pd.Series) -> pd.Series:
     return texts.map(parse_object, na_action="ignore")
