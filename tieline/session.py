@@ -39,8 +39,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that an iterative plan stays short and survives executor loss."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared work folder and go on from there.
+
+    An iterative plan stays short and survives executor loss.  Unlike a checkpointed plan the
+    table carries true sizes, so small iterates are broadcast, and no constraints inherited from
+    earlier rounds, whose inference grows from round to round.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
