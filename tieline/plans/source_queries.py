@@ -53,8 +53,9 @@ def _(t):
 
 
 @query("verdicts", "A10 D20", """
-SELECT CAST(user_id AS VARCHAR) AS scenario, event_type AS condition, u.d AS dimension, round(CASE u.d WHEN '_mean' THEN round(avg(value), 3) WHEN '_turn_flag_count' THEN 0 ELSE max(value) END, 6) AS score
-FROM events, unnest(['clarity', '_mean', '_turn_flag_count']) AS u(d) GROUP BY ALL""")
+WITH g AS (SELECT CAST(user_id AS VARCHAR) AS scenario, event_type AS condition, max(value) AS hi, round(avg(value), 3) AS mean FROM events GROUP BY ALL)
+SELECT scenario, condition, 'clarity' AS dimension, round(hi, 6) AS score FROM g UNION ALL SELECT scenario, condition, '_mean', round(mean, 6) FROM g
+UNION ALL SELECT scenario, condition, '_turn_flag_count', 0 FROM g""")
 def _(t):
     path = work_dir(t.spark, "verdict")
     v = t.events.groupBy("user_id", "event_type").agg(F.max("value").alias("hi"), F.round(F.avg("value"), 3).alias("mean_score"))
