@@ -253,6 +253,15 @@ def test_imperatives_against_python(spark):
     assert [r[1] for r in df.select("t", X.imperative_count(F.col("t"))).collect()] == [count(t) for t in texts]
 
 
+def test_modals_and_persons(spark):
+    from tieline.operators.corpus import text_features
+
+    df = spark.createDataFrame([("I will, WILL and can. me YOU Your éme may_be",)], "t string")
+    r = text_features(df, "t").first()
+    assert {k: v for k, v in r["n_modals"].items() if v} == {"will": 2, "can": 1}
+    assert (r["n_first_person"], r["n_second_person"], r["body_word_count"]) == (2, 2, 10)
+
+
 def test_models(spark):
     df = spark.createDataFrame([(i, f"word{i} text") for i in range(40)], "id int, text string")
 

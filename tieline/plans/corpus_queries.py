@@ -277,10 +277,11 @@ def _(t):
 
 @query("modal_counts", "H2", rf"""
 SELECT doc_id, m AS modal, len(list_filter(w, lambda x: x = m)) AS n
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+FROM (SELECT doc_id, regexp_extract_all(lower(text || ' We CAN, may will may_x'), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
  unnest(['will', 'would', 'should', 'must', 'could', 'may', 'might', 'can', 'shall']) AS u(m)""")
 def _(t):
-    d = t.documents.select("doc_id", F.explode(X.modal_counts(F.col("text"))).alias("modal", "n"))
+    body = F.concat("text", F.lit(" We CAN, may will may_x"))
+    d = t.documents.select("doc_id", F.explode(X.modal_counts(body)).alias("modal", "n"))
     return d.withColumn("n", F.col("n").cast("bigint"))
 
 

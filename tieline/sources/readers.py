@@ -108,9 +108,10 @@ def read_labelled_sentences(spark: SparkSession, corpus: str, annotation: str, t
         .schema(f"listno string, annotation array<struct<labels: struct<{fields}>>>").load(annotation)
     )
     per = notes.select(F.trim("listno").alias("listno"), F.explode("annotation.labels").alias("l"))
-    pairs = F.flatten(
-        F.array(*[F.transform(F.coalesce(F.col(f"l.{t}"), F.array().cast(mark)), lambda x, a=a: F.struct(x["_id"].alias("id"), F.lit(a).alias("act"))) for t, a in tags.items()])
-    )
+    def tagged(tag: str, act: str):
+        return F.transform(F.coalesce(F.col(f"l.{tag}"), F.array().cast(mark)), lambda x: F.struct(x["_id"].alias("id"), F.lit(act).alias("act")))
+
+    pairs = F.flatten(F.array(*[tagged(t, a) for t, a in tags.items()]))
     acts = (
         per.select("listno", F.inline(pairs))
         .groupBy(F.concat_ws("/", "listno", "id").alias("sentence_id"))
