@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.functions import text as X
 from tieline.operators.ordering import top_per_key
+from tieline.session import cut_lineage
 
 
 def random_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -41,11 +42,12 @@ def bucketed(mail: DataFrame, topics: DataFrame, n_decision: int = 5, n_topic: i
     width = 3
     on_topic = base.select("sender", "email_id", "body_word_count", F.explode("_t").alias("topic")).join(ranked, ["sender", "topic"])
     pool = top_per_key(on_topic, ["sender", "_i"], order, n_decision + width * n_topic, "_r")
+    # Each step reads the rows taken so far twice; a written table keeps that from multiplying.
+    taken, pool = cut_lineage(taken), cut_lineage(pool)
     for i in range(width):
         part = pool.where(F.col("_i") == i).join(taken, ["sender", "email_id"], "left_anti")
-        taken = taken.unionByName(
-            top_per_key(part, ["sender"], order, n_topic).select("sender", "email_id", F.lit(f"topic_{i + 1}").alias("bucket"))
-        )
+        more = top_per_key(part, ["sender"], order, n_topic).select("sender", "email_id", F.lit(f"topic_{i + 1}").alias("bucket"))
+        taken = cut_lineage(taken.unionByName(more))
     rest = top_per_key(base, ["sender"], order, n_decision + width * n_topic + n_longest, "_r").join(taken, ["sender", "email_id"], "left_anti")
     return taken.unionByName(top_per_key(rest, ["sender"], order, n_longest).select("sender", "email_id", F.lit("longest").alias("bucket")))
 
