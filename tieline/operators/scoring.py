@@ -54,6 +54,7 @@ def composite(
     tiers: int = 5,
 ) -> DataFrame:
     """Adds ``composite_score`` (weighted sum of normalised features) and ``tier``."""
+    features = features.persist()  # read for the bounds, the scores and the tier edges
     scaled = min_max(features, weights, invert, log)
     scored = scaled.select("node", weighted_sum(weights).alias("composite_score"))
     return quantile_tiers(features.join(scored, "node"), "composite_score", tiers)
