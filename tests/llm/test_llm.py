@@ -1,0 +1,374 @@
+"""Training-data operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
+
+import base64
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers as public
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tieline.llm import chat, html_text, licenses, packing, pseudonyms, quality, queries, simhash, token_files, topk
+from tieline.llm.eliasfano import EliasFano
+from tieline.llm.subwords import TwoTierBPE, library_encoder
+from tieline.session import work_dir
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", " ", "one", "  two  blanks ", "a\n b\x1c c d　e", "<|endoftext|> x", "aé漢字🙂 !!", "ab" * 3000, "the same text", "the same text", "x " * 5000]
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, start string, fps string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), "clash", "clash") for i, t in enumerate(ODD)]
+    rows += [(3, "one", "en", "s", 3, "x", "y"), (None, "no id", None, None, None, None, None), (None, "no id", None, None, None, None, None), (7, "other text of seven", "en", "s", 1, "", "")]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def both(docs, real):
+    return [(docs, [(r["doc_id"], r["text"] or "") for r in docs.collect()]), (real, [(r["doc_id"], r["text"] or "") for r in real.collect()])]
+
+
+def ids_of(texts, end):
+    tok = Tokenizer.from_file(queries.TOKENIZER)
+    return [[*tok.encode(t, add_special_tokens=False).ids, end] for t in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+def test_packing(spark, docs, real):
+    for df, rows in both(docs, real):
+        want = Counter()
+        for (d, _), ids in zip(rows, ids_of([t for _, t in rows], 1), strict=True):
+            want[d, len(ids), crc(ids[:2048])] += 1
+        got = packing.pack(df, queries.TOKENIZER, group_rows=7).collect()
+        assert Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in got if r["start"] == 0) == want
+        pieces = sum(-(-n // 2048) * c for (_, n, _), c in want.items())
+        assert len(got) == pieces
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in sequences.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert sum(r["length"] for r in got) > 0.9 * 2048 * (len(sequences) - 1)
+    assert packing.pack(empty(spark), queries.TOKENIZER).count() == 0
+
+
+def test_shortest_pack_first():
+    assert packing.shortest_pack_first({5: 2, 3: 3, 2: 1}, 8) == [((5, 3), 2), ((3, 2), 1)]
+    assert packing.shortest_pack_first({}, 8) == []
+
+
+def test_token_files(spark, docs, real):
+    for df, rows in both(docs, real):
+        path = work_dir(spark, "test-ids")
+        token_files.write_shards(df, path, queries.TOKENIZER, shards=5)
+        got = sorted(token_files.read_documents(spark, path, at_once=7).collect(), key=lambda r: r["start"])
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        at = 0
+        for r, (d, _), ids in zip(got, rows, ids_of([t for _, t in rows], 0), strict=True):
+            assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, at, len(ids), crc(ids))
+            at += len(ids)
+    path = work_dir(spark, "test-ids")
+    token_files.write_shards(empty(spark), path, queries.TOKENIZER)
+    assert token_files.read_documents(spark, path).count() == 0
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 0), (1, 0), (1, 9), (1000, 50), (3000, 10**9), (5000, 5000)):
+        values = np.sort(rng.integers(0, top + 1, n))
+        code = EliasFano.from_bytes(EliasFano.of(values, top).to_bytes())
+        assert code.window(0, n).tolist() == values.tolist()
+        assert [code.select(i) for i in range(0, n, 97)] == values[::97].tolist()
+        assert code.window(n // 2, 13).tolist() == values[n // 2 : n // 2 + 13].tolist()
+
+
+def test_bpe(spark, docs, real):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
+    known = tiktoken.Encoding("known", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    from tieline.llm import bpe
+
+    for df, rows in both(docs, real):
+        want = Counter()
+        for d, t in rows:
+            ids = known.encode_ordinary(t)
+            want[d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+        assert Counter(map(tuple, bpe.encoding_digests(df, queries.RANKS).collect())) == want
+    got = {r["doc_id"]: r for r in bpe.encode_documents(real, queries.RANKS).collect()}
+    assert all(bytes(got[r["doc_id"]]["decoded"]).decode() == r["text"] for r in real.collect())
+    assert bpe.encoding_digests(empty(spark), queries.RANKS).count() == 0
+
+
+def test_encoders_on_every_kind_of_character():
+    tok, mine = Tokenizer.from_file(queries.TOKENIZER), library_encoder(queries.TOKENIZER)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
+    known, two = tiktoken.Encoding("known", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}), TwoTierBPE(ranks)
+    for c in [*range(0, 0x3100), *range(0xFE00, 0x10100), *range(0x1F300, 0x1F400)]:
+        t = f"a{chr(c)}b  {chr(c)}1 {chr(c)} {chr(c)}{chr(c)}, x'{chr(c)}"
+        assert np.frombuffer(mine(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert two.encode(t) == known.encode_ordinary(t)
+
+
+def fingerprint(text, n=3):
+    words = text.encode().lower().split()
+    if not words:
+        return 0
+    grams = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, bits=2):
+    """Smallest id of each fingerprint's group, by comparing all pairs."""
+    root = {f: f for f in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if a < b and bin(a ^ b).count("1") <= bits:
+                root[find(a)] = find(b)
+    least = {}
+    for f, i in prints.items():
+        least[find(f)] = min(least.get(find(f), 2**63), i)
+    return {f: least[find(f)] for f in prints}
+
+
+def test_simhash(spark, docs, real):
+    near = real.withColumn("text", F.concat("text", F.lit(" tail"))).withColumn("doc_id", F.col("doc_id") + 1000)
+    for df in (docs, real.unionByName(near)):
+        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        first = {}
+        for d, t in rows:
+            f = fingerprint(t)
+            first[f] = min(first.get(f, 2**63), 2**63 if d is None else d)
+        group = components(first)
+        want = Counter((d, f"{fingerprint(t):016x}", None if group[fingerprint(t)] == 2**63 else group[fingerprint(t)]) for d, t in rows)
+        assert Counter(map(tuple, simhash.near_duplicates(df).collect())) == want
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_crowded_blocks(spark):
+    rng = np.random.default_rng(2)
+    centre = int(rng.integers(0, 2**62))
+    prints = {centre ^ sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 6))) for _ in range(300)}
+    df = spark.createDataFrame([(0, f) for f in prints], "t int, fp bigint")
+    for limit in (2, 32, 10_000):
+        found = simhash.connected(simhash.links(df, pair_limit=limit).select("a", "b")).collect()
+        root = {r["node"]: r["root"] for r in found}
+        assert {f: root.get(f, f) for f in prints} == components({f: f for f in prints})
+
+
+def test_one_document_of_each_group_stays(spark, docs):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[:398] + ["new", "end"])), (4, " ".join(f"v{i}" for i in range(400))), (4, " ".join(f"v{i}" for i in range(400)))]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 4]
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["text"] for r in kept.collect() if r["text"]).most_common(1)[0][1] == 1
+
+
+def test_quality(spark, docs, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    for df, rows in both(docs, real):
+        size, corpus, target, grams = 1000, Counter(), Counter(), []
+        for d, t in rows:
+            low = [w for w in t.lower().replace("\x0b", " ").encode().split()]
+            low = [w.decode() for w in low]
+            h = [np.int64(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42))) for w in low]
+            g = [int(x) % size for x in h] + [int(np.int64(np.uint64(xxhash.xxh64_intdigest(b.encode(), int(x) % 2**64)))) % size for x, b in zip(h, low[1:], strict=False)]
+            grams.append(g)
+            corpus.update(g)
+            if d in trusted:
+                target.update(g)
+        n, m = sum(corpus.values()) + size, sum(target.values()) + size
+        ratio = [np.log((target[b] + 1) / m) - np.log((corpus[b] + 1) / n) for b in range(size)]
+        got = defaultdict(list)
+        for r in quality.quality(df, labels, buckets=size).collect():
+            got[r["doc_id"]].append(r)
+        for (d, t), g in zip(rows, grams, strict=True):
+            words = t.encode().split()
+            windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+            covered = {k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+            lines = [x for x in t.split("\n") if x.encode().split()]
+            failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+            base = (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed)
+            score = sum(ratio[b] for b in g) / max(1, len(g))
+            assert any(tuple(r)[1:7] == base and abs(r["score"] - score) < 1e-9 and r["kept"] == (not failed and score >= -0.08) for r in got[d]), (d, t[:50])
+    good = quality.keep_quality(real, labels)
+    assert good.columns == real.columns and 0 < good.count() < real.count()
+    assert quality.quality(empty(spark), labels).count() == 0
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (c > "4") for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def feistel(value, key, kind, alphabets):
+    cut = len(value) // 2
+    left, right = value[:cut], value[cut:]
+    for n in range(1, 9):
+        d = hashlib.sha256(f"{key}\x1f{kind}\x1f{n}\x1f{len(left)}:{right}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(left):
+            a = next((a for a in alphabets if c in a), None)
+            out += a[(a.index(c) + int(d[4 * (i % 16) : 4 * (i % 16) + 4], 16) + i // 16) % len(a)] if a else c
+        left, right = right, out
+    return left + right
+
+
+def test_pseudonyms(spark, docs):
+    secret = "0123456789abcdef" * 2 + "01234567"
+    card = "4111111111111111"
+    text = f"Mail Jo.99@mail1.example.com or +1 (555) 123-4567, {card} {card[:-1]}2 10.0.255.1 300.1.1.1 1999-12-31 1999-02-31 31.12.1999 token = \"{secret}\" 12 34"
+    rows = [(1, text), (2, f"{card}."), (3, None), (4, "plain words, 2048 tokens"), (2, f"{card}."), (5, "4111-1111-1111-1111"), (None, "")]
+    got = {(r["doc_id"], i): r for i, r in enumerate(pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), "k").collect())}
+    first = got[1, 0]["text"]
+    assert (got[1, 0]["n_values"], got[1, 0]["n_cards"], got[1, 0]["n_dates"]) == (7, 1, 2)
+    for gone in ("Jo.99", "555", card, "10.0.255.1", "1999-12-31", secret):
+        assert gone not in first
+    for kept in ("@mail1.example.com or +1 (", f"{card[:-1]}2 ", " 300.1.1.1 ", " 1999-02-31 ", " 12 34"):
+        assert kept in first
+    assert len(first.split()) == len(text.split())
+    swapped = got[2, 1]["text"][:-1]
+    assert swapped in first and luhn(swapped) and got[2, 4]["text"] == got[2, 1]["text"]
+    assert swapped[:15] == feistel(card[:15], "k", "card", ("0123456789",))
+    assert feistel(secret, "k", "secret", ("0123456789abcdef",)) in first
+    assert got[5, 5]["text"].replace("-", "") == swapped and got[5, 5]["text"][4] == "-"
+    assert got[3, 2]["text"] is None and got[4, 3]["text"] == rows[3][1] and got[None, 6]["n_values"] == 0
+    docs = docs.where("text is null or text not rlike '^[0-9a-f]{32,}$'")
+    same = pseudonyms.pseudonymise_documents(docs, "k")
+    assert same.columns == docs.columns and Counter(map(tuple, same.drop("n_chars").collect())) == Counter(map(tuple, docs.drop("n_chars").collect()))
+
+
+def test_permutations_are_one_to_one(spark):
+    n = spark.range(189 * 773)
+    assert n.select(pseudonyms.permute_number(F.col("id"), "k", "date", 189, 773).alias("x")).distinct().where("x between 0 and 146096").count() == 189 * 773
+    t = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
+    assert t.select(pseudonyms.permute_text(F.col("s"), "k", "card", ("0123456789",)).alias("x")).distinct().where("x rlike '^[0-9]{3}$'").count() == 1000
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_start|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, "ann", "late"), (1, 5000, "ann", "far"), (None, 1, None, "x"), (2, 0, "system", "alone")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = chat.rotate_perspectives(df.withColumn("slot", F.lit(1)), slot_turns=2)
+    con = duckdb.connect()
+    conversations = df.toPandas()  # noqa: F841
+    con.execute("create table conversations as select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, role, text from conversations")
+    want = con.execute(chat.SQL).fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    ann = sorted((r for r in got.collect() if r["speaker"] == "ann"), key=lambda r: r["position"])
+    whole = "".join(r["segment"] for r in ann)
+    assert whole.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_start|>")
+    assert all(whole[r["start"] : r["end"]] == r["segment"] and r["trained"] == ("assistant\n" in r["segment"]) for r in ann)
+    assert {r["speaker"] for r in got.collect()} == {"ann", "bob", "unknown"}
+
+
+def test_expressions():
+    check = lambda t: licenses.evaluate(licenses.parse_expression(t))
+    assert check("MIT") == ({"mit"}, True)
+    assert check("(GPL-2.0-only WITH Classpath-exception-2.0 OR MIT) AND Apache-2.0") == ({"gpl-2", "mit", "apache-2"}, True)
+    assert check("GPL-3.0-or-later OR MIT AND LGPL-2.1-only") == ({"gpl-3", "mit", "lgpl-2.1"}, False)
+    assert check("MIT and-so-on") == ({"mit"}, True)
+    assert licenses.parse_expression("OR MIT") is None and licenses.parse_expression("(MIT") is None and licenses.parse_expression("") is None
+
+
+def test_licenses(spark, docs, real):
+    phrases = {k.split()[0] and tuple(k.split()): v for k, v in licenses.BASE.items()}
+    extra = [(None, None), (1, "Released under the MIT License. Licensed under CC BY-NC 4.0; under the mit license under the mit license"), (2, "// SPDX-License-Identifier: MIT OR GPL-2.0-only\ncode"), (3, "Apache License, Version 2.0")]
+    df = docs.select("doc_id", "text").unionByName(real.select("doc_id", "text")).unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    want = Counter()
+    for r in df.collect():
+        words = "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in "".join(x.lower() if x.isascii() else x for x in r["text"] or "")).split(" ")
+        words = [w for w in words if w]
+        hits = [(i, label) for i in range(len(words)) for p, label in phrases.items() if tuple(words[i : i + len(p)]) == p]
+        places = [i for i, _ in hits]
+        want[r["doc_id"], len(words), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in hits}))] += 1
+    got = licenses.scan_licenses(df).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+    assert all(set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1 for r in got)
+    tagged = licenses.scan(extra[2][1])
+    assert (tagged["labels"], tagged["score"], tagged["permissive"]) == ("gpl-2,mit", 1.0, True)
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3 + (i % 7), 16)], 0) for i in range(400)]
+    rows += [(400 + i, rows[i][1], 0) for i in range(60)]  # ties
+    rows += [(600, None, 0), (601, [None] * 16, 0), (602, [float("nan")] * 16, 0), (603, [float("inf")] * 16, 0), (650, [0.0] * 16, 0), (651, [], 0), (700, [1.0, 2.0], 0), (None, [1.0] * 16, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("dims", F.lit(3)).repartition(4)
+    got = topk.top_products(df, F.col("vec_id") % 50 == 0, block=50, query_block=4).collect()
+    whole = {i: np.floor(256 * np.asarray(v)).astype(np.int64) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    want = set()
+    for q in (q for q in whole if q % 50 == 0):
+        best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        want |= {(q, k, i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert topk.top_products(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_pages(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script><body><header><a href=/>Home</a></header><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav>
+    <div class="cookie-notice">We use cookies and this is the text of a notice that is long enough to look like prose to a rule.</div><!-- <p>gone</p> --><div class="ad">Buy it.</div>
+    <article><h1>Big &amp; <i>small</i></h1><p><b>First   part<br>of the&nbsp;text.<p>Short.</p><form><p>Your name</p><input></form><ul><li>item one<li>item two</ul><div class=comments><p>I think that this is a very good article and it is one of the best.</p></div></article>
+    <aside class="sidebar">More of the same.</aside><footer>&copy; the site</footer>"""
+    plain = "<div id=nav><a href=a>A</a> <a href=b>B</a></div><p>" + "This is the text of the page and it is as long as it has to be for the rules. " * 4 + "</p><p>Yes.</p><p>" + "And that is the other part of the text, which is also as long as it was to be. " * 4 + "</p><p><a href=c>Next page of the site with a long name</a></p>"
+    assert html_text.main_text(page) == "Big & small First part of the text. Short. item one item two"
+    got = html_text.main_text(plain)
+    assert got.startswith("This is") and "Yes." in got and "Next page" not in got and got.endswith("to be.")
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>a < b", "x"), (3, "u", "<" * 1000, "x"), (3, "u", "<" * 1000, "x")]
+    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        import html as h
+        import re
+
+        body = r["html"].split("<article>")[1].split("</article>")[0]
+        want = " ".join(h.unescape(re.sub(r"<(?:/?p|br|/?h1)>", " ", body).replace("<b>", "").replace("</b>", "")).split())
+        assert html_text.main_text(r["html"]) == want
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
+        docs = kept
+    packed = corpus_pipeline.run(spark, SF)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("name", ["op3_chat", "op8_topk"])
+def test_against_sql(spark, name):
+    from tools.check import connect, run
+
+    line, ok = run(spark, connect(SF), name, queries.QUERIES[name], queries.ORACLES[name], SF)
+    assert ok, line

@@ -36,7 +36,7 @@ def _blocks(rows: DataFrame, group: list[Column], size: int, names: list[str]) -
     rows = rows.join(counts, names).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")))
     schema = ", ".join([*(f"{n} bigint" for n in names), "part bigint, ids binary, comps binary, longest double"])
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["norm", "vec_id"], ascending=[False, True])
         comps = np.stack(pdf["v"].to_numpy()).astype("<i8") if key[0] else np.zeros((len(pdf), 0), "<i8")
         return pd.DataFrame([[*key, pdf["vec_id"].to_numpy("<i8").tobytes(), comps.tobytes(), float(pdf["norm"].iloc[0])]], columns=[*names, "part", "ids", "comps", "longest"])
@@ -169,7 +169,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, block: int =
     parts = one.groupBy("dims").agg(F.ceil(F.count("*") / query_block).cast("bigint").alias("parts"))
     one = one.join(parts, "dims").withColumn("q_part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         comps = np.stack(pdf["v"].to_numpy()).astype("<i8") if key[0] else np.zeros((len(pdf), 0), "<i8")
         reach = (pdf["floor"] / pdf["norm"].clip(lower=1e-300)).min()  # the shortest length that any query here needs
@@ -184,8 +184,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, block: int =
 
 
 SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
