@@ -22,7 +22,7 @@ from tieline.llm.eliasfano import EliasFano
 from tieline.llm.subwords import library_encoder
 
 MANIFEST = "shard bigint, ids_file string, index_file string, n_docs bigint, n_ids bigint"
-DOCUMENTS = "shard bigint, doc_id bigint, shard_start bigint, n_tokens bigint, ids_crc32 bigint"
+DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 _INDEX = struct.Struct("<4sBQ")
 
 
@@ -96,7 +96,7 @@ def read_documents(spark: SparkSession, path: str, tasks: int | None = None, at_
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     # One row a shard: the running total needs no more than that.
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    shards = manifest.select("ids_file", "index_file", F.coalesce(before, F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
@@ -108,17 +108,15 @@ def read_documents(spark: SparkSession, path: str, tasks: int | None = None, at_
                     start = 0
                     for i in range(0, bounds.n, at_once):
                         ends = bounds.window(i, at_once).tolist()
-                        cols = {k: [] for k in ("shard", "doc_id", "shard_start", "n_tokens", "ids_crc32")}
+                        cols = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32")}
                         for k, end in enumerate(ends, i):
                             ids = np.frombuffer(f.read((end - start) * width), f"<u{width}")
-                            cols["shard"].append(row["shard"])
                             cols["doc_id"].append(None if k < nulls else int(doc_ids[k - nulls]))
-                            cols["shard_start"].append(start)
+                            cols["start"].append(row["base"] + start)
                             cols["n_tokens"].append(len(ids))
                             cols["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
                             start = end
                         yield pa.RecordBatch.from_pydict(cols, schema=pa.schema([(c, pa.int64()) for c in cols]))
 
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = manifest.repartition(tasks).mapInArrow(read, DOCUMENTS)
-    return found.join(bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    return shards.repartition(tasks).mapInArrow(read, DOCUMENTS)
