@@ -33,7 +33,7 @@ class Memo(dict):
     Texts over ``longest`` characters are never kept.
     """
 
-    def __init__(self, compute: Callable[[str], object], limit: int = 200_000, longest: int = 48):
+    def __init__(self, compute: Callable[[str], object], limit: int = 300_000, longest: int = 48):
         super().__init__()
         self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
