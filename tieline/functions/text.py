@@ -13,6 +13,19 @@ NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 SPACE = r"[\s\p{Z}]"
 
 
+#: What counts as white space at the ends of a text: that of Unicode, line ends and separators included (fixed value).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(col: Column) -> Column:
+    """The text without white space at either end."""
+    return F.btrim(col, F.lit(WHITE))
+
+
+def strip_right(col: Column) -> Column:
+    return F.rtrim(col, F.lit(WHITE))
+
+
 def any_of(words: Iterable[str]) -> str:
     """Pattern for whole words out of a list, with Unicode-aware word edges."""
     return f"{NOT_BEFORE}(?:{'|'.join(words)}){NOT_AFTER}"
@@ -101,7 +114,7 @@ def trailing_domain(address: Column) -> Column:
 
 def missing_to_null(col: Column) -> Column:
     """NULL for the spellings of "missing": empty, nan, none, null in any case."""
-    return F.when(~F.lower(F.trim(col)).isin(*V.MISSING_NAMES), col)
+    return F.when(~F.lower(strip(col)).isin(*V.MISSING_NAMES), col)
 
 
 def nan_to_null(col: Column) -> Column:
@@ -141,8 +154,8 @@ def name_slug(col: Column) -> Column:
 
 def excerpt(col: Column, cap: int) -> Column:
     """Trimmed text, cut to ``cap`` characters with a closing ellipsis when longer."""
-    body = F.trim(F.coalesce(col, F.lit("")))
-    return F.when(F.length(body) > cap, F.concat(F.rtrim(F.substring(body, 1, cap - 1)), F.lit("…"))).otherwise(body)
+    body = strip(F.coalesce(col, F.lit("")))
+    return F.when(F.length(body) > cap, F.concat(strip_right(F.substring(body, 1, cap - 1)), F.lit("…"))).otherwise(body)
 
 
 def snippet(body: Column, focus: Column, size: int) -> Column:
@@ -155,7 +168,7 @@ def snippet(body: Column, focus: Column, size: int) -> Column:
 
 
 def looks_forwarded(body: Column) -> Column:
-    head = F.substring(F.trim(F.coalesce(body, F.lit(""))), 1, 200)
+    head = F.substring(strip(F.coalesce(body, F.lit(""))), 1, 200)
     return contains_any(head, V.FORWARD_MARKERS) | head.startswith("From:")
 
 
@@ -227,7 +240,7 @@ def answer_text(col: Column) -> Column:
     body = F.when(
         F.regexp_like(col, F.lit(r"(?is)answer\s*:\s*.+")), F.regexp_extract(col, r"(?is)answer\s*:\s*(.+)", 1)
     ).otherwise(col)
-    return F.trim(F.regexp_replace(body, r"\[E[\d,\s]+\]", ""))
+    return strip(F.regexp_replace(body, r"\[E[\d,\s]+\]", ""))
 
 
 def cited_ids(text: Column, retrieved: Column) -> Column:
@@ -325,9 +338,9 @@ def string_list(col: Column) -> Column:
     """JSON array or comma text to a list of strings; blank or broken input gives []."""
     empty = F.array().cast("array<string>")
     parsed = F.from_json(col, "array<string>")
-    plain = F.filter(F.transform(F.split(col, ","), lambda x: F.trim(x)), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(col, ","), lambda x: strip(x)), lambda x: x != "")
     return F.coalesce(
-        F.when(F.trim(F.coalesce(col, F.lit(""))) == "", empty)
+        F.when(strip(F.coalesce(col, F.lit(""))) == "", empty)
         .when(F.ltrim(col).startswith("["), parsed)
         .otherwise(plain),
         empty,
@@ -343,14 +356,14 @@ def json_list(col: Column) -> Column:
 def recipients_list(col: Column, is_text: bool) -> Column:
     """NULL → [], comma text or list → trimmed, non-empty addresses."""
     items = F.split(col, ",") if is_text else col
-    clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    clean = F.filter(F.transform(items, lambda x: strip(x)), lambda x: x != "")
     return F.coalesce(clean, F.array().cast("array<string>"))
 
 
 def content_id(sender: Column, recipients: Column, date_text: Column, subject: Column) -> Column:
     """First 16 hex digits of sha-256 over ``sender|sorted recipients|date|subject``."""
-    rec = F.array_join(F.array_sort(F.transform(recipients, lambda r: F.lower(F.trim(r)))), ",")
-    key = F.concat_ws("|", F.lower(F.trim(sender)), rec, date_text, F.trim(F.coalesce(subject, F.lit(""))))
+    rec = F.array_join(F.array_sort(F.transform(recipients, lambda r: F.lower(strip(r)))), ",")
+    key = F.concat_ws("|", F.lower(strip(sender)), rec, date_text, strip(F.coalesce(subject, F.lit(""))))
     return F.substring(F.sha2(key, 256), 1, 16)
 
 

@@ -93,8 +93,9 @@ class _State:
 def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
     """Weighted PageRank with uniform restart; sinks spread their mass evenly.
 
-    Stops when the summed change falls below ``N * tol``.  One job per round returns the
-    change and the mass on sinks; ranks never leave the cluster.
+    Stops when the summed change falls below ``N * tol`` and raises if ``max_iter`` rounds do not reach that;
+    ``tol=0`` asks for exactly ``max_iter`` rounds.  One job per round returns the change and the mass on sinks;
+    ranks never leave the cluster.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_w"))
     links = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_w")).alias("share"))
@@ -129,20 +130,23 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter:
         sink_mass = seen["sunk"]
         if seen["change"] < n * tol:
             break
+    else:
+        if tol > 0:
+            raise RuntimeError(f"PageRank did not converge in {max_iter} rounds")
     return state.df.select("node", F.col("rank").alias("pagerank"))
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Weakly connected components: (node, component), the label being the smallest member.
 
     Each round takes the smallest label among neighbours, then follows one label pointer, so
-    long chains shrink geometrically.
+    long chains shrink geometrically.  Labels only fall, so the loop runs until none moves.
     """
     everyone = cut_lineage(nodes(edges))
     pairs = undirected(edges.withColumn("weight", F.lit(1)))
     links = cut_lineage(both_ways(pairs).select("src", "dst"))
     state = _State(everyone.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         labels = state.df
         near = (
             links.join(labels.select(F.col("node").alias("src"), "component"), "src")
@@ -159,8 +163,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         new = state.step(new)
         moved = new.agg(F.count_if("_moved")).first()[0]
         if moved == 0:
-            break
-    return state.df.select("node", "component")
+            return state.df.select("node", "component")
 
 
 def _spread(seed: DataFrame, links: DataFrame, take) -> DataFrame:
@@ -181,11 +184,12 @@ def _spread(seed: DataFrame, links: DataFrame, take) -> DataFrame:
             return state.df.select("node", "label")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """Strongly connected components by forward colouring and backward matching.
 
     Forward: every node takes the smallest label that reaches it.  Backward: within one
     colour, the nodes that reach the colour's own root form a component and are taken out.
+    Every round takes out at least one component, so the loop ends when no node is left.
     """
     live_edges = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
     live = cut_lineage(nodes(edges))
@@ -198,9 +202,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
             core.withColumnRenamed("node", "dst"), "dst", "left_semi"
         )
     )
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         colour = _spread(live.select("node", F.col("node").alias("label")), live_edges, F.min)
         same = cut_lineage(
             live_edges.join(colour.select(F.col("node").alias("src"), F.col("label").alias("_a")), "src")
@@ -396,27 +398,34 @@ def modularity(pairs: DataFrame, member: DataFrame, resolution: float = 1.0) ->
     return float(inside.first()[0]) / m - resolution * float(strength.first()[0]) / (4.0 * m * m)
 
 
-def louvain(
-    edges: DataFrame, resolution: float = 1.0, max_levels: int = 4, max_rounds: int = 4, seed: int = 42
-) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, tol: float = 1e-7, seed: int = 42) -> DataFrame:
     """Communities (node, community) by distributed local moves and contraction.
 
     In one round only half of the nodes (by hash) may move, so neighbours do not swap places
     for ever.  Each half round is one grouped sum of link weights per neighbouring community
-    plus a ``max_by``; no neighbourhood is collected.
+    plus a ``max_by``; no neighbourhood is collected.  A level ends when nothing moves or a round of both
+    halves no longer raises modularity by ``tol`` (the better state is kept); levels end when one brings no gain.
+    Modularity is bounded, so both loops end without a limit on rounds.
     """
     graph = cut_lineage(both_ways(undirected(edges)).withColumn("weight", F.col("weight").cast("double")))
     total = graph.agg(F.sum("weight")).first()[0]
     member = cut_lineage(nodes(graph).select("node", F.col("node").alias("community")))
     if not total:
         return member
-    for level in range(max_levels):
+
+    def score(cur: DataFrame, graph: DataFrame) -> float:
+        side = lambda c, name: cur.select(F.col("node").alias(c), F.col("community").alias(name))
+        inside = graph.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst").where("_a = _b").agg(F.sum("weight")).first()[0]
+        masses = cur.groupBy("community").agg(F.sum("k").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+        return (inside or 0.0) / total - resolution * (masses or 0.0) / (total * total)
+
+    while True:
         strength = graph.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
         links = graph.where("src <> dst")
         state = _State(strength.select("node", "k", F.col("node").alias("community"), F.lit(False).alias("_moved")))
-        any_move = False
-        quiet = 0
-        for rnd in range(2 * max_rounds):
+        kept, start = state.df, score(state.df, graph)
+        best_score, quiet, rnd = start, 0, 0
+        while quiet < 2:
             cur = state.df.select("node", "k", "community")
             mass = cur.groupBy("community").agg(F.sum("k").alias("mass"), F.count("*").alias("size"))
             toward = (
@@ -452,13 +461,16 @@ def louvain(
             )
             new = state.step(new)
             moved = new.agg(F.count_if("_moved")).first()[0]
-            any_move = any_move or moved > 0
             quiet = 0 if moved else quiet + 1
-            if quiet == 2:
-                break
-        if not any_move:
-            break
-        step = cut_lineage(state.df.select(F.col("node").alias("_from"), F.col("community").alias("_to")))
+            rnd += 1
+            if rnd % 2 == 0:
+                now = score(new, graph)
+                if now <= best_score + tol:
+                    break
+                kept, best_score = new, now
+        if best_score <= start:
+            return member
+        step = cut_lineage(kept.select(F.col("node").alias("_from"), F.col("community").alias("_to")))
         member = cut_lineage(
             member.join(step, F.col("community") == F.col("_from")).select("node", F.col("_to").alias("community"))
         )
@@ -468,7 +480,6 @@ def louvain(
             .groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst"))
             .agg(F.sum("weight").alias("weight"))
         )
-    return member
 
 
 def org_chart(reports: DataFrame, depth: int = 2, names: DataFrame | None = None) -> DataFrame:

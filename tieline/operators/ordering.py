@@ -12,13 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 64
 
+def bucket_count(df: DataFrame) -> int:
+    """As many value buckets as the session has shuffle partitions, so that a bucket's share does not grow with the data."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def split_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """Approximate quantile bounds of a numeric column (at most ``buckets`` driver-side numbers)."""
+
+def split_points(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:
+    """Approximate quantile bounds of a numeric column (``buckets`` driver-side numbers, by default :func:`bucket_count`)."""
+    buckets = buckets or bucket_count(df)
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, probs, 0.005)
+    found = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, probs, min(0.005, 0.25 / buckets))
     return sorted(set(found))
 
 
@@ -32,7 +36,7 @@ def bucket_of(column: Column, bounds: Sequence[float], base: int = 0) -> Column:
     )
 
 
-def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Per key and distinct value: ``n_equal`` rows hold it, ``n_below`` rows are smaller, ``n_total`` in all.
 
     Everything about ranks follows: competition rank ``n_below + 1``, average rank

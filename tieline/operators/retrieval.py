@@ -89,7 +89,7 @@ def email_content(mail: DataFrame, email_id: str, body: str = "body_truncated",
     """One row per asked id: the mail with a capped body, or ``found = false``."""
     asked = mail.sparkSession.range(1).select(F.lit(email_id).alias("email_id"))
     hit = mail.where(F.col("email_id") == email_id)
-    text = F.trim(F.coalesce(F.col(body), F.lit("")))
+    text = X.strip(F.coalesce(F.col(body), F.lit("")))
     return asked.join(hit, "email_id", "left").select(
         "email_id",
         F.col("sender").isNotNull().alias("found"),

@@ -94,13 +94,13 @@ def kappa(df: DataFrame, gold: str, pred: str, tags: Sequence[str]) -> DataFrame
 
 
 def _poisson_one(u: Column) -> Column:
-    """Poisson(1) count from a uniform number by its distribution function."""
+    """Poisson(1) count from a uniform number by its distribution function, to the last bit of a double."""
     acc, p, out = 0.0, math.exp(-1.0), None
-    for k in range(0, 9):
+    for k in range(0, 18):
         acc += p
         out = F.when(u < acc, k) if out is None else out.when(u < acc, k)
         p /= k + 1
-    return out.otherwise(9)
+    return out.otherwise(18)
 
 
 def resample_means(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tieline.functions.text import strip
 from tieline.operators.ordering import quantiles, sequenced, top_per_key
 
 WEEK_SECONDS = 7 * 24 * 3600
@@ -111,14 +112,14 @@ def last_answer(messages: DataFrame, cap: int = 400) -> DataFrame:
 
     ``messages``: conv_id, turn, text.  Blank and END messages do not count.
     """
-    body = F.trim("text")
+    body = strip(F.col("text"))
     ok = messages.where((body != "") & (F.upper(body) != "END"))
     mark = r"(?is)answer\s*[:\-]\s*(.+)"
     has = F.regexp_like(body, F.lit(mark))
     pick = ok.groupBy("conv_id").agg(
         F.max_by(body, F.when(has, F.col("turn"))).alias("_marked"), F.max_by(body, "turn").alias("_newest")
     )
-    said = F.split_part(F.trim(F.regexp_extract("_marked", mark, 1)), F.lit("\n"), F.lit(1))
+    said = strip(F.split_part(strip(F.regexp_extract("_marked", mark, 1)), F.lit("\n"), F.lit(1)))
     return pick.select("conv_id", F.coalesce(F.when(F.col("_marked").isNotNull(), said), F.substring("_newest", 1, cap)).alias("answer"))
 
 

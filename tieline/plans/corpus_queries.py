@@ -169,10 +169,10 @@ def _(t):
 
 
 ALIAS_SQL = """
-WITH tried AS (SELECT email_id, i, CASE i % 4 WHEN 0 THEN a WHEN 1 THEN replace(a, '.0', '_0') WHEN 2 THEN replace(a, '.0', '-0')
+WITH tried AS MATERIALIZED (SELECT email_id, i, CASE i % 4 WHEN 0 THEN a WHEN 1 THEN replace(a, '.0', '_0') WHEN 2 THEN replace(a, '.0', '-0')
     ELSE upper(a) END AS address
   FROM (SELECT email_id, unnest(recipients_emails) AS a, generate_subscripts(recipients_emails, 1) AS i FROM mail)),
-named AS (SELECT t.*, name FROM tried t LEFT JOIN person p
+named AS MATERIALIZED (SELECT t.*, name FROM tried t LEFT JOIN person p
   ON p.email = replace(replace(lower(t.address), '_0', '.0'), '-0', '.0'))"""
 
 

@@ -25,7 +25,7 @@ def with_shapes(body: str) -> str:
                 visit(definition)
 
     visit(body)
-    ctes = [f"{name} AS ({definition})" for name, definition in SHAPES_SQL.items() if name in needed]
+    ctes = [f"{name} AS {'MATERIALIZED ' * (name == 'mail')}({definition})" for name, definition in SHAPES_SQL.items() if name in needed]
     body = body.strip()
     if not ctes:
         return body

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,13 @@ def get_session(master: str | None = None, app: str = "tieline", **conf: str) ->
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    The folder is the one ``spark.checkpoint.dir`` names.  Only when that is unset
-    (single-machine tests) a temporary folder takes its place.
+    The folder is the one ``spark.checkpoint.dir`` names.  Only when that is unset and the master is
+    ``local`` a temporary folder takes its place; on a cluster, whose machines share no such folder, this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
