@@ -1,13 +1,16 @@
 """Loops run to their end, white space is stripped whole, and work folders are shared ones."""
 
+import datetime as dt
+import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tieline.functions import text as X
-from tieline.operators import network, stats, threads
+from tieline.operators import network, retrieval, stats, threads
 from tieline.session import work_dir
+from tieline.streaming import jobs
 from tests.conftest import rows
 
 
@@ -50,3 +53,52 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(RuntimeError):
             work_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)), "x")
     assert work_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]")), "x")
+
+
+def test_stream_replies_keep_rows_inside_the_watermark(spark):
+    """Shuffled files, one a batch: the stream finds what the batch operator finds."""
+    pick, start = random.Random(5), dt.datetime(2024, 1, 1)
+    mails = [(f"t{i % 3}", f"m{i:03d}", pick.choice("abc"), start + dt.timedelta(minutes=pick.randrange(5 * 24 * 60))) for i in range(90)]
+    pick.shuffle(mails)
+    schema = "thread_key string, email_id string, sender string, date timestamp"
+    folder = work_dir(spark, "mail")
+    for at in range(0, 90, 15):
+        spark.createDataFrame(mails[at : at + 15], schema).coalesce(1).write.mode("append").parquet(folder)
+    # A mail far later moves the watermark past all others; its own gap is over a week.
+    spark.createDataFrame([("t9", "z", "a", start + dt.timedelta(days=60))], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.stream_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", 1)
+    out = work_dir(spark, "replies")
+    jobs.run_to_table(jobs.thread_replies(stream), out).awaitTermination()
+    got = rows(spark.read.parquet(out), "responder", "original", "seconds")
+    want = rows(threads.reply_latencies(spark.createDataFrame(mails, schema)), "responder", "original", "seconds")
+    assert got == want and len(want) > 30
+
+
+def test_phrase_matches_against_brute_force(spark):
+    mail = [
+        (1, "Jane Doe", "about PG&E", "the lot is gone\nnow"),
+        (2, "Bob Roe", "PG&E and FERC", "ferc again"),
+        (3, "Jane Doe", None, "a FERC letter to pg&e"),
+        (4, "FERC", "", None),
+        (5, None, "Re: nothing", "short"),
+    ]
+    asked = [(1, "What did FERC say?", None), (2, "email from Jane Doe about FERC", ""), (3, "by Al Poe on PG&E", "FERC"), (4, "", "zz")]
+    q = spark.createDataFrame(asked, "qid int, question string, content string")
+    weights = {"subject": 3, "sender": 4, "body_truncated": 1}
+    phrases = q.select("qid", F.array_distinct(F.concat(X.signal_phrases(F.col("question")), X.signal_phrases(F.col("content")))).alias("p"),
+                       F.coalesce(X.sender_hint(F.col("question")), X.sender_hint(F.col("content"))).alias("hint")).collect()
+    want = []
+    for r in phrases:
+        hint = (r["hint"] or "").lower()
+        narrow = any((m[1] or "").lower() == hint for m in mail) and bool(hint)
+        found = []
+        for m in mail:
+            if narrow and (m[1] or "").lower() != hint:
+                continue
+            have = {"subject": m[2] or "", "sender": m[1] or "", "body_truncated": m[3] or ""}
+            found.append((sum(w for p in r["p"] for c, w in weights.items() if p.lower() in have[c].lower()), m[0]))
+        top = max(found, default=(0,))[0]
+        if top >= (2 if narrow else 3):
+            want += [(r["qid"], e, top) for s, e in found if s == top]
+    table = spark.createDataFrame(mail, "email_id int, sender string, subject string, body_truncated string")
+    assert rows(retrieval.phrase_matches(q, table), "qid", "email_id", "top_score") == sorted(want) and len(want) > 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieline.functions import text as X
 from tieline.functions import vocabulary as V
@@ -223,6 +223,14 @@ def mailbox(mail: DataFrame, name: str | None = None) -> DataFrame:
     return sent.unionByName(got)
 
 
+RUN = 4
+
+
+def _runs(text: Column, n: int) -> Column:
+    """Every run of ``n`` characters of a text, one for each place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def phrase_matches(
     questions: DataFrame, mail: DataFrame, max_tied: int = 20, weights: dict[str, int] | None = None
 ) -> DataFrame:
@@ -233,8 +241,8 @@ def phrase_matches(
     when that sender exists.  Scores under 3 (2 when narrowed) or more than ``max_tied`` ties
     give no match.
 
-    The mails are scanned once: every mail is checked against the distinct phrases (a bounded
-    list, one literal array), and only (mail, phrase) hits travel.
+    A phrase is looked up by its rarest run of four characters (itself, if shorter), which every mail that contains it has
+    as well; ``contains`` then decides each candidate, so the filter is exact.  Runs are counted with map-side partials.
     """
     weights = weights or {"subject": 3, "sender": 4, "body_truncated": 1}
     q = questions.select(
@@ -243,17 +251,17 @@ def phrase_matches(
         F.coalesce(X.sender_hint(F.col("question")), X.sender_hint(F.col("content"))).alias("hint"),
     )
     want = q.select("qid", "hint", F.size("phrases").alias("n_phrases"), F.explode("phrases").alias("phrase"))
+    fields = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in weights}
+    runs = F.array_distinct(F.concat(*[_runs(F.concat_ws("\n", *fields.values()), n) for n in range(1, RUN + 1)]))
+    held = mail.select("email_id", F.explode(runs).alias("run"))
     keys = want.select(F.lower("phrase").alias("low")).distinct()
-    bag = keys.agg(F.sort_array(F.collect_set("low")).alias("bag")).scalar()
-    score = lambda p: sum(
-        (F.when(F.lower(F.coalesce(F.col(c), F.lit(""))).contains(p), F.lit(w)).otherwise(F.lit(0)) for c, w in weights.items()),
-        F.lit(0),
-    )
-    scored = mail.withColumn("_bag", bag).select(
-        "email_id",
-        F.lower("sender").alias("_sender"),
-        F.explode(F.filter(F.transform("_bag", lambda p: F.struct(p.alias("low"), score(p).alias("points"))), lambda s: s["points"] > 0)).alias("h"),
-    ).select("email_id", "_sender", "h.low", "h.points")
+    keys = keys.select("low", F.explode(F.when(F.length("low") < RUN, F.array("low")).otherwise(_runs(F.col("low"), RUN))).alias("run"))
+    often = held.groupBy("run").agg(F.count("*").alias("n"))
+    anchors = keys.join(often, "run", "left").groupBy("low").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    candidates = held.join(anchors, "run").select("email_id", "low")
+    score = sum((F.when(text.contains(F.col("low")), F.lit(weights[c])).otherwise(F.lit(0)) for c, text in fields.items()), F.lit(0))
+    scored = candidates.join(mail.select("email_id", *dict.fromkeys(["sender", *weights])), "email_id")
+    scored = scored.select("email_id", F.lower("sender").alias("_sender"), "low", score.alias("points")).where("points > 0")
     senders = mail.select(F.lower("sender").alias("_hint")).distinct()
     q_hint = q.select("qid", F.lower("hint").alias("_hint")).join(senders, "_hint").select("qid", "_hint")
     pairs = (
@@ -294,9 +302,9 @@ def guarded_sql(spark, statement: str, cap: int = 200) -> DataFrame:
     if found or ";" in bare:
         raise ValueError(f"statement not allowed: {found.group(0) if found else ';'}")
     cap = max(1, min(int(cap), 200))
+    # The window holds at most cap + 1 rows; the statement runs once.
     page = spark.sql(text).limit(cap + 1)
-    n = page.agg(F.count("*")).scalar()
-    return page.limit(cap).withColumn("truncated", n > cap)
+    return page.withColumn("truncated", F.count("*").over(Window.partitionBy()) > cap).limit(cap)
 
 
 def profiles(people: DataFrame, parts: Sequence[DataFrame], name: str | None = None) -> DataFrame:

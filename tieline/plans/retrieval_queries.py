@@ -204,14 +204,18 @@ def _(t):
 
 
 @query("phrase_matches", "C21 H23 K13", r"""
-WITH m AS (SELECT email_id, sender, subject, thread_key FROM mail WHERE thread_key <> ''),
-q AS (SELECT CAST(min(CAST(email_id AS BIGINT)) AS BIGINT) AS qid, thread_key, 'ZED ' || replace(thread_key, 'lot ', 'LOT') AS w FROM m GROUP BY thread_key),
-s AS (SELECT q.qid, m.email_id FROM q JOIN m USING (thread_key)), n AS (SELECT qid, count(*) AS n_tied FROM s GROUP BY qid)
-SELECT qid, email_id, 3 AS top_score, n_tied FROM s JOIN n USING (qid) WHERE n_tied <= 20""")
-def _(t):
-    m = t.mail.where("thread_key <> ''").withColumns({"subject": F.concat(F.lit("x LOT"), F.split_part("thread_key", F.lit(" "), F.lit(2)), F.lit("Z")), "body_truncated": F.lit("")})
+WITH m AS (SELECT email_id, thread_key, 3 + (email_id % 2 = 0)::INT AS score FROM (SELECT CAST(email_id AS BIGINT) AS email_id, thread_key FROM mail WHERE thread_key <> '')),
+s AS (SELECT email_id, score, min(email_id) OVER (PARTITION BY thread_key) AS qid, max(score) OVER (PARTITION BY thread_key) AS top_score FROM m),
+n AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n_tied FROM s WHERE score = top_score)
+SELECT qid, CAST(email_id AS VARCHAR) AS email_id, CAST(top_score AS BIGINT) AS top_score, n_tied FROM n WHERE n_tied <= 20""")
+def _(t):
+    lot = F.concat(F.lit("LOT"), F.split_part("thread_key", F.lit(" "), F.lit(2)), F.lit("Z"))
+    texts = t.documents.select("doc_id", F.substring("text", 1, 1980).alias("body"))
+    # Real bodies; every second mail also names its lot there.
+    named = F.when(F.col("email_id").cast("bigint") % 2 == 0, lot)
+    m = t.mail.where("thread_key <> ''").join(texts, "doc_id").withColumns({"subject": F.concat(F.lit("x "), lot), "body_truncated": F.concat_ws(" ", "body", named)})
     q = m.groupBy("subject").agg(F.min(F.col("email_id").cast("bigint")).alias("qid"))
-    questions = q.select("qid", F.lit("ZED").alias("question"), F.split_part("subject", F.lit(" "), F.lit(2)).alias("content"))
+    questions = q.select("qid", F.lit("").alias("question"), F.split_part("subject", F.lit(" "), F.lit(2)).alias("content"))
     out = R.phrase_matches(questions, m)
     return out.select("qid", "email_id", F.col("top_score").cast("bigint").alias("top_score"), "n_tied")
 

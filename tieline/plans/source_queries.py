@@ -152,7 +152,8 @@ def _(t):
 
 @query("stream_thread_replies", "N4 E2", """
 SELECT thread_key, responder, original, round(s, 3) AS seconds FROM (SELECT event_type AS thread_key, 'u' || user_id AS responder, lag('u' || user_id) OVER w AS original,
- epoch(ts) - epoch(lag(ts) OVER w) AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) WHERE responder <> original AND s > 0 AND s < 604800""")
+ epoch(ts) - epoch(lag(ts) OVER w) AS s, ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR))
+WHERE responder <> original AND s > 0 AND s < 604800 AND epoch_us(ts) < (SELECT epoch_ms(max(ts)) - 604800000 FROM events) * 1000""")
 def _(t):
     path = work_dir(t.spark, "replies")
     mail = event_stream(t).select(

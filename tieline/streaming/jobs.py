@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -91,33 +93,42 @@ def run_to_table(rows: DataFrame, path: str) -> StreamingQuery:
 
 
 def _reply_state(key, frames, state: GroupState):
-    last_sender, last_ts = state.get if state.exists else (None, None)
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(frames)).sort_values(["date", "email_id"])
+    """Rows wait until the watermark has passed them and then go out in order of (date, id)."""
+    last_sender, last, *held = state.get if state.exists else (None, None, [], [], [])
+    waiting = list(zip(*held, strict=True))
+    if not state.hasTimedOut:
+        for pdf in frames:
+            micros = pdf["date"].astype("datetime64[us]").astype("int64").tolist()
+            waiting += zip(micros, pdf["email_id"], pdf["sender"], strict=True)
+    passed = state.getCurrentWatermarkMs() * 1000
+    waiting.sort()
+    ready = bisect_left(waiting, (passed,))
     out = []
-    for sender, ts in zip(rows["sender"], rows["date"]):
-        seconds = ts.timestamp()
-        if last_ts is not None and seconds < last_ts:
-            continue
-        if last_ts is not None and sender != last_sender and 0 < seconds - last_ts < WEEK_SECONDS:
-            out.append((key[0], sender, last_sender, seconds - last_ts))
-        last_sender, last_ts = sender, seconds
-    state.update((last_sender, last_ts))
-    state.setTimeoutTimestamp(max(int((last_ts + WEEK_SECONDS) * 1000), state.getCurrentWatermarkMs() + 1))
+    for micros, _, sender in waiting[:ready]:
+        if last is not None and sender != last_sender and 0 < micros - last < WEEK_SECONDS * 1_000_000:
+            out.append((key[0], sender, last_sender, (micros - last) / 1e6))
+        last_sender, last = sender, micros
+    waiting = waiting[ready:]
+    due = waiting[0][0] if waiting else last + WEEK_SECONDS * 1_000_000
+    if not waiting and due < passed:
+        state.remove()
+    else:
+        dates, ids, senders = map(list, zip(*waiting, strict=True)) if waiting else ([], [], [])
+        state.update((last_sender, last, dates, ids, senders))
+        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["thread_key", "responder", "original", "seconds"])
 
 
 def thread_replies(mail: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Reply latencies per thread: keeps the last (sender, time) of a thread for seven days.
+    """Reply latencies per thread, the same as the batch operator's whatever order rows arrive in within ``delay``.
 
-    Rows older than the thread's last mail are dropped.  ``mail``: thread_key, email_id, sender, date.
+    State of a thread: its rows that the watermark has not passed, and the last (sender, time) before them for seven days.
+    Rows behind the watermark are late and go.  ``mail``: thread_key, email_id, sender, date.
     """
     return (
-        mail.where("thread_key <> ''").withWatermark("date", delay).groupBy("thread_key")
+        mail.where("thread_key <> '' and date is not null").withWatermark("date", delay).groupBy("thread_key")
         .applyInPandasWithState(
-            _reply_state, "thread_key string, responder string, original string, seconds double", "sender string, ts double",
-            "append", GroupStateTimeout.EventTimeTimeout,
+            _reply_state, "thread_key string, responder string, original string, seconds double",
+            "sender string, last bigint, dates array<bigint>, ids array<string>, senders array<string>", "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
