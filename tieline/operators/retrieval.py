@@ -226,9 +226,9 @@ def mailbox(mail: DataFrame, name: str | None = None) -> DataFrame:
 RUN = 4
 
 
-def _runs(text: Column, n: int) -> Column:
-    """Every run of ``n`` characters of a text, one for each place."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+def _runs(text: Column) -> Column:
+    """Every run of ``RUN`` characters of a text, one for each place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{RUN}}}))"), F.lit(1))
 
 
 def phrase_matches(
@@ -241,8 +241,9 @@ def phrase_matches(
     when that sender exists.  Scores under 3 (2 when narrowed) or more than ``max_tied`` ties
     give no match.
 
-    A phrase is looked up by its rarest run of four characters (itself, if shorter), which every mail that contains it has
-    as well; ``contains`` then decides each candidate, so the filter is exact.  Runs are counted with map-side partials.
+    A phrase is looked up by its rarest run of four characters, which every mail that contains it has as well; a shorter
+    phrase by all runs of the corpus that begin with it.  ``contains`` then decides each candidate, so the filter is exact.
+    Runs are counted with map-side partials.
     """
     weights = weights or {"subject": 3, "sender": 4, "body_truncated": 1}
     q = questions.select(
@@ -252,14 +253,17 @@ def phrase_matches(
     )
     want = q.select("qid", "hint", F.size("phrases").alias("n_phrases"), F.explode("phrases").alias("phrase"))
     fields = {c: F.lower(F.coalesce(F.col(c), F.lit(""))) for c in weights}
-    runs = F.array_distinct(F.concat(*[_runs(F.concat_ws("\n", *fields.values()), n) for n in range(1, RUN + 1)]))
-    held = mail.select("email_id", F.explode(runs).alias("run"))
-    keys = want.select(F.lower("phrase").alias("low")).distinct()
-    keys = keys.select("low", F.explode(F.when(F.length("low") < RUN, F.array("low")).otherwise(_runs(F.col("low"), RUN))).alias("run"))
+    # The line ends give the last characters of a text runs of their own.
+    text = F.concat(F.concat_ws("\n", *fields.values()), F.lit("\n" * (RUN - 1)))
+    held = mail.select("email_id", F.explode(_runs(text)).alias("run"))
     often = held.groupBy("run").agg(F.count("*").alias("n"))
-    anchors = keys.join(often, "run", "left").groupBy("low").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
-    candidates = held.join(anchors, "run").select("email_id", "low")
-    score = sum((F.when(text.contains(F.col("low")), F.lit(weights[c])).otherwise(F.lit(0)) for c, text in fields.items()), F.lit(0))
+    keys = want.select(F.lower("phrase").alias("low")).distinct()
+    inside = keys.where(F.length("low") >= RUN).select("low", F.explode(_runs(F.col("low"))).alias("run"))
+    rarest = inside.join(often, "run", "left").groupBy("low").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    begins = often.select("run", F.explode(F.array(*[F.substring("run", 1, n) for n in range(1, RUN)])).alias("low"))
+    short = keys.where(F.length("low") < RUN).join(begins, "low").select("low", "run")
+    candidates = held.join(rarest.unionByName(short), "run").select("email_id", "low").distinct()
+    score = sum((F.when(body.contains(F.col("low")), F.lit(weights[c])).otherwise(F.lit(0)) for c, body in fields.items()), F.lit(0))
     scored = candidates.join(mail.select("email_id", *dict.fromkeys(["sender", *weights])), "email_id")
     scored = scored.select("email_id", F.lower("sender").alias("_sender"), "low", score.alias("points")).where("points > 0")
     senders = mail.select(F.lower("sender").alias("_hint")).distinct()

@@ -11,6 +11,7 @@ from tieline.operators import retrieval as R
 from tieline.operators import rollups, sampling, threads, vectors
 from tieline.plans.columns import listed, r6, stamp
 from tieline.plans.registry import query
+from tieline.session import cut_lineage
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 CUT = "1998-01-01"
@@ -214,6 +215,7 @@ def _(t):
     # Real bodies; every second mail also names its lot there.
     named = F.when(F.col("email_id").cast("bigint") % 2 == 0, lot)
     m = t.mail.where("thread_key <> ''").join(texts, "doc_id").withColumns({"subject": F.concat(F.lit("x "), lot), "body_truncated": F.concat_ws(" ", "body", named)})
+    m = cut_lineage(m.select("email_id", "sender", "subject", "body_truncated"))
     q = m.groupBy("subject").agg(F.min(F.col("email_id").cast("bigint")).alias("qid"))
     questions = q.select("qid", F.lit("").alias("question"), F.split_part("subject", F.lit(" "), F.lit(2)).alias("content"))
     out = R.phrase_matches(questions, m)

@@ -151,8 +151,8 @@ def _(t):
 
 
 @query("stream_thread_replies", "N4 E2", """
-SELECT thread_key, responder, original, round(s, 3) AS seconds FROM (SELECT event_type AS thread_key, 'u' || user_id AS responder, lag('u' || user_id) OVER w AS original,
- epoch(ts) - epoch(lag(ts) OVER w) AS s, ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR))
+SELECT thread_key, responder, original, round(s, 6) AS seconds FROM (SELECT event_type AS thread_key, 'u' || user_id AS responder, lag('u' || user_id) OVER w AS original,
+ (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS s, ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR))
 WHERE responder <> original AND s > 0 AND s < 604800 AND epoch_us(ts) < (SELECT epoch_ms(max(ts)) - 604800000 FROM events) * 1000""")
 def _(t):
     path = work_dir(t.spark, "replies")
@@ -161,7 +161,7 @@ def _(t):
     )
     jobs.run_to_table(jobs.thread_replies(mail), path).awaitTermination()
     out = t.spark.read.schema("thread_key string, responder string, original string, seconds double").parquet(path)
-    return out.select("thread_key", "responder", "original", r6("seconds", "seconds", 3))
+    return out.select("thread_key", "responder", "original", r6("seconds", "seconds"))
 
 
 @query("stream_clean_ingest", "N1 D32", """
