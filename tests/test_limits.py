@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieline.functions import text as X
-from tieline.operators import network, retrieval, stats, threads
+from tieline.operators import models, network, retrieval, stats, threads
 from tieline.session import work_dir
 from tieline.streaming import jobs
 from tests.conftest import rows
@@ -102,3 +102,15 @@ def test_phrase_matches_against_brute_force(spark):
             want += [(r["qid"], e, top) for s, e in found if s == top]
     table = spark.createDataFrame(mail, "email_id int, sender string, subject string, body_truncated string")
     assert rows(retrieval.phrase_matches(q, table), "qid", "email_id", "top_score") == sorted(want) and len(want) > 2
+
+
+def test_failed_embedding_batches_can_be_seen(spark):
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[1.0]] * len(texts)
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id int, text string").coalesce(1)
+    got = models.embed_column(df, "id", "text", embed, batch=1, failures=True)
+    assert rows(got, "id", "failure") == [(1, None), (2, "ValueError: no"), (3, None)]
+    assert rows(models.embed_column(df, "id", "text", embed, batch=1), "id") == [(1,), (3,)]

@@ -14,22 +14,30 @@ from tieline.functions.payloads import parse_object
 log = logging.getLogger(__name__)
 
 
-def embed_column(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 16) -> DataFrame:
-    """(key, embedding) by batches; a failed batch is logged and left out, for the next run to pick up."""
+def embed_column(df: DataFrame, key: str, text: str, embed: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 16, failures: bool = False) -> DataFrame:
+    """(key, embedding) by batches; a failed batch is logged and left out, for the next run to pick up.
+
+    With ``failures`` its rows come too, without embedding, and a column ``failure`` names the error.
+    """
     kind = dict(df.dtypes)[key]
 
     def run(frames):
         for pdf in frames:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
+                failure = None
                 try:
                     vectors = [[float(x) for x in v] for v in embed(part[text].fillna("").tolist())]
                 except Exception as e:  # noqa: BLE001
                     log.warning("batch of %d skipped: %s", len(part), e)
-                    continue
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors})
-
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+                    if not failures:
+                        continue
+                    vectors, failure = [None] * len(part), f"{type(e).__name__}: {e}"
+                out = pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors})
+                yield out.assign(failure=failure) if failures else out
+
+    schema = f"{key} {kind}, embedding array<float>" + (", failure string" if failures else "")
+    return df.select(key, text).mapInPandas(run, schema)
 
 
 def hashing_embedder(dims: int = 64) -> Callable[[list[str]], list[list[float]]]:
