@@ -153,11 +153,16 @@ def _(t):
 @query("stream_thread_replies", "N4 E2", """
 SELECT thread_key, responder, original, round(s, 6) AS seconds FROM (SELECT event_type AS thread_key, 'u' || user_id AS responder, lag('u' || user_id) OVER w AS original,
  (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS s, ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR))
-WHERE responder <> original AND s > 0 AND s < 604800 AND epoch_us(ts) < (SELECT epoch_ms(max(ts)) - 604800000 FROM events) * 1000""")
-def _(t):
-    path = work_dir(t.spark, "replies")
-    mail = event_stream(t).select(
-        F.col("event_type").alias("thread_key"), F.col("event_id").cast("string").alias("email_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender"), F.col("ts").alias("date")
+WHERE responder <> original AND s > 0 AND s < 604800""")
+def _(t):
+    path, folder = work_dir(t.spark, "replies"), work_dir(t.spark, "events")
+    cols = ["event_id", "user_id", "event_type", "ts"]
+    t.events.select(cols).write.parquet(folder)
+    # The stream ends with a row of its own thread far later: it moves the watermark past every event, so none stays held.
+    last = t.events.agg(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    last.select([F.col(c).cast(t.events.schema[c].dataType).alias(c) for c in cols]).write.mode("append").parquet(folder)
+    mail = jobs.stream_files(t.spark, folder, t.events.select(cols).schema, "*.parquet").select(
+        F.col("event_type").alias("thread_key"), F.col("event_id").cast("string").alias("email_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender"), F.col("ts").cast("timestamp").alias("date")
     )
     jobs.run_to_table(jobs.thread_replies(mail), path).awaitTermination()
     out = t.spark.read.schema("thread_key string, responder string, original string, seconds double").parquet(path)
