@@ -16,9 +16,11 @@ from tieline.operators.network import components
 from tieline.operators.ordering import top_per_key
 from tieline.session import cut_lineage
 
-# Largest matrix sent to every task (numbers of 8 bytes: 32 MB).  A larger query or centroid
-# set is cut into blocks of this size, each matched in a scan of its own.
+# Largest matrix that one task holds (numbers of 8 bytes: 32 MB).  A query or centroid set up to this size is
+# sent to every task; a larger one stays a table and meets the items block by block.
 BLOCK_CELLS = 4_000_000
+# Products held at once inside a task.
+PRODUCT_CELLS = 2_000_000
 # Similarities are compared after rounding, so that equal vectors tie and ids break the tie.
 TIE_DIGITS = 9
 
@@ -42,24 +44,67 @@ def truncated(v: Column, dims: int) -> Column:
     return unit(F.slice(v, 1, dims))
 
 
-def _blocks(df: DataFrame, key: str, vec: str):
-    """Blocks of at most BLOCK_CELLS numbers as (keys, unit-row matrix), one driver fetch each."""
+def _block_count(df: DataFrame, vec: str) -> int:
+    """How many blocks of BLOCK_CELLS numbers hold ``df``; only two counters reach the driver."""
     size = df.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = size["n"], size["d"] or 0
-    parts = max(1, math.ceil(n * d / BLOCK_CELLS))
-    for b in range(parts):
-        part = df if parts == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == b)
-        rows = part.select(key, vec).orderBy(key).collect()
-        if rows:
-            m = np.asarray([r[1] for r in rows], dtype=np.float64)
-            norms = np.linalg.norm(m, axis=1, keepdims=True)
-            yield [r[0] for r in rows], np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    return math.ceil(size["n"] * max(size["d"] or 0, 1) / BLOCK_CELLS)
 
 
-def _unit_rows(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-    norms = np.linalg.norm(flat, axis=1, keepdims=True)
-    return np.divide(flat, norms, out=np.zeros_like(flat), where=norms > 0)
+def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _similarities(vectors: np.ndarray, matrix: np.ndarray):
+    """(first row, block of rounded cosines), vectors down and matrix rows across; a value that is no number sinks below all."""
+    step = max(1, PRODUCT_CELLS // max(1, len(matrix)))
+    for lo in range(0, len(vectors), step):
+        sims = np.round(vectors[lo : lo + step] @ matrix.T, TIE_DIGITS)
+        yield lo, np.where(np.isnan(sims), -np.inf, sims)
+
+
+def _best(vectors: np.ndarray, ids: pa.Array, matrix: np.ndarray, k: int) -> pa.Table:
+    """(q, s, i): for each of ``vectors`` its ``k`` nearest rows of ``matrix``, equal similarities by id."""
+    found = [pa.table({"q": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "i": ids[:0]})]
+    for lo, sims in _similarities(vectors, matrix):
+        n = sims.shape[1]
+        cut = np.partition(sims, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+        q, j = np.nonzero((sims >= cut) & (sims > -np.inf))
+        found.append(_first_k(pa.table({"q": q + lo, "s": sims[q, j], "i": ids.take(pa.array(j))}), k))
+    return pa.concat_tables(found)
+
+
+def _first_k(rows: pa.Table, k: int) -> pa.Table:
+    rows = rows.sort_by([("q", "ascending"), ("s", "descending"), ("i", "ascending")])
+    q = rows["q"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+
+def _by_blocks(items: DataFrame, others: DataFrame, item: str, vec: str, other: str, ovec: str, fn, schema: T.StructType) -> DataFrame:
+    """``fn`` over every pair of an item block and a block of ``others``, joined on the two block numbers.
+
+    Items are sent once for each block of the other table and the other way round; a task holds one block of either.
+    """
+    n, m = max(1, _block_count(items, vec)), _block_count(others, ovec)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = items.select(item, vec, F.pmod(F.xxhash64(item, vec), F.lit(n)).cast("int").alias("_i")).withColumn("_o", each(m))
+    right = others.select(other, ovec, F.pmod(F.xxhash64(other, ovec), F.lit(m)).cast("int").alias("_o")).withColumn("_i", each(n))
+    pairs = left.groupBy("_i", "_o").cogroup(right.groupBy("_i", "_o"))
+
+    def match(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.Table.from_arrays([pa.array([], _arrow(f.dataType)) for f in schema.fields], names=schema.names)
+        return fn(a[item].combine_chunks(), _unit_rows(a[vec]), b[other].combine_chunks(), _unit_rows(b[ovec]))
+
+    return pairs.applyInArrow(match, schema)
+
+
+def _one_block(df: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
+    """The keys and unit rows of a table already known to fit one block."""
+    rows = df.select(key, vec).orderBy(key).collect()
+    return [r[0] for r in rows], _unit_rows(pa.array([r[1] for r in rows], pa.list_(pa.float64())))
 
 
 def cosine_top_k(
@@ -67,46 +112,40 @@ def cosine_top_k(
 ) -> DataFrame:
     """Exact ``k`` nearest items per query: (query, item, similarity, rank).
 
-    Every task multiplies its Arrow batches with the block of queries and keeps its own best
-    ``k`` per query, so at most ``k × queries`` rows per task are shuffled for the final rank.
-    Filters belong before the call and reach the scan.
+    Up to BLOCK_CELLS numbers, the queries go to every task in one scan of the items; a larger set stays a table and is
+    joined block by block.  Either way a task keeps its own best ``k`` per query, so only those are shuffled for the
+    final rank.  Filters belong before the call and reach the scan.  Null vectors take no part.
     """
     fields = {f.name: f.dataType for f in items.schema.fields} | {f.name: f.dataType for f in queries.schema.fields}
     schema = T.StructType(
         [T.StructField(query, fields[query]), T.StructField(item, fields[item]), T.StructField("similarity", T.DoubleType())]
     )
     narrow = items.where(F.col(vec).isNotNull()).select(item, vec)
-    found = None
-    for keys, matrix in _blocks(queries, query, qvec):
-        near = narrow.mapInArrow(_nearest(keys, matrix, k, item, vec, query, _arrow(fields[query]), _arrow(fields[item])), schema)
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        found = items.sparkSession.createDataFrame([], schema)
-    return top_per_key(found, [query], [F.desc("similarity"), F.col(item)], k)
+    asked = queries.where(F.col(qvec).isNotNull()).select(query, qvec)
+    blocks = _block_count(asked, qvec)
 
+    def named(best: pa.Table, keys: pa.Array) -> pa.Table:
+        return pa.Table.from_arrays([keys.take(best["q"].combine_chunks()), best["i"], best["s"]], names=[query, item, "similarity"])
 
-def _nearest(keys, matrix, k, item, vec, query, query_type, item_type):
-    def scan(batches):
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(keys)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = np.asarray(batch.column(item).to_pylist(), dtype=object)
-            sims = np.round(_unit_rows(batch.column(vec), matrix.shape[1]) @ matrix.T, TIE_DIGITS)
-            for q in range(len(keys)):
-                s, i = np.concatenate([best[q][0], sims[:, q]]), np.concatenate([best[q][1], ids])
-                if len(s) > k:
-                    cut = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = np.flatnonzero(s >= cut)
-                    keep = sorted(keep, key=lambda j: (-s[j], i[j]))[:k]
-                    s, i = s[keep], i[keep]
-                best[q] = (s, i)
-        rows = [(keys[q], i, float(s)) for q in range(len(keys)) for s, i in zip(*best[q])]
-        if rows:
-            kinds = (query_type, item_type, pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[query, item, "similarity"])
-
-    return scan
+    if not blocks:
+        found = items.sparkSession.createDataFrame([], schema)
+    elif blocks == 1:
+        listed, matrix = _one_block(asked, query, qvec)
+        kind = _arrow(fields[query])
+
+        def scan(batches):
+            keys, best = pa.array(listed, kind), None
+            for batch in batches:
+                if batch.num_rows:
+                    near = _best(matrix, batch.column(item), _unit_rows(batch.column(vec)), k)
+                    best = near if best is None else _first_k(pa.concat_tables([best, near]), k)
+            if best is not None and best.num_rows:
+                yield from named(best, keys).to_batches()
+
+        found = narrow.mapInArrow(scan, schema)
+    else:
+        found = _by_blocks(narrow, asked, item, vec, query, qvec, lambda ids, rows, keys, qs: named(_best(qs, ids, rows, k), keys), schema)
+    return top_per_key(found, [query], [F.desc("similarity"), F.col(item)], k)
 
 
 def nearest_centroid(items: DataFrame, centroids: DataFrame, item: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
@@ -115,29 +154,31 @@ def nearest_centroid(items: DataFrame, centroids: DataFrame, item: str = "vec_id
     key = {f.name: f.dataType for f in items.schema.fields}[item]
     schema = T.StructType([T.StructField(item, key), T.StructField(label, kind), T.StructField("similarity", T.DoubleType())])
     narrow = items.where(F.col(vec).isNotNull()).select(item, vec)
-    found, parts = None, 0
-    for keys, matrix in _blocks(centroids, label, "centroid"):
-        def assign(batches, keys=keys, matrix=matrix):
+    blocks = _block_count(centroids, "centroid")
+
+    def assigned(ids: pa.Array, rows: np.ndarray, names: pa.Array, mids: np.ndarray) -> pa.Table:
+        best = _best(rows, names, mids, 1)
+        return pa.Table.from_arrays([ids.take(best["q"].combine_chunks()), best["i"], best["s"]], names=[item, label, "similarity"])
+
+    if not blocks:
+        return items.sparkSession.createDataFrame([], schema)
+    if blocks == 1:
+        listed, matrix = _one_block(centroids, label, "centroid")
+        names = pa.array(listed, _arrow(kind))
+
+        def assign(batches):
             for batch in batches:
                 if batch.num_rows:
-                    sims = np.round(_unit_rows(batch.column(vec), matrix.shape[1]) @ matrix.T, TIE_DIGITS)
-                    at = sims.argmax(axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(item), pa.array([keys[j] for j in at]).cast(_arrow(kind)), pa.array(sims.max(axis=1))],
-                        names=[item, label, "similarity"],
-                    )
-
-        near = narrow.mapInArrow(assign, schema)
-        parts += 1
-        found = near if found is None else found.unionByName(near)
-    if parts <= 1:
-        return found
-    top = found.groupBy(item).agg(F.max("similarity").alias("similarity"))
-    return found.join(top, [item, "similarity"]).groupBy(item).agg(F.min(label).alias(label), F.max("similarity").alias("similarity"))
+                    yield from assigned(batch.column(item), _unit_rows(batch.column(vec)), names, matrix).to_batches()
+
+        return narrow.mapInArrow(assign, schema)
+    found = _by_blocks(narrow, centroids, item, vec, label, "centroid", assigned, schema)
+    top = found.groupBy(item).agg(F.min(F.struct((-F.col("similarity")).alias("s"), label)).alias("_b"))
+    return top.select(item, f"_b.{label}", (-F.col("_b.s")).alias("similarity"))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
-    return {"integer": pa.int32(), "long": pa.int64(), "string": pa.string()}[kind.typeName()]
+    return {"integer": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}[kind.typeName()]
 
 
 def centroids(items: DataFrame, label: str = "label", vec: str = "embedding", min_size: int = 1) -> DataFrame:
