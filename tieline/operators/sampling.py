@@ -11,9 +11,14 @@ from tieline.operators.ordering import top_per_key
 from tieline.session import cut_lineage
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """Hexadecimal digest of the seed and the keys: a draw that any engine can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+
+
 def random_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows in an order set by a seeded hash of the key, so repeats and re-run tasks agree."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded(seed, key), key).limit(n)
 
 
 def stratified(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int = 42) -> DataFrame:
@@ -21,8 +26,7 @@ def stratified(df: DataFrame, by: Sequence[str], n: int, key: str, seed: int = 4
     strata = df.select(*by).distinct().count()
     if not strata:
         return df
-    h = F.xxhash64(key, F.lit(seed))
-    picked = top_per_key(df, list(by), [h, F.col(key)], max(1, n // strata), "_rank")
+    picked = top_per_key(df, list(by), [seeded(seed, key), F.col(key)], max(1, n // strata), "_rank")
     return picked.orderBy("_rank", *by).limit(n).drop("_rank")
 
 

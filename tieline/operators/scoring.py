@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.functions import vocabulary as V
 from tieline.operators.ordering import quantiles
+from tieline.operators.sampling import seeded
 
 
 def min_max(df: DataFrame, columns: Iterable[str], invert: Iterable[str] = (), log: Iterable[str] = ()) -> DataFrame:
@@ -164,7 +165,7 @@ def tune_by_fold(pairs: DataFrame, grid: Sequence[float] = V.SWEEP_GRID, folds:
     order is needed.  One pass gives hits per (fold, α); training sums are totals minus the fold.
     """
     rows = pairs.where("diff is not null and deference is not null").select(
-        F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(folds)).alias("fold"),
+        F.pmod(F.conv(F.substring(seeded(seed, "a", "b"), 1, 8), 16, 10).cast("bigint"), F.lit(folds)).alias("fold"),
         "diff",
         "deference",
         F.explode(F.array(*[F.lit(float(a)) for a in grid])).alias("alpha"),

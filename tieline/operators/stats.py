@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.operators.ordering import average_rank, quantiles, value_ranks
+from tieline.operators.sampling import seeded
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -93,6 +95,10 @@ def kappa(df: DataFrame, gold: str, pred: str, tags: Sequence[str]) -> DataFrame
     return per.unionByName(per.agg(F.lit("macro").alias("tag"), F.avg("kappa").alias("kappa")))
 
 
+#: Modulus of the seeded draws; products of two remainders fit a long.
+PRIME = (1 << 31) - 1
+
+
 def _poisson_one(u: Column) -> Column:
     """Poisson(1) count from a uniform number by its distribution function, to the last bit of a double."""
     acc, p, out = 0.0, math.exp(-1.0), None
@@ -103,17 +109,24 @@ def _poisson_one(u: Column) -> Column:
     return out.otherwise(18)
 
 
+def _drawn(seed: int, name: str, replicate: int) -> int:
+    return int(hashlib.md5(f"{seed}|{name}|{replicate}".encode()).hexdigest()[:8], 16) % PRIME
+
+
 def resample_means(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """(by…, replicate, mean): bootstrap means with seeded Poisson(1) weights.
 
     A weight depends only on (seed, replicate, row key): the result does not depend on how the
-    data is partitioned, and re-run tasks repeat it.  The replicates of a row are summed in the
+    data is partitioned, and re-run tasks repeat it.  A row key is hashed once; each replicate is a random
+    linear map of that hash modulo a prime, so a draw costs one product.  The replicates of a row are summed in the
     map task, so only ``replicates`` rows per task and group travel.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, key, F.col(value).cast("double").alias("_v"))
-    reps = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", key), F.lit(1 << 53)) / float(1 << 53)
+    rows = rows.withColumn("_h", F.conv(F.substring(seeded(seed, key), 1, 8), 16, 10).cast("bigint") % PRIME)
+    maps = ",".join(f"struct({r},{_drawn(seed, 'a', r)}L,{_drawn(seed, 'b', r)}L)" for r in range(replicates))
+    reps = rows.select("*", F.inline(F.expr(f"array({maps})")).alias("replicate", "_a", "_b"))
+    u = ((F.col("_h") * F.col("_a") + F.col("_b")) % PRIME) / float(PRIME)
     w = reps.withColumn("_w", _poisson_one(u))
     s = w.groupBy(*by, "replicate").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
     return s.where("_n > 0").select(*by, "replicate", (F.col("_s") / F.col("_n")).alias("mean"))

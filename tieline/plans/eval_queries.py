@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tieline.functions import grading as G
@@ -133,12 +135,18 @@ def _(t):
     return out.select("weight", r6("accuracy", "accuracy"), "n", "best")
 
 
-@query("fold_tuning", "J8")
+@query("fold_tuning", "J8", """
+WITH r AS (SELECT CAST('0x' || substr(md5('42|' || src || '|' || dst), 1, 8) AS BIGINT) % 5 AS fold, a.score - b.score AS diff, weight % 7 - 3 AS deference
+  FROM trade JOIN staff a ON a.name = src JOIN staff b ON b.name = dst WHERE a.score - b.score IS NOT NULL),
+p AS (SELECT fold, CAST(w AS DOUBLE) AS alpha, sum(CAST(diff + w * deference > 0 AS INT)) AS h, count(*) AS n FROM r, (SELECT unnest([0.5, 1.0, 1.5, 2.0, 2.5, 3.0]) AS w) GROUP BY ALL),
+q AS (SELECT *, sum(h) OVER (PARTITION BY alpha) AS ha, sum(n) OVER (PARTITION BY alpha) AS na FROM p)
+SELECT fold, alpha, round(h / n, 6) AS accuracy, CAST(na - n AS BIGINT) AS n_train, n AS n_test FROM q
+ QUALIFY row_number() OVER (PARTITION BY fold ORDER BY (ha - h) / (na - n) DESC, alpha) = 1""")
 def _(t):
     s = t.staff.select(F.col("name").alias("n"), "score")
     e = t.trade.join(s.select(F.col("n").alias("src"), F.col("score").alias("s1")), "src").join(s.select(F.col("n").alias("dst"), F.col("score").alias("s2")), "dst")
     pairs = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("s1") - F.col("s2")).alias("diff"), (F.col("weight") % 7 - 3).alias("deference"))
-    return scoring.tune_by_fold(pairs)
+    return scoring.tune_by_fold(pairs).select("fold", "alpha", r6("accuracy", "accuracy"), "n_train", "n_test")
 
 
 def ladder_features(t):
@@ -227,9 +235,26 @@ def _(t):
     return stats.kappa(rows, "gold", "pred", ["good", "bad", "any"]).select("tag", r6("kappa", "kappa"))
 
 
-@query("bootstrap_interval", "K7")
+def bit_sql(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % 2147483647"
+
+
+def means_sql(replicates: int) -> str:
+    """Means of the resampled rows ``d`` (grp, key, v): a Poisson count is the number of distribution values reached."""
+    cdf = [sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(18)]
+    return f"""
+h AS (SELECT grp, v, {bit_sql("'42|' || key")} AS h FROM d WHERE v IS NOT NULL),
+m AS (SELECT r, {bit_sql("'42|a|' || r")} AS a, {bit_sql("'42|b|' || r")} AS b FROM range(0, {replicates}) x(r)),
+w AS (SELECT grp, r, v, len(list_filter({cdf}, lambda c: c <= ((h * a + b) % 2147483647) / 2147483647.0::DOUBLE)) AS w FROM h, m),
+means AS MATERIALIZED (SELECT grp, r, sum(v * w) / sum(w) AS mean FROM w GROUP BY grp, r HAVING sum(w) > 0)"""
+
+
+@query("bootstrap_interval", "K7", f"""
+WITH d AS (SELECT condition AS grp, event_id AS key, CAST(f1 AS DOUBLE) AS v FROM qa), {means_sql(200)}
+SELECT grp AS condition, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.5), 6) AS median, round(quantile_cont(mean, 0.975), 6) AS high FROM means GROUP BY grp""")
 def _(t):
-    return stats.bootstrap_interval(t.qa, "f1", "event_id", 200, by=["condition"])
+    out = stats.bootstrap_interval(t.qa, "f1", "event_id", 200, by=["condition"])
+    return out.select("condition", *[r6(c, c) for c in ("low", "median", "high")])
 
 
 PAIRED = "mean_delta", "low", "high", "p"
@@ -241,12 +266,17 @@ def paired_arms(t):
     return m.where("R1 is not null and R2 is not null")
 
 
-@query("paired_bootstrap", "K8 G3")
+@query("paired_bootstrap", "K8 G3", f"""
+WITH q AS (SELECT qid AS key, avg(f1) FILTER (condition = 'R1') AS a, avg(f1) FILTER (condition = 'R2') AS b FROM qa GROUP BY qid),
+d AS (SELECT 0 AS grp, key, b - a AS v FROM q WHERE b - a IS NOT NULL), {means_sql(300)},
+o AS (SELECT list(mean ORDER BY mean) AS l FROM means), g AS (SELECT round(avg(v), 6) AS mean_delta FROM d)
+SELECT 'plain' AS kind, mean_delta, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(CAST(mean <= 0 AS INT)), 6) AS p FROM means, g GROUP BY mean_delta
+UNION ALL SELECT 'mid_p', mean_delta, round(l[8], 6), round(l[292], 6), (SELECT round(avg(CASE WHEN mean < 0 THEN 1 WHEN mean = 0 THEN 0.5 ELSE 0 END), 6) FROM means) FROM o, g""")
 def _(t):
     m = paired_arms(t)
     a = stats.paired_bootstrap(m, "R2", "R1", "qid", 300).select(F.lit("plain").alias("kind"), *PAIRED)
     b = stats.paired_bootstrap(m, "R2", "R1", "qid", 300, mid_p=True).select(F.lit("mid_p").alias("kind"), *PAIRED)
-    return a.unionByName(b)
+    return a.unionByName(b).select("kind", *[r6(c, c) for c in PAIRED])
 
 
 @query("shared_questions", "G3", """

@@ -431,17 +431,31 @@ def _(t):
     return sampling.representatives_per_pair(t.mail, 5, 2)
 
 
-@query("stratified_sample", "E7")
+@query("stratified_sample", "E7", """
+WITH r AS (SELECT event_id, qtype, role, row_number() OVER (PARTITION BY qtype, role ORDER BY md5('42|' || event_id), event_id) AS rank FROM qa),
+k AS (SELECT greatest(1, 150 // count(*)) AS k FROM (SELECT DISTINCT qtype, role FROM qa))
+SELECT event_id, qtype, role FROM r, k WHERE rank <= k ORDER BY rank, qtype, role LIMIT 150""")
 def _(t):
     return sampling.stratified(t.qa, ["qtype", "role"], 150, "event_id").select("event_id", "qtype", "role")
 
 
-@query("random_sample", "A18")
+@query("random_sample", "A18", "SELECT email_id, sender FROM mail ORDER BY md5('42|' || email_id), email_id LIMIT 100")
 def _(t):
     return sampling.random_rows(t.mail.select("email_id", "sender"), 100, "email_id")
 
 
-@query("persona_picks", "E13")
+@query("persona_picks", "E13", """
+WITH v AS (SELECT sender AS name, count(*) AS volume FROM mail GROUP BY 1),
+p AS (SELECT name, level + 1 AS tier, person_key % 5 + 1 AS formality, volume,
+  CASE WHEN level + 1 IN (1, 2) THEN 'senior' WHEN level + 1 IN (3, 4) THEN 'mid' WHEN level + 1 >= 5 THEN 'ic' END AS band FROM person JOIN v USING (name)),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY band ORDER BY volume DESC, name) AS rank FROM p WHERE band IS NOT NULL),
+s AS (SELECT band, max(formality) - min(formality) AS span, count(*) AS n FROM r WHERE rank <= 5 GROUP BY band),
+x AS (SELECT r.*, n, CAST(formality < 4 AS INT) AS side, row_number() OVER (PARTITION BY band, formality >= 4 ORDER BY rank) AS k
+  FROM r JOIN s USING (band) WHERE rank > 5 AND (formality >= 4 OR formality <= 2) AND n >= 2 AND span < 3),
+w AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY band ORDER BY side) AS o, least(count(*) OVER (PARTITION BY band), n - 1) AS quota FROM x WHERE k = 1),
+d AS (SELECT band, max(quota) AS quota FROM w GROUP BY band)
+SELECT band, name, tier, formality, volume FROM r JOIN s USING (band) LEFT JOIN d USING (band) WHERE rank <= 5 AND rank <= n - coalesce(quota, 0)
+UNION ALL SELECT band, name, tier, formality, volume FROM w WHERE o <= quota""")
 def _(t):
     sent = t.mail.groupBy(F.col("sender").alias("name")).agg(F.count("*").alias("volume"))
     p = t.person.join(sent, "name").select("name", (F.col("level") + 1).alias("tier"), (F.pmod(F.col("person_key"), F.lit(5)) + 1).alias("formality"), "volume")
