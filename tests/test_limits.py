@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieline.functions import text as X
-from tieline.operators import models, network, retrieval, stats, threads
+from tieline.operators import models, network, retrieval, scoring, stats, threads, vectors
 from tieline.session import work_dir
 from tieline.streaming import jobs
 from tests.conftest import rows
@@ -114,3 +114,22 @@ def test_failed_embedding_batches_can_be_seen(spark):
     got = models.embed_column(df, "id", "text", embed, batch=1, failures=True)
     assert rows(got, "id", "failure") == [(1, None), (2, "ValueError: no"), (3, None)]
     assert rows(models.embed_column(df, "id", "text", embed, batch=1), "id") == [(1,), (3,)]
+
+
+def test_pairs_are_counted_as_they_are_scored(spark):
+    """Ties, unknown scores and levels of one person; the counts equal those over the pair table."""
+    pick = random.Random(3)
+    people = [(f"p{i}", pick.choice([1, 2, 2, 4])) for i in range(60)] + [("top", 9)]
+    known = [(name, float(pick.randrange(6))) for name, _ in people if pick.random() < 0.8]
+    people = spark.createDataFrame(people, "name string, level int")
+    scores = spark.createDataFrame(known, "name string, score double")
+    table = scoring.pair_accuracy(scoring.score_pairs(scoring.dominance_pairs(people), scores), ["superior_level", "subordinate_level"])
+    cols = ["superior_level", "subordinate_level", "correct", "wrong_order", "missing", "total_pairs"]
+    assert rows(scoring.count_pairs(people, scores), *cols) == rows(table, *cols)
+
+
+def test_similarities_that_are_no_numbers_take_no_part(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, None]), (4, None), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query array<double>")
+    assert rows(vectors.cosine_top_k(items, asked, 2), "query_id", "vec_id", "rank") == [(7, 1, 1), (7, 5, 2)]
+    assert vectors.nearest_centroid(items, asked.selectExpr("query_id as label", "query as centroid").where("false")).count() == 0

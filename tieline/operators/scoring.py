@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieline.functions import vocabulary as V
-from tieline.operators.ordering import quantiles
+from tieline.operators.ordering import bucket_of, quantiles, split_points
 from tieline.operators.sampling import seeded
 
 
@@ -130,6 +130,40 @@ def pair_accuracy(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def count_pairs(people: DataFrame, scores: DataFrame) -> DataFrame:
+    """(superior_level, subordinate_level, correct, wrong_order, missing, total_pairs) without a row per pair.
+
+    What :func:`score_pairs` finds over :func:`dominance_pairs`, counted: each distinct (level, score) is sent once to
+    every lower level and takes the number of smaller scores there from running totals inside score buckets.  Names
+    are unique in ``people`` and ``scores``.
+    """
+    known = scores.select("name", F.col("score").cast("double").alias("score"))
+    s = people.select("name", "level").join(known, "name", "left")
+    levels = people.agg(F.sort_array(F.collect_set("level"))).scalar()
+    lower = F.explode(F.filter("_levels", lambda x: x < F.col("level"))).alias("subordinate_level")
+    counts = s.where("score is not null").groupBy("level", "score").agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("bigint")
+    asks = counts.withColumn("_levels", levels).select("score", F.col("level").alias("superior_level"), lower, F.col("n").alias("asks"), none.alias("holds"))
+    nobody = F.when(F.lit(False), F.col("level")).alias("superior_level")
+    holds = counts.select("score", nobody, F.col("level").alias("subordinate_level"), none.alias("asks"), F.col("n").alias("holds"))
+    rows = asks.unionByName(holds).withColumn("_bucket", bucket_of(F.col("score"), split_points(s.where("score is not null"), "score")))
+    earlier = Window.partitionBy("subordinate_level").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("subordinate_level", "_bucket").agg(F.sum("holds").alias("_h"))
+    before = before.select("subordinate_level", "_bucket", F.coalesce(F.sum("_h").over(earlier), none).alias("_before"))
+    # Those who ask stand before those who hold the same score, so only smaller scores are counted.
+    inside = Window.partitionBy("subordinate_level", "_bucket").orderBy("score", "holds").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_running", F.coalesce(F.sum("holds").over(inside), none)).where("asks > 0").join(before, ["subordinate_level", "_bucket"])
+    correct = rows.groupBy("superior_level", "subordinate_level").agg(F.sum(F.col("asks") * (F.col("_before") + F.col("_running"))).alias("correct"))
+    sizes = s.groupBy("level").agg(F.count("*").alias("n"), F.count("score").alias("k"))
+    high = sizes.withColumn("_levels", levels).select(F.col("level").alias("superior_level"), lower, F.col("n").alias("n1"), F.col("k").alias("k1"))
+    low = sizes.select(F.col("level").alias("subordinate_level"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    both = high.join(low, "subordinate_level").join(correct, ["superior_level", "subordinate_level"], "left")
+    total, scored, right = F.col("n1") * F.col("n2"), F.col("k1") * F.col("k2"), F.coalesce("correct", none)
+    return both.select(
+        "superior_level", "subordinate_level", right.alias("correct"), (scored - right).alias("wrong_order"), (total - scored).alias("missing"), total.alias("total_pairs")
+    )
+
+
 def accuracy_by_gap(scored: DataFrame) -> DataFrame:
     """Accuracy per (stage, gap) and per stage over all gaps (gap 0): one pass with grouping sets.
 

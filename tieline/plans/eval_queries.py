@@ -45,6 +45,15 @@ def _(t):
     return out.select("correct", "wrong_order", "missing", "total_pairs", r6("pair_accuracy", "pair_accuracy"), r6("coverage", "coverage"))
 
 
+@query("person_pair_counts", "K1 D16", """
+WITH p AS (SELECT name, level, CASE WHEN person_key % 7 > 0 THEN balance END AS score FROM person)
+SELECT a.level AS superior_level, b.level AS subordinate_level, count(*) FILTER (a.score > b.score) AS correct, count(*) FILTER (a.score <= b.score) AS wrong_order,
+ count(*) FILTER (a.score IS NULL OR b.score IS NULL) AS missing, count(*) AS total_pairs FROM p a JOIN p b ON a.level > b.level GROUP BY ALL""")
+def _(t):
+    known = t.person.where(F.col("person_key") % 7 > 0).select("name", F.col("balance").alias("score"))
+    return scoring.count_pairs(t.person, known)
+
+
 @query("accuracy_by_level", "D16", SCORED_SQL + """
 SELECT superior_level, count(*) AS n, round(avg(CAST(status = 'correct' AS INT)), 6) AS accuracy FROM st WHERE status <> 'missing' GROUP BY 1""")
 def _(t):
