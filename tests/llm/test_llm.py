@@ -195,6 +195,55 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert Counter(r["text"] for r in kept.collect() if r["text"]).most_common(1)[0][1] == 1
 
 
+def runs_of_five(text):
+    words = (text or "").lower().split()
+    return frozenset(zip(*(words[i:] for i in range(5)), strict=False)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+
+def first_of_groups(rows):
+    """Smallest id of each group by exact five-word Jaccard >= 0.8 over all pairs that share a run."""
+    ids, having = defaultdict(list), defaultdict(list)
+    for i, text in rows:
+        ids[runs_of_five(text)].append(i)
+    sets = list(ids)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, s in enumerate(sets):
+        shared = Counter(j for g in s for j in having[g])
+        for j, both in shared.items():
+            if 5 * both >= 4 * (len(s) + len(sets[j]) - both):
+                root[find(k)] = find(j)
+        for g in s:
+            having[g].append(k)
+    least = {}
+    for k, s in enumerate(sets):
+        least[find(k)] = min([least.get(find(k), min(ids[s])), *ids[s]])
+    return sorted(least.values())
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    base = max(i for i, _ in rows) + 1
+    planted = []
+    for k in range(240):  # the changed words at the end: a similarity from 0.5 to 0.95
+        words = [f"p{k}w{x}" for x in rng.permutation(300)]
+        changed = [7, 11, 20, 30, 33, 42, 60, 90][k % 8]
+        planted += [(base + 2 * k, " ".join(words)), (base + 2 * k + 1, " ".join(words[:-changed] + [f"x{k}y{x}" for x in range(changed)]))]
+    order = [f"o{x % 20}" for x in rng.integers(0, 20, 200)]  # the same words in another order are another text
+    planted += [(base + 900, " ".join(order)), (base + 901, " ".join(sorted(order)))]
+    hub = [f"h{x}" for x in range(200)]  # over pair_limit texts of one key: each differs from the first in up to 40 places' runs
+    planted += [(base + 1000 + k, " ".join(hub[: 200 - k % 25] + [f"k{k}z{x}" for x in range(k % 25)])) for k in range(100)]
+    rows += planted
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == first_of_groups(rows)
+
+
 def test_quality(spark, docs, real):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}

@@ -147,15 +147,115 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 1, max_bits: int = 2, seeds: tuple[int, ...] = (42, 43, 44, 45)) -> DataFrame:
+#: MinHash keys of the pipeline's stage: pairs at a similarity of 0.8 share one of the keys but for 1 in 300,000.
+_BANDS, _ROWS = 32, 5
+_XOR, _ODD = (np.random.default_rng(5).integers(0, 1 << 64, (2, _BANDS * _ROWS, 1), dtype=np.uint64) | np.array([[[0]], [[1]]], np.uint64))
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; a shorter text is one shingle, a text without words has none."""
+    words = text.lower().split()
+    if len(words) < shingle:
+        grams = [b" ".join(words)] if words else []
+    else:
+        grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def band_keys(grams: np.ndarray) -> list[int]:
+    """One key for each band of least hashes, as signed integers; none for the empty set."""
+    if not len(grams):
+        return []
+    least = np.full(_BANDS * _ROWS, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(grams), 1 << 12):  # the products of a long text stay small
+        least = np.minimum(least, ((grams[i : i + (1 << 12)] ^ _XOR) * _ODD).min(axis=1))
+    return [xxhash.xxh64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(least.reshape(_BANDS, _ROWS))]
+
+
+def _set_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, content, node, n, keys): ``node`` is a hash of the shingle set, ``n`` its size."""
+
+    def batches(it):
+        for batch in it:
+            sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+            out = [pa.array([xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63) for g in sets], pa.int64()), pa.array(map(len, sets), pa.int64())]
+            out.append(pa.array(map(band_keys, sets), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["doc_id", "content", "node", "n", "keys"])
+
+    rows = doc_texts(docs, as_bytes=True).select("doc_id", F.xxhash64("text").alias("content"), "text")
+    return rows.mapInArrow(batches, "doc_id bigint, content bigint, node bigint, n bigint, keys array<bigint>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths."""
+
+    def sets(it):
+        for batch in it:
+            grams = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
+
+    def alike(it):
+        for batch in it:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
+    wanted = wanted.select("node", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"))
+    texts = doc_texts(docs, as_bytes=True).withColumn("content", F.xxhash64("text"))
+    same = texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["content"] == wanted["content"])
+    texts = texts.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+    grams = cut_lineage(texts.mapInArrow(sets, "node bigint, grams binary"))
+    both = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
+
+
+def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int = 80, pair_limit: int = 32) -> DataFrame:
+    """(a, b): verified links that connect all ``nodes`` (node, first, n, keys) of similar shingle sets.
+
+    Nodes that share a key are candidates.  First each is compared with the smallest node of its key; then, where a key
+    still has nodes of several components, all pairs across components.  In a key of over ``pair_limit`` nodes only pairs
+    that share a second key are compared: of the keys of a pair at 0.8 about ten are shared.
+    """
+    sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    blocked = nodes.select("node", "n", F.explode("keys").alias("key"))
+    sizes = blocked.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    shared = cut_lineage(blocked.join(sizes, "key"))
+    stars = cut_lineage(shared.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
+    linked = _verified(stars, docs, nodes, shingle, percent)
+    root = connected(linked).withColumnRenamed("node", "of")
+    shared = shared.join(root, shared["node"] == root["of"], "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
+    shared = cut_lineage(shared)
+    mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = cut_lineage(shared.join(mixed, "key"))
+    few = open_.where(F.col("size") <= pair_limit).select("key", F.lit(0).cast("bigint").alias("second"), "node", "n", "root")
+    crowded = open_.where(F.col("size") > pair_limit)
+    others = shared.select("node", F.col("key").alias("second"))
+    twice = crowded.join(others, "node").where("key < second").select("key", "second", "node", "n", "root")
+    blocks = few.unionByName(twice)
+    left, right = (blocks.select("key", "second", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
+    pairs = left.join(right, ["key", "second"]).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & sized(F.col("n_a"), F.col("n_b")))
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return linked.unionByName(_verified(cut_lineage(pairs), docs, nodes, shingle, percent))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest id, all its columns unchanged.
 
-    Here the fingerprints are over distinct words, one for each seed, and two documents are linked if any of their
-    fingerprints are close: edits that lower five-word similarity to 0.8 change few words, but many shingles.  Null
-    and empty texts form one group.  Of rows that repeat an id and its text one stays.
+    Two documents are linked if the sets of their ``shingle``-word runs (lower case, split at white space) have a Jaccard
+    similarity of at least ``percent`` hundredths; each link is verified on the sets.  Candidates share a MinHash key.  A
+    text of fewer words is one run.  Null and empty texts form one group.  Of rows that repeat an id and its text one stays.
     """
-    prints = cut_lineage(fingerprints(docs, shingle, True, seeds))
-    keep = cut_lineage(groups(prints, max_bits).select(F.col("component_id").alias("id"), F.col("keeper").alias("content")).distinct())
+    prints = cut_lineage(_set_prints(docs, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "content"))
+    nodes = cut_lineage(prints.groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    member = connected(similar(docs, nodes, shingle, percent)).withColumnRenamed("node", "of")
+    labelled = nodes.select("node", "first").join(member, F.col("node") == F.col("of"), "left")
+    roots = labelled.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    keep = cut_lineage(roots.select(F.col("first.doc_id").alias("id"), F.col("first.content").alias("content")).distinct())
     rows = with_whole_row(docs).select("row", F.col("row.doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit("")).cast("binary")).alias("content"))
     both = rows["id"].eqNullSafe(keep["id"]) & (rows["content"] == keep["content"])
     kept = rows.join(keep, both, "left_semi")
