@@ -133,3 +133,15 @@ def test_similarities_that_are_no_numbers_take_no_part(spark):
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query array<double>")
     assert rows(vectors.cosine_top_k(items, asked, 2), "query_id", "vec_id", "rank") == [(7, 1, 1), (7, 5, 2)]
     assert vectors.nearest_centroid(items, asked.selectExpr("query_id as label", "query as centroid").where("false")).count() == 0
+
+
+def test_log_is_written_by_every_partition(spark, tmp_path, monkeypatch):
+    from tieline.plans import source_queries
+    from tieline.plans.registry import QUERIES
+
+    events = [(i * 37 % 400, i * 37 % 400 % 7, "error" if i % 5 == 0 else "view") for i in range(400)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(source_queries, "work_dir", lambda s, name: f"{tmp_path}/{name}")
+    got = rows(QUERIES["last_log_record"](spark, str(tmp_path)), "user_id", "event_id")
+    assert got == sorted((u, max(e for e, v, t in events if v == u and t == "view")) for u in range(7))
+    assert len(list((tmp_path / "log").glob("part-*"))) == 4

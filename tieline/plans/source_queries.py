@@ -30,10 +30,10 @@ def _(t):
 SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type <> 'error' GROUP BY user_id""")
 def _(t):
     path = work_dir(t.spark, "log")
-    e = t.events.select("user_id", "event_id", "event_type").orderBy("event_id").coalesce(1)
-    line = F.when(F.col("event_type") == "error", F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"))).otherwise(F.to_json(F.struct("user_id", "event_id")))
+    e = t.events.select("user_id", "event_id", "event_type", F.col("event_id").alias("seq"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"))).otherwise(F.to_json(F.struct("user_id", "event_id", "seq")))
     e.select(line.alias("value")).write.text(path)
-    return readers.read_log(t.spark, path, "user_id bigint, event_id bigint", ["user_id"])
+    return readers.read_log(t.spark, path, "user_id bigint, event_id bigint, seq bigint", ["user_id"], "seq").drop("seq")
 
 
 @query("transcripts", "A9", "SELECT conv_id, turn, role, 'c' || (conv_id % 3) AS condition FROM conversations")

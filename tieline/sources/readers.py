@@ -54,17 +54,18 @@ def read_organisations(spark: SparkSession, path: str, top: int) -> DataFrame:
     return j.select(F.inline("organizations")).orderBy(F.desc_nulls_last("total_emails"), "domain").limit(top)
 
 
-def read_log(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str, key: list[str], sequence: str | None = None) -> DataFrame:
     """Append-only JSON lines: blank, broken and key-less lines are skipped, the last record per key wins.
 
-    "Last" is the greatest (file time, file, position in file): a partial ``max_by``, no ordering.
+    "Last" is the greatest (file time, file, position in file), or first the greatest ``sequence`` of the records, for logs
+    that many tasks write: a partial ``max_by``, no ordering.
     """
     raw = spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path", F.monotonically_increasing_id().alias("_pos"))
     good = raw.where("trim(value) <> ''").withColumn("_r", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     good = good.where("_r._bad is null")
     for k in key:
         good = good.where(F.col(f"_r.{k}").isNotNull())
-    order = F.struct("file_modification_time", "file_path", "_pos")
+    order = F.struct(*([f"_r.{sequence}"] if sequence else []), "file_modification_time", "file_path", "_pos")
     last = good.groupBy(*[F.col(f"_r.{k}").alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.max_by("_r", order).alias("_r"))
     return last.select("_r.*").drop("_bad")
 
