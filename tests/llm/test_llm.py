@@ -405,6 +405,19 @@ def test_pages(spark):
         assert html_text.main_text(r["html"]) == want
 
 
+def test_names_of_wrappers():
+    prose = "This is the text of the page and it is as long as it has to be for the rules. " * 4
+    for name in ("content no-sidebar", "site has-sidebar", "layout with-header", "post tags-news"):
+        assert html_text.main_text(f'<div class="{name}"><p>{prose}</p></div>') == prose.strip()
+        for tag in ("article", "main"):
+            page = f'<div class="{name}"><{tag}><p>{prose}</p><div class="comments"><p>No. {prose}</p></div></{tag}></div><p>Other: {prose}</p>'
+            assert html_text.main_text(page) == prose.strip()
+    card = f'<article><p>{prose}</p></article><div class="related"><article><p>Card: {prose}</p></article></div><div class="site-footer">{prose}</div>'
+    assert html_text.main_text(card) == prose.strip()
+    bare = f'<p>{prose}</p><div class="comments"><p>No. {prose}</p></div><aside><article>{prose}</article></aside>'
+    assert html_text.main_text(bare) == prose.strip()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

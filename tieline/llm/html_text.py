@@ -27,6 +27,8 @@ _NAMED = re.compile(
     r"(?:^|[\s_\-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|replies|respond|login|search|toolbar|pagination|pager|tags|legal|copyright|skip)(?=$|[\s_\-\d])",
     re.IGNORECASE,
 )
+#: Tokens that say what a page has or lacks, not what an element is.
+_ABOUT = re.compile(r"(?:has|have|no|not|with|without|hide|show)[_\-]", re.IGNORECASE)
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL,
@@ -51,11 +53,15 @@ def _boiler(name: str, attributes: str, in_article: bool) -> bool:
         return not (name == "header" and in_article)
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    return any(_NAMED.search(" ".join(filter(None, m.groups()[1:]))) for m in _ATTRIBUTE.finditer(attributes))
+    tokens = (t for m in _ATTRIBUTE.finditer(attributes) for t in " ".join(filter(None, m.groups()[1:])).split())
+    return any(_NAMED.search(t) and not _ABOUT.match(t) for t in tokens)
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order, with how much of each is inside links and where it stands."""
+def blocks(page: str, named: bool = True) -> list[Block]:
+    """Text blocks in page order, with how much of each is inside links and where it stands.
+
+    Without ``named`` only element names make boilerplate outside articles, not classes and ids.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, skipped, boilerplate, article
     parts: list[str] = []
@@ -122,7 +128,8 @@ def blocks(page: str) -> list[Block]:
             pop_to("p")
         skipped, boiler, article = state()
         inside = article or name in ("article", "main")
-        stack.append((name, skipped or name in _SKIPPED, boiler or _boiler(name, m[3], article), inside))
+        marked = _boiler(name, m[3] if named or article else "", article)
+        stack.append((name, skipped or name in _SKIPPED, boiler or marked, inside))
         links += name == "a"
     flush()
     return out
@@ -179,13 +186,22 @@ def second_pass(found: list[Block]) -> None:
 
 
 def main_text(page: str) -> str:
-    """The page's article: good blocks in order, one space between.  If the page marks an article, text outside is none of it."""
-    found = blocks(page)
-    first_pass(found)
-    second_pass(found)
-    good = [b for b in found if b.label == "good"]
-    marked = [b for b in good if b.article]
-    return " ".join(b.text for b in marked or good)
+    """The page's article: good blocks in order, one space between.  If the page marks an article, text outside is none of it.
+
+    Where classes and ids leave no text, or none of the page's articles, a wrapper has such a name: then they do not count outside articles.
+    """
+    text = ""
+    for named in (True, False):
+        found = blocks(page, named)
+        first_pass(found)
+        second_pass(found)
+        good = [b for b in found if b.label == "good"]
+        marked = [b for b in good if b.article]
+        if marked or not text:
+            text = " ".join(b.text for b in marked or good)
+        if marked or text and not any(b.article for b in found):
+            break
+    return text
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
