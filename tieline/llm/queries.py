@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tieline.llm import bpe, chat, html_text, licenses, packing, pseudonyms, quality, simhash, token_files, topk
+from tieline.llm import bpe, chat, html_text, licenses, packing, pseudonyms, quality, repetitions, sharding, simhash, token_files, topk, whitening
 from tieline.llm.common import table
 from tieline.session import work_dir
 
@@ -57,5 +57,21 @@ def op10_html(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_pii, op3_chat, op4_simhash, op5_quality, op6_licenses, op7_token_files, op8_topk, op9_bpe, op10_html)}
+def op11_shards(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark, sf_dir):
+    return repetitions.run_digests(repetitions.repetitions(repetitions.plant_periods(table(spark, sf_dir, "documents"))))
+
+
+def op13_whiten(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_pack, op2_pii, op3_chat, op4_simhash, op5_quality, op6_licenses, op7_token_files, op8_topk, op9_bpe, op10_html,
+    op11_shards, op12_runs, op13_whiten,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op3_chat": chat.SQL, "op8_topk": topk.SQL}
