@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations, repeat
+from itertools import combinations, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -186,14 +186,25 @@ def _set_prints(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id bigint, content bigint, node bigint, n bigint, keys array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths."""
+def _shingle_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the shingle sets of the ``wanted`` nodes as bytes, read from one document of each."""
 
     def sets(it):
         for batch in it:
             grams = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
 
+    found = wanted.select("node").distinct().join(nodes.select("node", "first"), "node")
+    found = found.select("node", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"))
+    texts = doc_texts(docs, as_bytes=True).withColumn("content", F.xxhash64("text"))
+    same = texts["doc_id"].eqNullSafe(found["id"]) & (texts["content"] == found["content"])
+    texts = texts.join(found, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+    return cut_lineage(texts.mapInArrow(sets, "node bigint, grams binary"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least ``percent`` hundredths."""
+
     def alike(it):
         for batch in it:
             keep = []
@@ -203,43 +214,88 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node")
-    wanted = wanted.select("node", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"))
-    texts = doc_texts(docs, as_bytes=True).withColumn("content", F.xxhash64("text"))
-    same = texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["content"] == wanted["content"])
-    texts = texts.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
-    grams = cut_lineage(texts.mapInArrow(sets, "node bigint, grams binary"))
-    both = pairs.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
+    left, right = (sets.select(F.col("node").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return cut_lineage(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(alike, "a bigint, b bigint"))
 
 
-def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int = 80, pair_limit: int = 32) -> DataFrame:
-    """(a, b): verified links that connect all ``nodes`` (node, first, n, keys) of similar shingle sets.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, node, n, at): the rarest shingles of each set, as many as one of them must be in any similar set.
 
-    Nodes that share a key are candidates.  First each is compared with the smallest node of its key; then, where a key
-    still has nodes of several components, all pairs across components.  In a key of over ``pair_limit`` nodes only pairs
-    that share a second key are compared: of the keys of a pair at 0.8 about ten are shared.
+    Sets of n shingles in one order that share ``percent`` hundredths of their union share one of the first
+    n - ceil(n * percent / 100) + 1.  The order is by how many of the sets hold a shingle, so what many texts share comes
+    last and a family of texts with a common passage does not meet there.  A shingle of one set alone counts but meets none.
+    """
+
+    def spread(it):
+        for batch in it:
+            for node, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grams = np.frombuffer(grams.as_buffer(), np.int64)
+                for i in range(0, len(grams), 1 << 15):
+                    part = grams[i : i + (1 << 15)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(grams))), pa.array(part)], names=["node", "n", "gram"])
+
+    rows = cut_lineage(sets.mapInArrow(spread, "node bigint, n bigint, gram bigint"))
+    often = rows.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
+    # The list below is one text's own shingles.
+    lists = rows.join(often, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    alone = F.col("n") - F.size("grams")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    lists = lists.select("node", "n", alone.alias("alone"), F.slice("grams", 1, F.greatest(length, F.lit(0)).cast("int")).alias("grams"))
+    return lists.select("node", "n", "alone", F.posexplode("grams").alias("i", "g")).select("g.gram", "node", "n", (F.col("alone") + F.col("i")).alias("at"))
+
+
+def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int = 80, heads: int = 8) -> DataFrame:
+    """(a, b): verified links that connect all ``nodes`` (node, first, n, keys) of similar shingle sets that share a key.
+
+    First each node is compared with the smallest node of each of its keys.  Nodes of keys that then still hold several
+    components go on by their rarest shingles, where every similar pair meets: in rounds each is compared with ``heads``
+    nodes a shingle, a number of rows in proportion to the shingles, for as long as a round joins a hundredth of the nodes
+    that are left.  All pairs that share such a shingle across the last components are compared at the end, so rounds
+    change the work and not the components.  No key, shingle or pair is capped.
     """
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     blocked = nodes.select("node", "n", F.explode("keys").alias("key"))
     sizes = blocked.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = cut_lineage(blocked.join(sizes, "key"))
-    stars = cut_lineage(shared.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    linked = _verified(stars, docs, nodes, shingle, percent)
-    root = connected(linked).withColumnRenamed("node", "of")
-    shared = shared.join(root, shared["node"] == root["of"], "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
-    shared = cut_lineage(shared)
-    mixed = shared.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = cut_lineage(shared.join(mixed, "key"))
-    few = open_.where(F.col("size") <= pair_limit).select("key", F.lit(0).cast("bigint").alias("second"), "node", "n", "root")
-    crowded = open_.where(F.col("size") > pair_limit)
-    others = shared.select("node", F.col("key").alias("second"))
-    twice = crowded.join(others, "node").where("key < second").select("key", "second", "node", "n", "root")
-    blocks = few.unionByName(twice)
-    left, right = (blocks.select("key", "second", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
-    pairs = left.join(right, ["key", "second"]).where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & sized(F.col("n_a"), F.col("n_b")))
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return linked.unionByName(_verified(cut_lineage(pairs), docs, nodes, shingle, percent))
+    shared = cut_lineage(blocked.join(sizes.select("key", "head"), "key"))
+    stars = shared.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
+    sets = _shingle_sets(shared, docs, nodes, shingle)
+    links = _verified(cut_lineage(stars), sets, percent)
+    root = connected(links).withColumnRenamed("node", "of")
+    shared = cut_lineage(shared.join(root, shared["node"] == root["of"], "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+
+    def mixed(rows: DataFrame, key: str) -> DataFrame:
+        several = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        return rows.join(several.select(key), key)
+
+    left = cut_lineage(mixed(shared, "key").select("node", "root").distinct())
+    open_ = cut_lineage(mixed(_prefixes(sets.join(left.select("node"), "node", "left_semi"), percent).join(left, "node"), "gram"))
+    # Sets that meet at places i and j of their orders share at most the rest of either.
+    enough = lambda p, q: 1 + F.least(p["n"] - p["at"], q["n"] - q["at"]) - 1 >= F.ceil((p["n"] + q["n"]) * percent / (100 + percent))
+    apart = lambda p, q: (p["root"] != q["root"]) & sized(p["n"], q["n"]) & enough(p, q)
+    entry = F.struct("node", "root", "n", "at")
+    tried = cut_lineage(stars)
+    for turn in count():
+        # A head early in its own order can meet sets of its size, a later one only smaller sets.
+        late = F.col("at") * (100 + percent) > F.col("n") * (100 - percent)
+        chosen = [F.min_by(entry, F.struct(late, F.xxhash64("node", "gram", F.lit(turn * heads + i)))) for i in range(heads)]
+        first = open_.groupBy("gram").agg(F.array_distinct(F.array(*chosen)).alias("heads")).select("gram", F.explode("heads").alias("head"))
+        pairs = open_.select("gram", entry.alias("one")).join(first, "gram").where(apart(F.col("one"), F.col("head")))
+        pairs = pairs.select(F.least("one.node", "head.node").alias("a"), F.greatest("one.node", "head.node").alias("b")).distinct()
+        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = _verified(pairs, sets, percent)
+        links, tried = links.unionByName(new), tried.unionByName(pairs)
+        at = open_.select("node", "root").distinct()
+        joined = new.join(at.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(at.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        moved = connected(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("of"), F.col("root").alias("to"))
+        n_moved, n_left = moved.count(), at.count()
+        open_ = open_.join(moved, F.col("root") == F.col("of"), "left").withColumn("root", F.coalesce("to", "root")).drop("of", "to")
+        open_ = cut_lineage(mixed(open_, "gram"))
+        if 100 * n_moved < n_left or not n_left:
+            break
+    left, right = (open_.select("gram", entry.alias(side)) for side in ("one", "two"))
+    rest = left.join(right, "gram").where((F.col("one.node") < F.col("two.node")) & apart(F.col("one"), F.col("two")))
+    rest = rest.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(cut_lineage(rest), sets, percent))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
