@@ -1,6 +1,7 @@
 """Loops run to their end, white space is stripped whole, and work folders are shared ones."""
 
 import datetime as dt
+import os
 import random
 from types import SimpleNamespace
 
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieline.functions import text as X
-from tieline.operators import models, network, retrieval, scoring, stats, threads, vectors
+from tieline.operators import models, network, overlap, retrieval, scoring, stats, threads, vectors
 from tieline.session import work_dir
+from tieline.sources.tables import UpsertTable
 from tieline.streaming import jobs
 from tests.conftest import rows
 
@@ -58,7 +60,7 @@ def test_a_cluster_needs_a_shared_folder():
 def test_stream_replies_keep_rows_inside_the_watermark(spark):
     """Shuffled files, one a batch: the stream finds what the batch operator finds."""
     pick, start = random.Random(5), dt.datetime(2024, 1, 1)
-    mails = [(f"t{i % 3}", f"m{i:03d}", pick.choice("abc"), start + dt.timedelta(minutes=pick.randrange(5 * 24 * 60))) for i in range(90)]
+    mails = [(f"t{i % 3 if i % 2 else 0}", f"m{i:03d}", pick.choice("abc"), start + dt.timedelta(minutes=pick.randrange(5 * 24 * 60))) for i in range(90)]
     pick.shuffle(mails)
     schema = "thread_key string, email_id string, sender string, date timestamp"
     folder = work_dir(spark, "mail")
@@ -68,7 +70,10 @@ def test_stream_replies_keep_rows_inside_the_watermark(spark):
     spark.createDataFrame([("t9", "z", "a", start + dt.timedelta(days=60))], schema).coalesce(1).write.mode("append").parquet(folder)
     stream = jobs.stream_files(spark, folder, spark.read.parquet(folder).schema, "*.parquet", 1)
     out = work_dir(spark, "replies")
-    jobs.run_to_table(jobs.thread_replies(stream), out).awaitTermination()
+    # A thread of over half of the rows is spread over slots of two hours: no key holds more than a fifteenth of them.
+    slots = spark.createDataFrame(mails, schema).groupBy("thread_key", F.window("date", "2 hours")).count()
+    assert sum(m[0] == "t0" for m in mails) > 45 and slots.agg(F.max("count")).first()[0] <= 90 / 15
+    jobs.run_to_table(jobs.thread_replies(stream, slot_seconds=7200), out).awaitTermination()
     got = rows(spark.read.parquet(out), "responder", "original", "seconds")
     want = rows(threads.reply_latencies(spark.createDataFrame(mails, schema)), "responder", "original", "seconds")
     assert got == want and len(want) > 30
@@ -145,3 +150,53 @@ def test_log_is_written_by_every_partition(spark, tmp_path, monkeypatch):
     got = rows(QUERIES["last_log_record"](spark, str(tmp_path)), "user_id", "event_id")
     assert got == sorted((u, max(e for e, v, t in events if v == u and t == "view")) for u in range(7))
     assert len(list((tmp_path / "log").glob("part-*"))) == 4
+
+
+def _bytes_below(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
+
+
+def test_upsert_rewrites_touched_buckets_only(spark):
+    path = work_dir(spark, "table")
+    table = UpsertTable(spark, path, ["k"], buckets=64)
+    assert table.read() is None
+    table(spark.range(20_000).select(F.col("id").alias("k"), F.concat(F.lit("old"), F.col("id").cast("string")).alias("v")), 0)
+    first = _bytes_below(f"{path}/data/v=0")
+    change = spark.createDataFrame([(5, "new"), (20_001, "new")], "k bigint, v string")
+    table(change, 1)
+    assert len(os.listdir(f"{path}/data/v=1")) <= 2 + 2 and _bytes_below(f"{path}/data/v=1") < first / 16
+    want = {i: f"old{i}" for i in range(20_000)} | {5: "new", 20_001: "new"}
+    assert dict(table.read().select("k", "v").collect()) == want
+    table(change, 1)  # a repeated batch
+    assert dict(table.read().select("k", "v").collect()) == want
+    # A batch that dies before its manifest leaves the table as it was, whatever files it wrote.
+    put, table._put_manifest = table._put_manifest, None
+    with pytest.raises(TypeError):
+        table(spark.createDataFrame([(5, "lost")], "k bigint, v string"), 2)
+    assert dict(table.read().select("k", "v").collect()) == want
+    table._put_manifest = put
+    # The same batch again, with a column more, a null key and a repeated key.
+    table(spark.createDataFrame([(5, "a", 1), (5, "b", 2), (None, "none", 3)], "k bigint, v string, w int"), 2)
+    table(spark.createDataFrame([(None, "other", 4)], "k bigint, v string, w int"), 3)
+    table(change.limit(0), 4)
+    got = {r["k"]: (r["v"], r["w"]) for r in table.read().collect()}
+    assert got[5] == ("b", 2) and got[None] == ("other", 4) and got[7] == ("old7", None) and len(got) == 20_002
+    assert table.versions() == [3, 4] and not os.path.isdir(f"{path}/data/v=1/_bucket={_bucket_of(spark, 5)}")
+    with pytest.raises(ValueError):
+        UpsertTable(spark, path, ["k"], buckets=8).read()
+
+
+def _bucket_of(spark, k):
+    return spark.range(1).select(F.pmod(F.xxhash64(F.lit(k).cast("bigint")), F.lit(64))).first()[0]
+
+
+def test_text_measures_have_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "the cat the cat", "a cat cat"), (2, None, ""), (3, "x", None)], "k int, a string, b string")
+    f1 = overlap.token_f1(df, "k", F.col("a"), F.col("b"))
+    assert [(r["k"], r["n_pred"], r["n_gold"], r["n_same"], round(r["f1"], 3)) for r in f1.collect()] == [(1, 2, 2, 2, 1.0), (2, 0, 0, 0, 1.0), (3, 1, 0, 0, 0.0)]
+    grams = overlap.top_bigrams(df, "k", F.col("a"), 3)
+    assert rows(grams, "k", "rank", "gram", "count") == [(1, 1, "th", 2), (1, 2, "he", 2), (1, 3, "e ", 2)]
+    near = overlap.bigram_jaccard(df, "k", F.col("a"), F.col("b"), 3)
+    assert [r[0] for r in rows(near, "k")] == [1, 2, 3] and {r["k"]: r["jaccard"] for r in near.collect()}[2] == 1.0
+    for out in (f1, grams, near):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -192,14 +192,6 @@ def test_vectors_blocks_agree(spark, monkeypatch):
     assert all(r[0] == r[1] for r in one if r[2] == 1)
 
 
-def test_density_clusters(spark):
-    blob = lambda at, n, k: [(k + i, [at + (i % 5) * 0.01, at + (i % 7) * 0.01]) for i in range(n)]
-    pts = spark.createDataFrame(blob(0.0, 40, 0) + blob(5.0, 30, 100) + [(999, [2.5, 0.1])], "vec_id long, point array<double>")
-    out = dict(vectors.density_clusters(pts, 10).collect())
-    assert out[999] == -1 and {out[i] for i in range(40)} == {0} and {out[i] for i in range(100, 130)} == {1}
-    assert set(dict(vectors.density_clusters(pts, 100).collect()).values()) == {-1}
-
-
 def test_bootstrap(spark):
     data = [(i, float(i % 2), 0.2) for i in range(400)]
     df = spark.createDataFrame(data, "id int, a double, b double")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieline.functions import text as X
-from tieline.operators.ordering import top_per_key
+
+
+@F.pandas_udf(T.LongType())
+def _shared_tokens(pred: pd.Series, gold: pd.Series) -> pd.Series:
+    """How many tokens two lists share, repeats counted."""
+    return pd.Series([sum((Counter(p) & Counter(g)).values()) for p, g in zip(pred, gold, strict=True)], dtype="int64")
 
 
 def token_f1(df: DataFrame, key: str, pred: Column, gold: Column) -> DataFrame:
-    """(key, n_pred, n_gold, n_same, f1): token-overlap F1, 1 when both sides are empty.
+    """(key, n_pred, n_gold, n_same, f1): token-overlap F1 of each row, 1 when both sides are empty.
 
-    Both sides are exploded together and counted per (key, token): one shuffle for the multiset
-    intersection, combined before it.
+    A row needs nothing but itself: the multiset intersection is counted in Arrow batches, without a shuffle.
     """
-    tag = lambda tokens, side: F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(side).alias("side")))
-    rows = df.select(key, F.explode_outer(F.concat(tag(X.answer_tokens(pred), 0), tag(X.answer_tokens(gold), 1))).alias("x"))
-    counts = rows.groupBy(key, "x.token").agg(F.count_if(F.col("x.side") == 0).alias("_p"), F.count_if(F.col("x.side") == 1).alias("_g"))
-    s = counts.groupBy(key).agg(F.sum("_p").alias("n_pred"), F.sum("_g").alias("n_gold"), F.sum(F.least("_p", "_g")).alias("n_same"))
+    none = F.array().cast("array<string>")
+    s = df.select(key, F.coalesce(X.answer_tokens(pred), none).alias("_p"), F.coalesce(X.answer_tokens(gold), none).alias("_g"))
+    s = s.select(key, F.size("_p").cast("bigint").alias("n_pred"), F.size("_g").cast("bigint").alias("n_gold"), _shared_tokens("_p", "_g").alias("n_same"))
     f1 = (
         F.when((F.col("n_pred") == 0) & (F.col("n_gold") == 0), 1.0)
         .when(F.col("n_same") == 0, 0.0)
@@ -49,22 +55,28 @@ def diagnostics(df: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
     )
 
 
+def _bigrams(text: Column, n: int) -> Column:
+    """The ``n`` most frequent character pairs of each text with their counts, the earliest first on ties; blanks count as one."""
+
+    @F.pandas_udf("array<struct<gram:string,count:bigint>>")
+    def top(texts: pd.Series) -> pd.Series:
+        # Counter keeps the order of first occurrence, and most_common is stable.
+        return pd.Series([[{"gram": g, "count": c} for g, c in Counter(map("".join, zip(t, t[1:], strict=False))).most_common(n)] for t in texts])
+
+    return top(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
 def top_bigrams(df: DataFrame, key: str, text: Column, n: int = 10) -> DataFrame:
-    """(key, gram, count, rank): most frequent character pairs, the earliest first on ties."""
-    s = F.regexp_replace(F.lower(text), r"\s+", " ")
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    pairs = F.zip_with(F.slice("_c", F.lit(1), F.size("_c") - 1), F.slice("_c", F.lit(2), F.size("_c") - 1), lambda x, y: F.concat(x, y))
-    grams = df.select(key, chars.alias("_c")).where(F.size("_c") > 1).select(key, F.posexplode(pairs).alias("_pos", "gram"))
-    counts = grams.groupBy(key, "gram").agg(F.count("*").alias("count"), F.min("_pos").alias("_first"))
-    return top_per_key(counts, [key], [F.desc("count"), F.col("_first")], n).drop("_first")
+    """(key, gram, count, rank): most frequent character pairs of each row, the earliest first on ties; no shuffle."""
+    found = df.select(key, F.posexplode(_bigrams(text, n)).alias("_at", "_g"))
+    return found.select(key, "_g.gram", "_g.count", (F.col("_at") + 1).alias("rank"))
 
 
 def bigram_jaccard(df: DataFrame, key: str, a: Column, b: Column, n: int = 10) -> DataFrame:
     """(key, jaccard) over each side's top bigrams; 1 when both are empty, 0 when one is."""
-    ga = top_bigrams(df, key, a, n).select(key, "gram", F.lit(1).alias("_a"))
-    gb = top_bigrams(df, key, b, n).select(key, "gram", F.lit(1).alias("_b"))
-    j = ga.join(gb, [key, "gram"], "full").groupBy(key).agg(F.count_if(F.expr("_a = 1 and _b = 1")).alias("_i"), F.count("*").alias("_u"))
-    return df.select(key).join(j, key, "left").select(key, F.coalesce(F.col("_i") / F.col("_u"), F.lit(1.0)).alias("jaccard"))
+    sets = df.select(key, _bigrams(a, n)["gram"].alias("_a"), _bigrams(b, n)["gram"].alias("_b"))
+    union = F.size(F.array_union("_a", "_b"))
+    return sets.select(key, F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("_a", "_b")) / union).alias("jaccard"))
 
 
 def fuzzy_recall(retrieved: DataFrame, sources: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tieline.functions.text import strip
 from tieline.operators.ordering import quantiles, sequenced, top_per_key
+from tieline.session import cut_lineage
 
 WEEK_SECONDS = 7 * 24 * 3600
 
@@ -60,7 +61,7 @@ def initiators(mail: DataFrame, thread: str = "thread_key", sender: str = "sende
 
 def response_ratio(mail: DataFrame) -> DataFrame:
     """Per person: median time others take to answer them over the median time they take, NULL if undefined."""
-    lat = reply_latencies(mail)
+    lat = cut_lineage(reply_latencies(mail))  # both medians read it several times
     tome = quantiles(lat, "seconds", [0.5], ["original"]).select(F.col("original").alias("node"), F.col("q0").alias("to_me"))
     mine = quantiles(lat, "seconds", [0.5], ["responder"]).select(F.col("responder").alias("node"), F.col("q0").alias("by_me"))
     return tome.join(mine, "node", "full").select(

@@ -1,4 +1,4 @@
-"""Vector search, centroids, reduction and density clustering."""
+"""Vector search, centroids and reduction."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tieline.operators.network import components
+from tieline.operators.density import density_clusters
 from tieline.operators.ordering import top_per_key
-from tieline.session import cut_lineage
 
 # Largest matrix that one task holds (numbers of 8 bytes: 32 MB).  A query or centroid set up to this size is
 # sent to every task; a larger one stays a table and meets the items block by block.
@@ -207,44 +206,6 @@ def reduce_dimensions(items: DataFrame, k: int = 5, item: str = "vec_id", vec: s
     return model.transform(data).select(item, vector_to_array("_p").alias("point"))
 
 
-def density_clusters(points: DataFrame, min_size: int, cells: int = 8, item: str = "vec_id", out: str = "cluster") -> DataFrame:
-    """Density clusters of low-dimensional points, −1 for noise.
-
-    Space is cut into a grid; cells with enough points that touch belong together.  Only the
-    occupied dense cells are linked (each to its grid neighbours by equi-join), so neither all
-    pairs of points nor one crowded cell is ever expanded.  Clusters below ``min_size`` become
-    noise, as does everything when there are fewer rows than that.
-    """
-    dims = points.select(F.size("point")).first()
-    if dims is None:
-        return points.select(item, F.lit(-1).alias(out))
-    d = dims[0]
-    bounds = points.agg(*[F.min(F.get("point", F.lit(i))).alias(f"lo{i}") for i in range(d)], *[F.max(F.get("point", F.lit(i))).alias(f"hi{i}") for i in range(d)]).first()
-    width = max((bounds[f"hi{i}"] - bounds[f"lo{i}"]) / cells for i in range(d)) or 1.0
-    coords = [F.floor((F.get("point", F.lit(i)) - F.lit(bounds[f"lo{i}"])) / width).cast("int") for i in range(d)]
-    placed = points.select(item, F.array(*coords).alias("cell"))
-    counts = cut_lineage(placed.groupBy("cell").agg(F.count("*").alias("n")))
-    dense = counts.where(F.col("n") >= max(2, min_size // 10))
-    # Half of the offsets is enough: links are undirected.
-    from itertools import product
-
-    offsets = [o for o in product((-1, 0, 1), repeat=d) if o > (0,) * d]
-    moves = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-    step = dense.select("cell", F.explode(moves).alias("o")).select("cell", F.zip_with("cell", "o", lambda a, b: a + b).alias("to"))
-    key = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%06d", x + 1)), ",")
-    links = step.join(dense.select(F.col("cell").alias("to")), "to").select(key(F.col("cell")).alias("src"), key(F.col("to")).alias("dst"))
-    alone = dense.select(key(F.col("cell")).alias("src"), key(F.col("cell")).alias("dst"))
-    group = components(links.unionByName(alone).withColumn("weight", F.lit(1)))
-    labelled = counts.withColumn("node", key(F.col("cell"))).join(group, "node")
-    sizes = labelled.groupBy("component").agg(F.sum("n").alias("size")).where(F.col("size") >= min_size)
-    # Numbering the surviving clusters orders one row per cluster, not per point.
-    from pyspark.sql import Window
-
-    numbered = sizes.select("component", (F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1).alias(out))
-    cells_out = labelled.join(numbered, "component").select("cell", out)
-    return placed.join(cells_out, "cell", "left").select(item, F.coalesce(out, F.lit(-1)).alias(out))
-
-
 def label_table(items: DataFrame, item: str, project: str, topic: str) -> DataFrame:
     """(email_id, project_label, topic_label, project_id, topic_id)."""
     from tieline.functions.text import padded_id

@@ -427,12 +427,12 @@ def _(t):
 
 
 @query("enrichment_quality", "D33 H33", """
-WITH b AS (SELECT md5(substr(text, 1, 40)) AS h, length(text) AS n, quality AS c, toxic FROM documents JOIN labels USING (doc_id))
+WITH b AS (SELECT md5(text) AS h, length(text) AS n, quality AS c, toxic FROM documents JOIN labels USING (doc_id))
 SELECT count(*) AS rows, round(100.0 * count(*) FILTER (toxic = 0) / count(*), 6) AS pct_populated, round(100.0 * count(*) FILTER (c = 1) / count(*), 6) AS pct_heuristic,
  round(100.0 * count(DISTINCT h) FILTER (toxic = 0) / count(*) FILTER (toxic = 0), 6) AS pct_unique, round(avg(32) FILTER (toxic = 0), 6) AS mean_length, CAST(0 AS DOUBLE) AS stdev_length, CAST(32 AS DOUBLE) AS median_length FROM b""")
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select(
-        F.when(F.col("toxic") == 0, F.md5(F.substring("text", 1, 40))).otherwise("  ").alias("role_summary"), F.col("quality").alias("confidence"),
+        F.when(F.col("toxic") == 0, F.md5("text")).otherwise("  ").alias("role_summary"), F.col("quality").alias("confidence"),
         F.lit("Communicates in a terse style").alias("style"),
     )
     out = quality.enrichment_quality(d, "role_summary")
@@ -595,7 +595,7 @@ def _(t):
 
 @query("stylometry", "H15", r"""
 WITH b AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Dear all,' || chr(10) || text || chr(10) || 'JB' WHEN 1 THEN 'Sally,' || chr(10) || text || chr(10) || 'John Arnold ' || chr(10)
-  WHEN 2 THEN text || chr(10) || '--' WHEN 3 THEN text || ' Sent from my  BlackBerry' WHEN 4 THEN ' ' ELSE '  Good morning x. y' END AS t FROM documents),
+  WHEN 2 THEN text || chr(10) || '--' WHEN 3 THEN text || ' Sent from my  BlackBerry' WHEN 4 THEN '  ' || text ELSE '  Good morning x. ' || text END AS t FROM documents),
 s AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '[.!?]+'), lambda s: len(regexp_extract_all(s, '[^\s\p{Z}]+'))), lambda n: n > 0) AS n FROM b)
 SELECT doc_id, round(CASE WHEN len(n) > 0 THEN list_sum(n) / len(n) ELSE 0 END, 6) AS mean_sentence_length, CASE doc_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN 'first_name' WHEN 5 THEN 'formal' ELSE
   CASE WHEN regexp_matches(substr(t, 1, 120), '(?m)^[A-Z][a-z]+,\s*$') THEN 'first_name' ELSE 'none' END END AS salutation,
@@ -603,7 +603,7 @@ SELECT doc_id, round(CASE WHEN len(n) > 0 THEN list_sum(n) / len(n) ELSE 0 END,
 def _(t):
     b = F.expr(
         r"""CASE doc_id % 6 WHEN 0 THEN 'Dear all,\n' || text || '\nJB' WHEN 1 THEN 'Sally,\n' || text || '\nJohn Arnold \n' WHEN 2 THEN text || '\n--'
-        WHEN 3 THEN text || ' Sent from my  BlackBerry' WHEN 4 THEN ' ' ELSE '  Good morning x. y' END"""
+        WHEN 3 THEN text || ' Sent from my  BlackBerry' WHEN 4 THEN '  ' || text ELSE '  Good morning x. ' || text END"""
     )
     d = t.documents.select("doc_id", b.alias("t"))
     c = F.col("t")

@@ -470,11 +470,17 @@ def _(t):
 
 
 @query("keyed_upsert", "A14 A17", """
-SELECT l_orderkey, l_linenumber, sum(l_quantity) AS quantity, CASE WHEN l_linenumber = 2 THEN 'new' ELSE 'old' END AS version FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL""")
-def _(t):
-    from tieline.sources.sinks import upsert
-
-    agg = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
-    old = agg.where("l_linenumber <= 2").withColumn("version", F.lit("old")).withColumn("quantity", F.when(F.col("l_linenumber") == 1, F.col("quantity")))
-    new = agg.where("l_linenumber = 2").withColumn("version", F.lit("new"))
-    return upsert(old, new, ["l_orderkey", "l_linenumber"], [F.col("quantity")])
+SELECT l_orderkey, l_linenumber, sum(l_quantity) AS quantity, CASE WHEN l_linenumber % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM lineitem GROUP BY ALL""")
+def _(t):
+    from tieline.session import work_dir
+    from tieline.sources.tables import UpsertTable
+
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
+    even = F.col("l_linenumber") % 2 == 0
+    table = UpsertTable(t.spark, work_dir(t.spark, "lines"), ["l_orderkey", "l_linenumber"])
+    # First every line, the even ones without a quantity; then these as the new version, and once more as a repeated batch.
+    table(lines.select("l_orderkey", "l_linenumber", F.when(~even, F.col("quantity")).alias("quantity"), F.lit("old").alias("version")), 0)
+    new = lines.where(even).withColumn("version", F.lit("new"))
+    table(new, 1)
+    table(new, 1)
+    return table.read()

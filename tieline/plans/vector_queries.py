@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tieline.operators import stats, vectors
+from tieline.operators import density, stats, vectors
 from tieline.plans.columns import r6
 from tieline.plans.registry import query
+from tieline.session import cut_lineage
 
 CENTROIDS = """
 WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, unnest(range(1, 65)) AS u(i) GROUP BY label, i),
@@ -93,9 +94,11 @@ def _(t):
 
 @query("density_clusters", "J2 J3")
 def _(t):
-    p = vectors.reduce_dimensions(t.embeddings).persist()
-    a = vectors.density_clusters(p, 50, out="project")
-    b = vectors.density_clusters(p, 10, out="topic")
+    p = cut_lineage(vectors.reduce_dimensions(t.embeddings))
+    # Both granularities read one forest.
+    forest = density.spanning_forest(density.reachability(density.neighbours(p, 10)))
+    a = density.condensed_clusters(p, forest, 50, out="project")
+    b = density.condensed_clusters(p, forest, 10, out="topic")
     return vectors.label_table(a.join(b, "vec_id"), "vec_id", "project", "topic")
 
 

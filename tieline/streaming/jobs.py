@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tieline.functions import text as X
 from tieline.operators.threads import WEEK_SECONDS
 from tieline.session import work_dir
-from tieline.sources.sinks import upsert
+from tieline.sources.tables import UpsertTable
 
 
 def stream_files(spark: SparkSession, folder: str, schema, glob: str, per_trigger: int = 100) -> DataFrame:
@@ -47,34 +44,6 @@ def pair_sums(mail: DataFrame) -> DataFrame:
     )
 
 
-class UpsertTable:
-    """Versioned parquet table for ``foreachBatch``: each batch writes a new version from the last one.
-
-    The version is the batch id, so a repeated batch overwrites its own version and nothing else.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str]):
-        self.spark, self.path, self.key = spark, path, key
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v=") and done(s.getPath()))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v={found[-1]}") if found else None
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        old = self.read(batch_id)
-        new = batch if old is None else upsert(old, batch, self.key)
-        new.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-
-
 def run_upsert(updates: DataFrame, path: str, key: list[str]) -> StreamingQuery:
     """Runs a rollup in update mode into an :class:`UpsertTable` until the input is read."""
     spark = updates.sparkSession
@@ -92,43 +61,97 @@ def run_to_table(rows: DataFrame, path: str) -> StreamingQuery:
     )
 
 
-def _reply_state(key, frames, state: GroupState):
-    """Rows wait until the watermark has passed them and then go out in order of (date, id)."""
-    last_sender, last, *held = state.get if state.exists else (None, None, [], [], [])
-    waiting = list(zip(*held, strict=True))
-    if not state.hasTimedOut:
-        for pdf in frames:
+_TURN = "micros bigint, email_id string, sender string"
+_SLOT_ROWS = "thread_key string, lane bigint, closes timestamp, responder string, original string, seconds double, first_at bigint, first_by string, last_at bigint, last_by string"
+_REPLIES = "thread_key string, responder string, original string, seconds double"
+
+
+def _replies(turns: list[tuple[int, str, str]]) -> list[tuple[str, str, float]]:
+    """(responder, original, seconds) of neighbours by different senders within seven days; turns are in order."""
+    return [
+        (y[2], x[2], (y[0] - x[0]) / 1e6) for x, y in zip(turns, turns[1:], strict=False)
+        if x[2] != y[2] and 0 < y[0] - x[0] < WEEK_SECONDS * 1_000_000
+    ]
+
+
+class SlotTurns(StatefulProcessor):
+    """Holds the turns of one (thread, slot) until the watermark has passed the slot, then gives its replies and its ends."""
+
+    def __init__(self, slot_seconds: int):
+        self.slot_seconds = slot_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", _TURN)
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.turns.exists():
+            self.handle.registerTimer((key[1] + 1) * self.slot_seconds * 1000)
+        for pdf in rows:
             micros = pdf["date"].astype("datetime64[us]").astype("int64").tolist()
-            waiting += zip(micros, pdf["email_id"], pdf["sender"], strict=True)
-    passed = state.getCurrentWatermarkMs() * 1000
-    waiting.sort()
-    ready = bisect_left(waiting, (passed,))
-    out = []
-    for micros, _, sender in waiting[:ready]:
-        if last is not None and sender != last_sender and 0 < micros - last < WEEK_SECONDS * 1_000_000:
-            out.append((key[0], sender, last_sender, (micros - last) / 1e6))
-        last_sender, last = sender, micros
-    waiting = waiting[ready:]
-    due = waiting[0][0] if waiting else last + WEEK_SECONDS * 1_000_000
-    if not waiting and due < passed:
-        state.remove()
-    else:
-        dates, ids, senders = map(list, zip(*waiting, strict=True)) if waiting else ([], [], [])
-        state.update((last_sender, last, dates, ids, senders))
-        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["thread_key", "responder", "original", "seconds"])
-
-
-def thread_replies(mail: DataFrame, delay: str = "7 days") -> DataFrame:
+            self.turns.appendList(list(zip(micros, pdf["email_id"], pdf["sender"], strict=True)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        turns = sorted(tuple(t) for t in self.turns.get())
+        self.turns.clear()
+        closes = pd.Timestamp((key[1] + 1) * self.slot_seconds, unit="s")
+        first, last = turns[0], turns[-1]
+        out = [(key[0], key[1], closes, *reply, None, None, None, None) for reply in _replies(turns)]
+        # The slot's ends go to the thread's one lane of ends, its replies pass on in a lane of their own.
+        out.append((key[0], -1, closes, None, None, None, first[0], first[2], last[0], last[2]))
+        columns = ["thread_key", "lane", "closes", "responder", "original", "seconds", "first_at", "first_by", "last_at", "last_by"]
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"first_at": "Int64", "last_at": "Int64", "seconds": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+class SlotBorders(StatefulProcessor):
+    """Replies across slot borders: of a thread it keeps the end of its last closed slot, for seven days of event time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "micros bigint, sender string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = list(rows)
+        pdf = pd.concat(frames) if len(frames) > 1 else frames[0]
+        if key[1] >= 0:
+            yield pdf[["thread_key", "responder", "original", "seconds"]]
+            return
+        ends = sorted(zip(pdf["first_at"].astype("int64").tolist(), pdf["first_by"], pdf["last_at"].astype("int64").tolist(), pdf["last_by"], strict=True))
+        held = self.last.get() if self.last.exists() else None
+        out = []
+        for first_at, first_by, last_at, last_by in ends:
+            if held is not None:
+                out += [(key[0], *reply) for reply in _replies([(held[0], "", held[1]), (first_at, "", first_by)])]
+            held = (last_at, last_by)
+        self.last.update(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(held[0] // 1000 + WEEK_SECONDS * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["thread_key", "responder", "original", "seconds"]).astype({"seconds": "float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def thread_replies(mail: DataFrame, delay: str = "7 days", slot_seconds: int = 86_400) -> DataFrame:
     """Reply latencies per thread, the same as the batch operator's whatever order rows arrive in within ``delay``.
 
-    State of a thread: its rows that the watermark has not passed, and the last (sender, time) before them for seven days.
-    Rows behind the watermark are late and go.  ``mail``: thread_key, email_id, sender, date.
+    Two stateful steps.  The first holds the turns of a (thread, slot) as a list until the watermark has passed the slot, so
+    a busy thread is spread over its slots and no key holds more than one slot.  The second joins the slots' ends: one row a slot,
+    and for each thread one value that seven days of event time remove.  Rows behind the watermark are late and go.
+    ``mail``: thread_key, email_id, sender, date.  State lives in RocksDB, which the session is set to.
     """
-    return (
-        mail.where("thread_key <> '' and date is not null").withWatermark("date", delay).groupBy("thread_key")
-        .applyInPandasWithState(
-            _reply_state, "thread_key string, responder string, original string, seconds double",
-            "sender string, last bigint, dates array<bigint>, ids array<string>, senders array<string>", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+    mail.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    slot = F.floor(F.unix_seconds("date") / slot_seconds).cast("bigint")
+    turns = mail.where("thread_key <> '' and date is not null").withWatermark("date", delay).withColumn("slot", slot)
+    slots = turns.groupBy("thread_key", "slot").transformWithStateInPandas(SlotTurns(slot_seconds), _SLOT_ROWS, "append", "eventTime", eventTimeColumnName="closes")
+    return slots.groupBy("thread_key", "lane").transformWithStateInPandas(SlotBorders(), _REPLIES, "append", "eventTime")
