@@ -197,7 +197,7 @@ def condensed_clusters(items: DataFrame, forest: DataFrame, min_size: int, item:
     the topmost on each branch; the root of a connected forest is not one.  Weights count by level.  Points that no edge touches are noise.
     """
     ids = items.select(F.col(item).alias("comp")).distinct()
-    comps = cut_lineage(ids.select("comp", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below")))
+    comps = cut_lineage(ids.select("comp", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("born_at")))
     points = cut_lineage(ids.select(F.col("comp").alias("item"), "comp"))
     cuts = levels_of(forest)
     least = next((w for w in cuts if w > 0), 1.0)
@@ -213,7 +213,7 @@ def condensed_clusters(items: DataFrame, forest: DataFrame, min_size: int, item:
         rate = 1 / max(weight, least)
         now = edges.where(F.col("level") == i)
         moved = _united(now)
-        parts = cut_lineage(ending(comps.join(moved, F.col("comp") == F.col("node")).drop("node"), rate))
+        parts = ending(comps.drop("n").join(moved, F.col("comp") == F.col("node")).drop("node"), rate)
         big = F.col("cluster").isNotNull()
         met = parts.groupBy("component").agg(
             F.sum("size").alias("size"), F.count_if(big).alias("n"), F.max("cluster").alias("cluster"), F.coalesce(F.sum(F.when(~big, F.col("size"))), F.lit(0)).alias("small"),
@@ -223,14 +223,14 @@ def condensed_clusters(items: DataFrame, forest: DataFrame, min_size: int, item:
         named = F.when(born, F.concat(F.lit(f"{i}:"), F.col("component").cast("string"))).otherwise(F.col("cluster"))
         mass = F.when(born, F.col("size") * rate).when(F.col("n") == 1, F.col("mass") + F.col("small") * rate).otherwise(0.0)
         below = F.when(F.col("n") > 1, F.col("best")).when(F.col("n") == 1, F.col("below")).otherwise(0.0)
-        met = cut_lineage(met.select(F.col("component").alias("comp"), "size", named.alias("cluster"), mass.alias("mass"), below.alias("below"), "n"))
-        up = met.select(F.col("comp").alias("component"), F.col("cluster").alias("parent"), "n")
+        met = met.select(F.col("component").alias("comp"), "size", named.alias("cluster"), mass.alias("mass"), below.alias("below"), "n", F.lit(i).alias("born_at"))
+        comps = cut_lineage(comps.join(moved, F.col("comp") == F.col("node"), "left_anti").unionByName(met))
+        up = comps.where(F.col("born_at") == i).select(F.col("comp").alias("component"), F.col("cluster").alias("parent"), "n")
         closed.append(parts.where(big).join(up.where("n > 1"), "component").select("cluster", "parent", "taken"))
         into = parts.where(~big).join(up, "component").select("comp", F.col("component").alias("to"), F.col("parent").alias("_cluster"))
         points = cut_lineage(points.join(into, "comp", "left").select("item", F.coalesce("to", "comp").alias("comp"), F.col("_cluster").alias("cluster")))
         joined.append(points.where("cluster is not null").select("item", "cluster"))
         points = points.where("cluster is null").select("item", "comp")
-        comps = cut_lineage(comps.join(moved, F.col("comp") == F.col("node"), "left_anti").unionByName(met.drop("n")))
         edges = cut_lineage(_renamed(edges.where(F.col("level") > i), moved))
 
     if not joined:
