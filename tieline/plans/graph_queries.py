@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tieline.functions import text as X
 from tieline.operators import knowledge as K
-from tieline.operators import network, rollups
+from tieline.operators import network, reach, rollups
 from tieline.operators.retrieval import search_columns
 from tieline.plans.columns import listed, r6
 from tieline.plans.registry import query
@@ -60,7 +60,7 @@ def _(t):
 
 @query("communities", "I5")
 def _(t):
-    return network.louvain(t.tie)
+    return network.louvain(t.contact)
 
 
 REACH = """
@@ -68,16 +68,25 @@ WITH RECURSIVE l AS (SELECT src AS a, dst AS b FROM tie UNION SELECT dst, src FR
   SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other)"""
 
 
-@query("weak_components", "I7", REACH + "SELECT node, min(other) AS component FROM r GROUP BY node")
+@query("weak_components", "I7", """
+WITH RECURSIVE l AS MATERIALIZED (SELECT src AS a, dst AS b FROM contact UNION SELECT dst, src FROM contact), r(node, component) USING KEY (node) AS (
+ SELECT DISTINCT a, a FROM l UNION SELECT cur.node, min(r.component) FROM r JOIN l ON l.a = r.node JOIN recurring.r AS cur ON cur.node = l.b WHERE r.component < cur.component GROUP BY cur.node)
+SELECT node, component FROM r""")
 def _(t):
-    return network.components(t.tie)
+    return network.components(t.contact)
 
 
 @query("strong_components", "I8", """
-WITH RECURSIVE r AS (SELECT src AS node, src AS other FROM tie UNION SELECT dst, dst FROM tie UNION SELECT r.node, t.dst FROM r JOIN tie t ON t.src = r.other)
+WITH RECURSIVE r AS (SELECT src AS node, src AS other FROM contact UNION SELECT dst, dst FROM contact UNION SELECT r.node, t.dst FROM r JOIN contact t ON t.src = r.other)
 SELECT a.node, min(a.other) AS component FROM r a JOIN r b ON b.node = a.other AND b.other = a.node GROUP BY a.node""")
 def _(t):
-    return network.strong_components(t.tie)
+    return network.strong_components(t.contact)
+
+
+@query("path_estimates", "I11")
+def _(t):
+    out = reach.distance_estimates(t.contact)
+    return out.select("weak_components", "largest_size", "steps", F.round("avg_shortest_path", 2).alias("avg_shortest_path"))
 
 
 @query("clustering", "I10", """
