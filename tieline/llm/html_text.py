@@ -16,17 +16,23 @@ STOP_WORDS = frozenset(
     der die das und ist von zu den mit sich auf für nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um
     el los las y del se por con para su al lo como más pero sus le ya este sí porque esta entre cuando muy sin sobre""".split()
 )
-_SKIPPED = frozenset("script style noscript template iframe object embed svg canvas math head title form select option button textarea input label fieldset datalist audio video map".split())
+_SKIPPED = frozenset("script style noscript template iframe object embed svg canvas head title form select option button textarea input fieldset datalist audio video map".split())
 _RAW = frozenset("script style textarea title noscript iframe template".split())
 _BOILER = frozenset("nav footer header aside menu dialog".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NAMED = re.compile(
-    r"(?:^|[\s_\-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|replies|respond|login|search|toolbar|pagination|pager|tags|legal|copyright|skip)(?=$|[\s_\-\d])",
-    re.IGNORECASE,
+#: Names of boilerplate wherever it stands, and names that count outside articles only.
+_ALWAYS = frozenset(
+    """ad ads adsense advert advertisement advertising banner promo promotion sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs menu
+    cookie cookies consent gdpr popup modal newsletter subscribe social share sharing related recommended recommendations
+    comment comments commentlist disqus replies respond login toolbar pagination pager""".split()
 )
+_OUTSIDE = frozenset("header footer masthead".split())
+#: Words that also occur in names of prose (legal-background): they count alone, and outside articles only.
+_ALONE = frozenset("side foot notice legal copyright tags search skip".split())
+_PROSE = frozenset("blockquote q cite h1 h2 h3 h4 h5 h6 strong em b i span code pre table figure".split())
 #: Tokens that say what a page has or lacks, not what an element is.
 _ABOUT = re.compile(r"(?:has|have|no|not|with|without|hide|show)[_\-]", re.IGNORECASE)
 _TAG = re.compile(
@@ -44,17 +50,25 @@ class Block:
     linked: int
     boiler: bool
     article: bool
-    heading: bool
+    tag: str
     label: str = ""
 
 
 def _boiler(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is boilerplate by its name, or by the first or last part of a class, id or role."""
     if name in _BOILER:
         return not (name == "header" and in_article)
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "article", "main") or in_article and name in _PROSE:
         return False
-    tokens = (t for m in _ATTRIBUTE.finditer(attributes) for t in " ".join(filter(None, m.groups()[1:])).split())
-    return any(_NAMED.search(t) and not _ABOUT.match(t) for t in tokens)
+    for m in _ATTRIBUTE.finditer(attributes):
+        for token in " ".join(filter(None, m.groups()[1:])).lower().split():
+            if _ABOUT.match(token):
+                continue
+            parts = re.split(r"[-_]+", token.strip("-_0123456789"))
+            ends = {parts[0], parts[-1]}
+            if ends & _ALWAYS or not in_article and (ends & _OUTSIDE or token in _ALONE):
+                return True
+    return False
 
 
 def blocks(page: str, named: bool = True) -> list[Block]:
@@ -75,7 +89,7 @@ def blocks(page: str, named: bool = True) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             _, boiler, article = state()
-            out.append(Block(text, linked, boiler, article, any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)))
+            out.append(Block(text, linked, boiler, article, next((s[0] for s in reversed(stack) if s[0] in _BLOCK), "")))
         parts.clear()
         linked = 0
 
@@ -136,59 +150,63 @@ def blocks(page: str, named: bool = True) -> list[Block]:
 
 
 def first_pass(found: list[Block], low: float = 0.15, high: float = 0.3, short: int = 70, long: int = 200, max_links: float = 0.33) -> None:
-    """Stop-word density, length and link density label blocks good, bad, near (nearly good) or short."""
+    """Stop-word density, length and link density label blocks good, bad, near (nearly good) or short.
+
+    Long text without links is near at least: its language may have other stop words, or no blanks.
+    """
     for b in found:
         size = max(1, len(b.text.replace(" ", "")))
         words = _WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         links = b.linked / size
-        if b.boiler or links > (0.8 if b.article else max_links):
+        if b.boiler:
             b.label = "bad"
-        elif b.article and not b.linked:
-            b.label = "good" if len(b.text) >= short or stops >= low else "short"
+        elif links > max_links:
+            b.label = "short" if b.article and b.tag == "p" else "bad"
         elif len(b.text) < short:
-            b.label = "short" if not b.linked else "bad"
+            b.label = "bad" if b.linked and not b.article else "short"
         elif stops >= high:
             b.label = "good" if len(b.text) > long else "near"
-        elif stops >= low or b.article:
+        elif stops >= low or not b.linked or b.article:
             b.label = "near"
         else:
             b.label = "bad"
 
 
 def second_pass(found: list[Block]) -> None:
-    """Short and near blocks take the label of the nearest decided neighbours; where those differ, near ones are good, short ones bad.
+    """Near and short blocks take the label of the nearest decided neighbour, at equal distance the good one's.
 
-    Inside an article only blocks of the article are neighbours, and an undecided article is good.
+    What markup alone makes boilerplate decides nothing about its neighbours, and blocks in and outside articles are no
+    neighbours of each other.  Where no block is good the longest of those near it counts as
+    good, or else the longest short paragraph.
     """
     for inside in (True, False):
-        own = [b for b in found if b.article == inside]
-        decided = [b.label if b.label in ("good", "bad") else None for b in own]
-        before: list[str | None] = []
-        last = None
-        for d in decided:
-            before.append(last)
-            last = d or last
-        last = None
-        for i in range(len(own) - 1, -1, -1):
-            b = own[i]
-            if decided[i] is None:
-                sides = {x for x in (before[i], last) if x}
-                if inside:
-                    b.label = "good" if "good" in sides or not sides or not b.linked else "bad"
-                elif sides == {"good"}:
-                    b.label = "good"
-                elif b.label == "near":
-                    b.label = "good" if "good" in sides or not sides else "bad"
-                else:
-                    b.label = "good" if b.heading and last == "good" else "bad"
-            last = decided[i] or last
+        own = [b for b in found if b.article == inside and not b.boiler]
+        decided = [i for i, b in enumerate(own) if b.label in ("good", "bad")]
+        if not any(own[i].label == "good" for i in decided):
+            # No block passes alone: the longest near one, or else the longest short paragraph or heading, stands for the text.
+            near = [i for i, b in enumerate(own) if b.label == "near" or b.label == "short" and (inside or b.tag in ("p", "h1", "h2", "h3"))]
+            if near:
+                best = max(near, key=lambda i: (own[i].label == "near", len(own[i].text), -i))
+                own[best].label = "good"
+                decided = sorted([*decided, best])
+        labels = [own[i].label for i in decided]
+        at = 0
+        for i, b in enumerate(own):
+            while at < len(decided) and decided[at] < i:
+                at += 1
+            if b.label in ("good", "bad"):
+                continue
+            sides = [(abs(decided[k] - i), labels[k] != "good", labels[k]) for k in (at - 1, at) if 0 <= k < len(decided)]
+            b.label = min(sides)[2] if sides else "bad"
 
 
 def main_text(page: str) -> str:
-    """The page's article: good blocks in order, one space between.  If the page marks an article, text outside is none of it.
+    """The page's article: good blocks in order, one space between.
 
-    Where classes and ids leave no text, or none of the page's articles, a wrapper has such a name: then they do not count outside articles.
+    An article or main element is a prior: where its good blocks hold at least half as much text as the good blocks outside,
+    the others are left out, else the elements are teasers.  Where classes and ids leave no text, or none of the page's
+    articles, a wrapper has such a name: then they do not count outside articles.
     """
     text = ""
     for named in (True, False):
@@ -197,9 +215,12 @@ def main_text(page: str) -> str:
         second_pass(found)
         good = [b for b in found if b.label == "good"]
         marked = [b for b in good if b.article]
+        other = [b for b in good if not b.article]
+        if 2 * sum(len(b.text) for b in marked) < sum(len(b.text) for b in other):
+            marked = []
         if marked or not text:
-            text = " ".join(b.text for b in marked or good)
-        if marked or text and not any(b.article for b in found):
+            text = " ".join(b.text for b in marked or other)
+        if marked or text and (other or not any(b.article for b in found)):
             break
     return text
 
@@ -207,8 +228,8 @@ def main_text(page: str) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row a page.
 
-    Null and empty pages have an empty text, broken markup is read as far as it goes, repeated rows are alike, an
-    empty table gives no rows.
+    Null and empty pages have an empty text, broken markup is read as far as it goes, a page of any length is read whole,
+    repeated rows are alike, further columns go no further, an empty table gives no rows.
     """
 
     def batches(it):
