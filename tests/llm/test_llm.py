@@ -368,6 +368,35 @@ def test_licenses(spark, docs, real):
     assert (tagged["labels"], tagged["score"], tagged["permissive"]) == ("gpl-2,mit", 1.0, True)
 
 
+def test_longest_notice_and_known_identifiers():
+    for text, labels, score in (
+        ("CC BY-NC 4.0", "cc-by-nc", 0.9),
+        ("cc by 4.0 and CC BY-NC", "cc-by,cc-by-nc", 0.9),
+        ("GNU General Public License version 3", "gpl-3", 0.9),
+        ("GNU General Public License version 9", "gpl", 0.8),
+        ("released under the MIT license", "mit", 0.9),
+        ("SPDX-License-Identifier: see the file", "", 0.4),
+        ("SPDX-License-Identifier: MIT or the GPL", "", 0.4),
+        ("SPDX-License-Identifier: MIT WITH MIT", "", 0.4),
+        ("SPDX-License-Identifier: LicenseRef-Own AND GPL-2.0+ WITH Classpath-exception-2.0", "gpl-2,licenseref-own", 1.0),
+        ("word " * 200_000 + "SPDX-License-Identifier: (0BSD)", "0bsd", 1.0),
+        ("", "", 0.0),
+    ):
+        got = licenses.scan(text)
+        assert (got["labels"], got["score"]) == (labels, score), text[-60:]
+    assert licenses.scan("cc by nc nd")["n_base"] == 1
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string, row string, matches string, labels string, score double")
+    assert licenses.scan_licenses(none).count() == 0 and pseudonyms.pseudonymise(none, "k").count() == 0
+    assert pseudonyms.pseudonymise_documents(none, "k").columns == none.columns and pseudonyms.pseudonymise_documents(none, "k").count() == 0
+    assert simhash.drop_near_duplicates(none).count() == 0
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string, text string")).count() == 0
+    talks = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.rotate_perspectives(talks).count() == 0
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3 + (i % 7), 16)], 0) for i in range(400)]
@@ -405,6 +434,29 @@ def test_pages(spark):
         assert html_text.main_text(r["html"]) == want
 
 
+def test_block_rules_decide_without_article_tags(spark):
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    same = sum(html_text.main_text(p) == html_text.main_text(re.sub(r"</?article[^>]*>", "", p)) for p in pages)
+    assert same >= 0.95 * len(pages)
+
+
+def test_articles_are_a_prior():
+    prose = "This is the text of the page and it is as long as it has to be for the rules. " * 4
+    one = prose.strip()
+    for page, want in (
+        (f"<article class=teaser><p>Short teaser.</p></article><div><p>{prose}</p><p>{prose}</p></div>", f"{one} {one}"),
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{prose}</p></article>', f"Title {one}"),
+        (f'<article><section id="legal-background"><p>{prose}</p></section><blockquote class="quote notice">Quoted.</blockquote></article>', f"{one} Quoted."),
+        (f"<article><p>{prose}</p><p><a href=x>A whole linked paragraph.</a></p><p>{prose}</p></article>", f"{one} A whole linked paragraph. {one}"),
+        (f"<article><p>{prose} so <math>x</math> is <label>one</label> thing.</p></article>", f"{one} so x is one thing."),
+        ("<div>" + "これは日本語の文章です。" * 30 + "</div>", "これは日本語の文章です。" * 30),
+    ):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<article><p>{prose * 3000}</p></article>") == (prose * 3000).strip()
+
+
 def test_names_of_wrappers():
     prose = "This is the text of the page and it is as long as it has to be for the rules. " * 4
     for name in ("content no-sidebar", "site has-sidebar", "layout with-header", "post tags-news"):

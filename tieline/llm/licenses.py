@@ -39,6 +39,22 @@ NOTICES = {
 TAG = "spdx license identifier"
 PERMISSIVE = frozenset("mit apache-2 bsd bsd-2-clause bsd-3-clause isc unlicense cc0 cc-by 0bsd zlib".split())
 
+#: Identifiers of the SPDX list that expressions may name, without version suffixes (-only, -or-later), and its exceptions; fixed values.
+KNOWN = frozenset(
+    """0BSD AAL AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 APSL-1.0 APSL-2.0 Artistic-1.0 Artistic-2.0
+    BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0
+    CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-1.0 CC-BY-NC-ND-2.0 CC-BY-NC-ND-2.5 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0
+    CC-BY-NC-SA-1.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-2.5 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-1.0 CC-BY-ND-2.0 CC-BY-ND-2.5 CC-BY-ND-3.0 CC-BY-ND-4.0
+    CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CECILL-B CECILL-C CPL-1.0 ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0
+    EUPL-1.1 EUPL-1.2 GFDL-1.1 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 HPND ICU IJG IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0 LPL-1.02 LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1
+    MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-2.1 OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SSPL-1.0
+    Unicode-3.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".lower().split()
+)
+EXCEPTIONS = frozenset(
+    """389-exception Autoconf-exception-2.0 Autoconf-exception-3.0 Bison-exception-2.2 Bootloader-exception Classpath-exception-2.0 eCos-exception-2.0 Font-exception-2.0
+    GCC-exception-2.0 GCC-exception-3.1 GPL-3.0-linking-exception GPL-CC-1.0 LGPL-3.0-linking-exception Libtool-exception Linux-syscall-note LLVM-exception
+    OCaml-LGPL-linking-exception OpenJDK-assembly-exception-1.0 Qt-GPL-exception-1.0 Qt-LGPL-exception-1.1 u-boot-exception-2.0 Universal-FOSS-exception-1.0 WxWindows-exception-3.1""".lower().split()
+)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*(?::[A-Za-z0-9.+\-]+)?")
 _AFTER_TAG = re.compile(r"spdx[^0-9a-z]*license[^0-9a-z]*identifier[^\S\n]*:?([^\n]*)", re.IGNORECASE)
@@ -52,10 +68,18 @@ def licence_id(name: str) -> str:
     return re.sub(r"^(cc-by(?:-nc)?(?:-sa|-nd)?)-\d.*$", r"\1", name)
 
 
+def is_known(name: str, exception: bool = False) -> bool:
+    """Whether ``name`` is an identifier that an expression may hold: one of the list, or a reference of the document's own."""
+    name = name.lower()
+    if exception:
+        return name in EXCEPTIONS
+    return re.sub(r"(-only|-or-later|\+)$", "", name) in KNOWN or re.fullmatch(r"(documentref-[^:]+:)?licenseref-.+", name) is not None
+
+
 def parse_expression(text: str) -> list[str] | None:
     """Postfix form of the licence expression that ``text`` starts with, or None if none is well formed.
 
-    ``with`` binds closer than ``and``, that closer than ``or``.  Words after a complete expression are prose and end it.
+    An operand that is no known identifier, or behind ``with`` no known exception, makes the expression ill formed.  ``with`` binds closer than ``and``, that closer than ``or``.  Words after a complete expression are prose and end it.
     """
     out: list[str] = []
     held: list[str] = []
@@ -82,6 +106,8 @@ def parse_expression(text: str) -> list[str] | None:
         else:
             if not operand_next:
                 break
+            if not is_known(token, exception=bool(held) and held[-1] == "with"):
+                return None
             out.append("=" + token)
             operand_next = False
     if operand_next or "(" in held:
@@ -124,7 +150,7 @@ def scan(text: str) -> dict:
     """Hits of one text; ``places`` are the word positions of base phrases."""
     words = text.encode().translate(_FOLD).split()
     line = f" {b' '.join(words).decode()} "
-    places, base, labels, score, tagged = [], set(), set(), 0.0, False
+    places, base, hits, score, tagged = [], set(), [], 0.0, False
     blanks, counted = 0, 0
     for end, (phrase, base_label, own, weight) in _automaton().iter(line):
         if base_label:
@@ -132,9 +158,17 @@ def scan(text: str) -> dict:
             counted = end + 1
             places.append(blanks - 1 - len(phrase.split()))
             base.add(base_label)
+            hits.append((end - len(phrase) - 1, -end, None, weight))
         elif phrase == TAG:
             tagged = True
         else:
+            hits.append((end - len(phrase) - 1, -end, own, weight))
+    labels, reach = set(), -1
+    for _, end, own, weight in sorted(hits, key=lambda h: h[:2]):
+        if -end <= reach:  # inside a longer hit
+            continue
+        reach = -end
+        if own:
             labels.add(own)
         score = max(score, weight)
     permissive = base | labels <= PERMISSIVE
@@ -167,8 +201,9 @@ SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row a document: base hits, all labels, a confidence and whether permissive licences suffice.
 
-    The score is 1 for a well-formed tagged expression, 0.5 to 0.9 for notices, 0.4 for a tag alone, 0 for nothing.
-    Null texts count as empty, repeated rows are alike, an empty table gives no rows.
+    The score is 1 for a well-formed tagged expression of known identifiers, 0.5 to 0.9 for notices, 0.4 for a tag alone, 0
+    for nothing.  A notice inside a longer one gives no label; base hits all count.  Null texts count as empty, texts of any
+    length are scanned whole, repeated rows are alike, further columns go no further, an empty table gives no rows.
     """
     names = [c.strip().split()[0] for c in SCHEMA.split(",")]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.bool_()]
