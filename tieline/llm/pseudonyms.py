@@ -1,7 +1,7 @@
 """Operator 2: format-preserving Feistel pseudonyms, with DataFrame functions only.
 
-A value is replaced by a keyed permutation of the values of its format, so equal values get equal pseudonyms in every
-document, different values stay different, and whoever holds the key can invert them.  The key is a parameter; keep
+A value is replaced by a keyed permutation of the values of its format (kind, separators, numbers of digits), so equal values
+get equal pseudonyms in every document, different values of a format stay different, and whoever holds the key can invert them.  The key is a parameter; keep
 it out of code and logs.
 """
 
@@ -19,10 +19,18 @@ SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9]|[./\-][0-9])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![0-9A-Za-z])"
+ADDRESS6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){2,5})(?![0-9A-Za-z:])"
+TOKEN = r"(?<![0-9A-Za-z_])(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[opsu]_[0-9A-Za-z]{36})(?![0-9A-Za-z_])"
+SOCIAL = r"(?<![0-9A-Za-z.\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|[.\-][0-9])"
+#: Groupings that are phone numbers without a leading + or bracket.
+NATIONAL = r"(?<![0-9A-Za-z.\-])(?:[2-9][0-9]{2}[ .\-][0-9]{3}[ .\-][0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4})(?![0-9A-Za-z]|[ .\-][0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .\-]?\(?|(?<![0-9A-Za-z])\()[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])"
-ANY = "|".join([EMAIL, SECRET, DATE, ADDRESS, CARD, PHONE])
+ANY = "|".join([EMAIL, SECRET, TOKEN, IBAN, DATE, ADDRESS, ADDRESS6, SOCIAL, CARD, PHONE, NATIONAL])
 #: Days of the 400 years that the calendar repeats after: 189 x 773, so that a Feistel network over the two factors is exact.
 _FIRST_DAY, _DAY_FACTORS = "1800-01-01", (189, 773)
+#: Steps of a cycle walk: a walk that is still outside its format then has odds below 1 in 10^20.
+_WALK = 256
 
 
 def _let(value: Column, body) -> Column:
@@ -88,10 +96,10 @@ def _luhn(digits: Column, doubled: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _pour(template: Column, digits: Column) -> Column:
-    """The template with its digits replaced in order."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(template, F.lit(1), i + 1), "[^0-9]", ""))
-    return F.concat_ws("", F.transform(_chars(template), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)))
+def _pour(template: Column, signs: Column, kind: str = "[0-9]") -> Column:
+    """The template with its characters of the kind (digits) replaced in order."""
+    place = lambda i: F.length(F.regexp_replace(F.substring(template, F.lit(1), i + 1), f"[^{kind[1:-1]}]", ""))
+    return F.concat_ws("", F.transform(_chars(template), lambda c, i: F.when(c.rlike(kind), F.substring(signs, place(i), F.lit(1))).otherwise(c)))
 
 
 def _digits(s: Column) -> Column:
@@ -125,30 +133,107 @@ def _address(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda x: x <= 255), swapped).otherwise(m)
 
 
+def _address6(m: Column, key: str) -> Column:
+    groups = F.filter(F.split(F.lower(m), ":"), lambda x: x != "")
+    upper = m.rlike("[A-F]") & ~m.rlike("[a-f]")
+    turned = _let(permute_text(F.concat_ws("", groups), key, "address6", ("0123456789abcdef",)), lambda d: _pour(F.lower(m), d, "[0-9a-f]"))
+    valid = (F.size(groups) == 8) | (m.contains("::") & F.size(groups).between(3, 7) & m.rlike("[0-9]"))
+    return F.when(valid, F.when(upper, F.upper(turned)).otherwise(turned)).otherwise(m)
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder of the number that an IBAN's characters spell, letters as 10 to 35."""
+    value = lambda c: (F.call_function("instr", F.lit(DECIMAL + UPPER), c) - 1).cast("int")
+    return F.aggregate(_chars(text), F.lit(0), lambda a, c: _let(value(c), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
+
+
+def _iban(m: Column, key: str) -> Column:
+    country, bare = F.substring(m, 1, 2), F.regexp_replace(m, " ", "")
+    body = F.substring(bare, F.lit(5), F.length(bare))
+    check = lambda b: F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+    swapped = _let(permute_text(body, key, "iban", (DECIMAL, UPPER)), lambda b: F.concat(country, check(b), b))
+    valid = F.length(bare).between(15, 34) & (_mod97(F.concat(body, F.substring(bare, 1, 4))) == 1)
+    return F.when(valid, _pour(m, swapped, "[0-9A-Z]")).otherwise(m)
+
+
+def _token(m: Column, key: str) -> Column:
+    tail = F.substring(m, F.lit(5), F.length(m))
+    upper = permute_text(tail, key, "token", (UPPER + "234567",))
+    return F.concat(F.substring(m, 1, 4), F.when(m.rlike("^A"), upper).otherwise(permute_text(tail, key, "token", (DECIMAL, LOWER, UPPER))))
+
+
+def _social(m: Column, key: str) -> Column:
+    """Area (not 000, 666 or from 900), group (not 00) and serial (not 0000) as one number, permuted."""
+    area, group, serial = (F.substring(m, at, n).cast("bigint") for at, n in ((1, 3), (5, 2), (8, 4)))
+    areas = 898
+    number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
+    two = lambda n, width: F.lpad(n.cast("string"), width, "0")
+
+    def shown(n: Column) -> Column:
+        a = F.floor(n / (99 * 9999)) + 1
+        return F.concat_ws("-", two(a + F.when(a > 665, 1).otherwise(0), 3), two(F.floor(n / 9999) % 99 + 1, 2), two(n % 9999 + 1, 4))
+
+    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+    return F.when(valid, _let(permute_number(number, key, "social", 9999, 99 * areas), shown)).otherwise(m)
+
+
 def _date(m: Column, key: str) -> Column:
-    part = lambda p, i, n: F.lpad(F.regexp_extract(m, p, i), n, "0")
-    dotted, slashed = r"^([0-9]+)\.([0-9]+)\.([0-9]+)$", r"^([0-9]+)/([0-9]+)/([0-9]+)$"
-    iso = (
-        F.when(m.contains("-"), m)
-        .when(m.contains("."), F.concat_ws("-", part(dotted, 3, 4), part(dotted, 2, 2), part(dotted, 1, 2)))
-        .otherwise(F.concat_ws("-", part(slashed, 3, 4), part(slashed, 1, 2), part(slashed, 2, 2)))
-    )
+    """Year-month-day, day.month.year, and month/day/year or, where that is no date, day/month/year.
+
+    The pseudonym has the order of the given date and its numbers of digits: the walk goes on until the new date fits them.
+    """
+    field = lambda i: F.regexp_extract(m, r"^([0-9]+)[-./]([0-9]+)[-./]([0-9]+)$", i)
+    read = lambda y, mo, d: F.concat_ws("-", F.lpad(field(y), 4, "0"), F.lpad(field(mo), 2, "0"), F.lpad(field(d), 2, "0")).try_cast("date")
     first = F.lit(_FIRST_DAY).cast("date")
-    day = F.datediff(iso.try_cast("date"), first)
     low, high = _DAY_FACTORS
-    moved = _let(permute_number(day.cast("bigint"), key, "date", low, high), lambda n: F.date_add(first, n.cast("int")))
-    text = _let(moved, lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
-    return F.when(day.between(0, low * high - 1), text).otherwise(m)
+    iso, slashed = m.contains("-"), m.contains("/")
+    date = F.when(iso, read(1, 2, 3)).when(slashed, F.coalesce(read(3, 1, 2), read(3, 2, 1))).otherwise(read(3, 2, 1))
+    month_first = slashed & read(3, 1, 2).isNotNull()
+    month_width = F.when(iso, 2).when(month_first, F.length(field(1))).otherwise(F.length(field(2)))
+    day_width = F.when(iso, 2).when(month_first, F.length(field(2))).otherwise(F.length(field(1)))
+    known = F.struct(F.datediff(date, first).cast("bigint").alias("day"), month_width.alias("mw"), day_width.alias("dw"), month_first.alias("mf"))
+
+    def moved(k: Column) -> Column:
+        def fits(n: Column) -> Column:
+            d = F.date_add(first, n.cast("int"))
+            return ((k["mw"] == 2) | (F.month(d) <= 9)) & ((k["dw"] == 2) | (F.dayofmonth(d) <= 9)) & (~slashed | k["mf"] | (F.dayofmonth(d) > 12))
+
+        step = lambda n: permute_number(n, key, "date", low, high)
+        start = F.struct(step(k["day"]).alias("n"))
+        # In most formats every date fits and nothing walks.
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, lambda s, i: F.when(fits(s["n"]), s).otherwise(F.struct(step(s["n"]).alias("n"))))
+        return F.when((k["mw"] == 2) & (k["dw"] == 2) & (~slashed | k["mf"]), start).otherwise(walk)["n"]
+
+    def shown(k: Column) -> Column:
+        def text(d: Column) -> Column:
+            month, day = F.lpad(F.month(d).cast("string"), k["mw"], "0"), F.lpad(F.dayofmonth(d).cast("string"), k["dw"], "0")
+            year = F.lpad(F.year(d).cast("string"), 4, "0")
+            return F.when(iso, F.concat_ws("-", year, month, day)).when(k["mf"], F.concat_ws("/", month, day, year)).otherwise(_let(F.when(slashed, "/").otherwise("."), lambda sep: F.concat(day, sep, month, sep, year)))
+
+        return F.when(k["day"].between(0, low * high - 1), _let(F.date_add(first, moved(k).cast("int")), text)).otherwise(m)
+
+    return _let(known, shown)
 
 
 def _phone(m: Column, key: str) -> Column:
+    """A leading country code stays, the other digits turn; of national groupings the first digit keeps to its range."""
     country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     swapped = F.concat(country, _pour(rest, permute_text(_digits(rest), key, "phone", (DECIMAL,))))
+
+    def national(first: int, low: int, high: int) -> Column:
+        number = permute_number(_digits(m).cast("bigint") - first, key, "national", low, high)
+        return _pour(m, F.lpad((number + first).cast("string"), 10, "0"))
+
+    local = F.when(m.startswith("0"), national(100_000_000, 30_000, 30_000)).otherwise(national(2_000_000_000, 80_000, 100_000))
+    swapped = F.when(m.rlike(f"^(?:{NATIONAL})$"), local).otherwise(swapped)
     return F.when(F.length(_digits(m)).between(8, 15), swapped).otherwise(m)
 
 
-_KINDS = (("emails", EMAIL, _email), ("secrets", SECRET, _secret), ("dates", DATE, _date), ("addresses", ADDRESS, _address), ("cards", CARD, _card), ("phones", PHONE, _phone))
+_KINDS = (
+    ("emails", EMAIL, _email), ("secrets", SECRET, _secret), ("tokens", TOKEN, _token), ("ibans", IBAN, _iban), ("dates", DATE, _date),
+    ("addresses", ADDRESS, _address), ("addresses6", ADDRESS6, _address6), ("socials", SOCIAL, _social), ("cards", CARD, _card), ("phones", f"{PHONE}|{NATIONAL}", _phone),
+)
 
 
 def replace_values(text: Column, key: str) -> tuple[Column, Column]:
@@ -173,10 +258,11 @@ def _replaced(df: DataFrame, text: Column, key: str) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_values, and one count a kind): texts with validated values replaced by pseudonyms.
 
-    Card numbers must pass their check digit (pseudonyms do too), addresses have octets to 255, dates exist between 1800
-    and 2199, phone numbers have 8 to 15 digits, hexadecimal secrets 32 or more; e-mail addresses keep their domain.  Anything
-    else stays byte for byte.  Counts are of changed values.  Null texts stay null with zero counts, repeated rows are
-    alike, an empty table gives no rows.
+    Card numbers must pass their check digit and IBANs their check sum (pseudonyms do too), addresses have octets to 255 or up
+    to eight groups, dates exist between 1800 and 2199, phone numbers have 8 to 15 digits and a leading +, a bracket or a
+    national grouping, hexadecimal secrets 32 digits or more; e-mail addresses keep their domain.  Anything else stays byte
+    for byte.  Counts are of changed values.  Null texts stay null with zero counts, texts of any length are read whole,
+    repeated rows are alike, further columns go no further, an empty table gives no rows.
     """
     df = _replaced(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("given")), F.col("given"), key)
     changed = F.filter(F.arrays_zip(F.col("matches").alias("m"), F.col("swapped").alias("s")), lambda p: p["m"] != p["s"])
@@ -187,7 +273,10 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
 
 def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
-    """The documents with :func:`pseudonymise`'s texts and ``n_chars`` to match; other columns unchanged."""
+    """The documents with :func:`pseudonymise`'s texts and ``n_chars`` to match; other columns unchanged.
+
+    Null, empty and long texts, repeated rows and the empty table as there.
+    """
     df = _replaced(with_whole_row(docs), F.col("row.text"), key)
     row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
