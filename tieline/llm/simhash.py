@@ -162,6 +162,13 @@ def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
 
 
+def bit_sketch(grams: np.ndarray) -> np.ndarray:
+    """1,024 bits, each set if a shingle falls on it, as signed integers: a set bit the other set lacks is a shingle it lacks."""
+    held = np.zeros(1024, np.uint8)
+    held[(grams >> np.uint64(17)).astype(np.int64) & 1023] = 1
+    return np.packbits(held, bitorder="little").view("<i8")
+
+
 def band_keys(grams: np.ndarray) -> list[int]:
     """One key for each band of least hashes, as signed integers; none for the empty set."""
     if not len(grams):
@@ -187,19 +194,20 @@ def _set_prints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _shingle_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams): the shingle sets of the ``wanted`` nodes as bytes, read from one document of each."""
+    """(node, grams, bits): the shingle sets of the ``wanted`` nodes as bytes, read from one document of each, and their sketches."""
 
     def sets(it):
         for batch in it:
-            grams = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
+            grams = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            bits = pa.array([bit_sketch(g) for g in grams], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), bits], names=["node", "grams", "bits"])
 
     found = wanted.select("node").distinct().join(nodes.select("node", "first"), "node")
     found = found.select("node", F.col("first.doc_id").alias("id"), F.col("first.content").alias("content"))
     texts = doc_texts(docs, as_bytes=True).withColumn("content", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(found["id"]) & (texts["content"] == found["content"])
     texts = texts.join(found, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
-    return cut_lineage(texts.mapInArrow(sets, "node bigint, grams binary"))
+    return cut_lineage(texts.mapInArrow(sets, "node bigint, grams binary, bits array<bigint>"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +242,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                     part = grams[i : i + (1 << 15)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(grams))), pa.array(part)], names=["node", "n", "gram"])
 
-    rows = cut_lineage(sets.mapInArrow(spread, "node bigint, n bigint, gram bigint"))
+    rows = cut_lineage(sets.select("node", "grams").mapInArrow(spread, "node bigint, n bigint, gram bigint"))
     often = rows.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
     # The list below is one text's own shingles.
     lists = rows.join(often, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("grams"))
@@ -251,7 +259,8 @@ def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int =
     components go on by their rarest shingles, where every similar pair meets: in rounds each is compared with ``heads``
     nodes a shingle, a number of rows in proportion to the shingles, for as long as a round joins a hundredth of the nodes
     that are left.  All pairs that share such a shingle across the last components are compared at the end, so rounds
-    change the work and not the components.  No key, shingle or pair is capped.
+    change the work and not the components.  Pairs leave these joins only if sizes, places in the orders and bit sketches
+    allow enough shared shingles: exact bounds that every similar pair meets.  No key, shingle or pair is capped.
     """
     sized = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     blocked = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -268,11 +277,15 @@ def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int =
         return rows.join(several.select(key), key)
 
     left = cut_lineage(mixed(shared, "key").select("node", "root").distinct())
-    open_ = cut_lineage(mixed(_prefixes(sets.join(left.select("node"), "node", "left_semi"), percent).join(left, "node"), "gram"))
+    open_ = cut_lineage(mixed(_prefixes(sets.join(left.select("node"), "node", "left_semi"), percent).join(left.join(sets.select("node", "bits"), "node"), "node"), "gram"))
     # Sets that meet at places i and j of their orders share at most the rest of either.
-    enough = lambda p, q: 1 + F.least(p["n"] - p["at"], q["n"] - q["at"]) - 1 >= F.ceil((p["n"] + q["n"]) * percent / (100 + percent))
-    apart = lambda p, q: (p["root"] != q["root"]) & sized(p["n"], q["n"]) & enough(p, q)
-    entry = F.struct("node", "root", "n", "at")
+    needed = lambda p, q: F.ceil((p["n"] + q["n"]) * percent / (100 + percent))
+    enough = lambda p, q: F.least(p["n"] - p["at"], q["n"] - q["at"]) >= needed(p, q)
+    # A bit of one sketch that the other lacks stands for a shingle, at least, that is not shared.
+    lacks = lambda p, q: F.aggregate(F.zip_with(p["bits"], q["bits"], lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, c: a + c)
+    shares = lambda p, q: F.least(p["n"] - lacks(p, q), q["n"] - lacks(q, p)) >= needed(p, q)
+    apart = lambda p, q: (p["root"] != q["root"]) & sized(p["n"], q["n"]) & enough(p, q) & shares(p, q)
+    entry = F.struct("node", "root", "n", "at", "bits")
     tried = cut_lineage(stars)
     for turn in count():
         # A head early in its own order can meet sets of its size, a later one only smaller sets.
