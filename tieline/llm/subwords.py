@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -20,6 +21,8 @@ import xxhash
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPLIT = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r"[\x00-\x1b\x20-ɏ‐-‧‰-⁞]*")
+#: Latin letters, then ASCII signs but the apostrophe: two pre-tokens, or one where there are no signs.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿĀ-ſ]*)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _NotAUnit(Exception):
@@ -106,14 +109,19 @@ def library_encoder(path: str) -> Callable[[str], bytes]:
     find = regex.compile(PATTERN).findall
     stand_in = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
     model = tok.model
+    simple_units = not any(_WORD.fullmatch(a) for a in added)
 
     def unit(text: str) -> bytes:
+        word = _WORD.fullmatch(text, 1) if simple_units and text[:1] == " " else None
+        if word and word[1]:  # no added token can be inside
+            return units[word[1]] + parts[word[2]] if word[2] else part(text)
         if not _PLAIN.fullmatch(text) or any(a in text for a in added):
             return whole(text)
         return b"".join(map(parts.__getitem__, find(text)))
 
     def part(text: str) -> bytes:
-        return np.asarray([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(stand_in))], dtype="<u4").tobytes()
+        ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(stand_in))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     parts = Memo(part)
     units = Units(unit)
