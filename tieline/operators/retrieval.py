@@ -193,17 +193,34 @@ def person_context(people: DataFrame, reports: DataFrame, members: DataFrame, ed
 def entity_samples(mail: DataFrame, domains: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` longest mails per domain that occurs in a sender or recipient address.
 
-    ``domains`` (domain) may be a substring of an address domain, so addresses are reduced to
-    their distinct domains before the substring match; the match runs on those few rows.
+    ``domains`` (domain) may be a substring of an address domain, so addresses are reduced to their distinct domains and these
+    are met by substring.  Empty and null entries name no domain and give no rows.
     """
     text = F.lower(F.concat_ws(",", F.array("sender_email"), F.col("recipients_emails")))
     parts = mail.select("email_id", "body_chars", F.explode(F.array_distinct(F.transform(F.split(text, ","), X.domain_of))).alias("found"))
-    known = parts.select("found").distinct().where("found is not null")
-    hit = known.join(domains, F.col("found").contains(F.lower("domain"))).select("found", "domain")
+    hit = containing(parts.select("found").distinct().where("found is not null"), domains.select("domain", F.lower("domain").alias("low")))
     rows = parts.join(hit, "found").select("domain", "email_id", "body_chars").distinct()
     return top_per_key(rows, ["domain"], [F.desc("body_chars"), F.col("email_id")], k)
 
 
+def containing(texts: DataFrame, wanted: DataFrame, run: int = 4) -> DataFrame:
+    """(found, domain): the distinct texts of ``texts`` (found) that contain ``low`` of ``wanted`` (domain, low), by equality joins.
+
+    Every suffix of a text starts with runs of 1 to ``run`` characters, and a text that contains a wanted string has each of the
+    string's runs.  So a wanted string meets the texts at its rarest run (itself, if it is shorter), and ``contains`` then
+    decides.  The suffix table has ``run`` rows a character of the distinct texts.
+    """
+    at = F.sequence(F.lit(1), F.length("found"))
+    pieces = F.flatten(F.transform(at, lambda i: F.array(*[F.substr("found", i, F.lit(n)) for n in range(1, run + 1)])))
+    starts = texts.where("found <> ''").select("found", F.explode(F.array_distinct(pieces)).alias("_run"))
+    often = starts.groupBy("_run").agg(F.count("*").alias("_n"))
+    size = F.least(F.length("low"), F.lit(run))
+    own = F.transform(F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substr("low", i, size))
+    asked = wanted.select("domain", "low").where("low <> ''").distinct().select("domain", "low", F.explode(own).alias("_run"))
+    key = asked.join(often, "_run").groupBy("domain", "low").agg(F.count("*").alias("_met"), F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
+    return starts.join(key, "_run").where(F.col("found").contains(F.col("low"))).select("found", "domain").distinct()
+
+
 def mailbox(mail: DataFrame, name: str | None = None) -> DataFrame:
     """Mails sent or received per person with a direction; one person's mailbox when ``name`` is given.
 

@@ -370,14 +370,18 @@ def _(t):
 
 
 COMPARE_SQL = """
-WITH x AS (SELECT user_id AS q, event_type AS e, bool_or(CAST(props->>'$.k' AS BIGINT) >= 98) AS ok FROM events GROUP BY ALL),
-b AS (SELECT q, ok FROM x WHERE e = 'click' AND q % 9 > 0), c AS (SELECT q, ok FROM x WHERE e = 'view' AND q % 8 > 0)"""
+WITH x AS (SELECT event_id, CASE WHEN event_id % 2 = 1 AND user_id % 7 = 0 THEN -1 - event_id // 2 ELSE event_id // 2 END AS q, CAST(props->>'$.k' AS BIGINT) >= 60 AS ok FROM events),
+b AS (SELECT q, ok FROM x WHERE event_id % 2 = 0), c AS (SELECT q, ok FROM x WHERE event_id % 2 = 1)"""
 
 
 def two_runs(t):
-    ok = F.bool_or(F.get_json_object("props", "$.k").cast("bigint") >= 98).alias("passed")
-    x = t.events.groupBy(F.col("user_id").alias("question_id"), "event_type").agg(ok)
-    return x.where("event_type = 'click' and question_id % 9 > 0"), x.where("event_type = 'view' and question_id % 8 > 0")
+    """Every event is an answer: even ids those of the base run, odd ids those of the candidate, a seventh of them to new questions."""
+    half = F.floor(F.col("event_id") / 2)
+    x = t.events.select(
+        "event_id", F.when((F.col("event_id") % 2 == 1) & (F.col("user_id") % 7 == 0), -1 - half).otherwise(half).alias("question_id"),
+        (F.get_json_object("props", "$.k").cast("bigint") >= 60).alias("passed"),
+    )
+    return x.where("event_id % 2 = 0").drop("event_id"), x.where("event_id % 2 = 1").drop("event_id")
 
 
 @query("run_comparison", "C24", COMPARE_SQL + """

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tieline.functions import text as X
 from tieline.operators import evaluation, models
 from tieline.plans.columns import listed, r6, stamp
 from tieline.plans.registry import query
 from tieline.session import work_dir
 from tieline.sources import readers, sinks
+from tieline.sources.cache import TableCache
 from tieline.streaming import jobs
 
 
@@ -59,11 +61,12 @@ UNION ALL SELECT scenario, condition, '_turn_flag_count', 0 FROM g""")
 def _(t):
     path = work_dir(t.spark, "verdict")
     v = t.events.groupBy("user_id", "event_type").agg(F.max("value").alias("hi"), F.round(F.avg("value"), 3).alias("mean_score"))
-    v.select(
+    v = v.select(
         F.col("user_id").cast("string").alias("scenario_name"), F.col("event_type").alias("condition"), "mean_score",
         F.create_map(F.lit("clarity"), F.struct(F.col("hi").alias("score"), F.lit("ok").alias("justification"))).alias("scores"),
-    ).write.json(path)
-    rows = evaluation.verdict_rows(t.spark.read.schema(readers.VERDICT).json(path))
+    )
+    sinks.write_json_arrays(v, path)
+    rows = evaluation.verdict_rows(readers.read_verdicts(t.spark, path))
     return rows.select("scenario", "condition", "dimension", r6("score", "score"))
 
 
@@ -103,9 +106,85 @@ def _(t):
 @query("people_directory", "A1", "SELECT s_name AS name, '' AS given_name, lower(s_name) AS email, 'N' || s_nationkey AS organisation FROM supplier")
 def _(t):
     path = work_dir(t.spark, "people")
-    t.supplier.select(F.col("s_name").alias("name"), F.lower("s_name").alias("email"), F.struct(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("legalName")).alias("affiliation")).write.json(path)
-    people = t.spark.read.schema(readers.PEOPLE).json(path)
-    return people.select("name", F.coalesce("givenName", F.lit("")).alias("given_name"), "email", F.col("affiliation.legalName").alias("organisation"))
+    people = t.supplier.select(F.col("s_name").alias("name"), F.lower("s_name").alias("email"), F.struct(F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("legalName")).alias("affiliation"))
+    sinks.write_json_arrays(people, path)
+    return readers.read_people(t.spark, path).select("name", "given_name", "email", "organisation")
+
+
+@query("organisation_list", "A7", """
+SELECT domain, n_name AS company_name, 'R' || n_regionkey AS category, total_emails FROM (SELECT lower(n_name) || '.example' AS domain, n_name, n_regionkey, count(s_suppkey) AS total_emails
+ FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) ORDER BY total_emails DESC, domain LIMIT 10""")
+def _(t):
+    path = work_dir(t.spark, "organisations")
+    n = t.nation.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name", "n_regionkey").agg(F.count("s_suppkey").alias("total_emails"))
+    rows = n.select(F.concat(F.lower("n_name"), F.lit(".example")).alias("domain"), F.col("n_name").alias("company_name"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("category"), "total_emails")
+    sinks.write_json_arrays(rows, path, field="organizations")
+    return readers.read_organisations(t.spark, path, 10).select("domain", "company_name", "category", "total_emails")
+
+
+#: Tag of an annotator → act.
+TAGS = {"req": "request", "cmt": "commit", "prop": "propose"}
+
+
+@query("labelled_sentences", "A12 G7", """
+WITH m AS (SELECT conv_id, turn, unnest([CASE turn % 3 WHEN 0 THEN 'request' WHEN 1 THEN 'commit' END, CASE turn % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'propose' END]) AS act FROM conversations)
+SELECT conv_id || '/' || turn AS sentence_id, text AS sentence_text, coalesce(array_to_string(list_sort(list(DISTINCT act) FILTER (act IS NOT NULL)), '|'), '') AS acts
+FROM conversations JOIN m USING (conv_id, turn) GROUP BY ALL""")
+def _(t):
+    corpus, notes = work_dir(t.spark, "corpus-xml"), work_dir(t.spark, "notes-xml")
+    # A thread element takes 64 turns of a conversation at most; the reader puts a thread's elements together by sentence id.
+    c = t.conversations.withColumn("block", F.floor(F.col("turn") / 64))
+    key = F.col("turn").cast("string").alias("_id")
+    listno = F.col("conv_id").cast("string").alias("listno")
+    sent = F.array_sort(F.collect_list(F.struct(key, F.col("text").alias("_VALUE"))))
+    docs = c.groupBy("conv_id", "block").agg(sent.alias("s")).select(listno, F.array(F.struct(F.struct(F.col("s").alias("Sent")).alias("Text"))).alias("DOC"))
+    docs.write.format("xml").option("rowTag", "thread").save(corpus)
+
+    def marks(cond):
+        return F.array_compact(F.collect_list(F.when(cond, F.struct(key, F.lit("x").alias("_VALUE")))))
+
+    two = c.groupBy("conv_id", "block").agg(
+        F.struct(marks(F.col("turn") % 3 == 0).alias("req"), marks(F.col("turn") % 3 == 1).alias("cmt"), marks(F.lit(False)).alias("prop")).alias("a"),
+        F.struct(marks(F.col("turn") % 4 == 0).alias("req"), marks(F.lit(False)).alias("cmt"), marks(F.col("turn") % 4 == 1).alias("prop")).alias("b"),
+    )
+    two.select(listno, F.array(F.struct(F.col("a").alias("labels")), F.struct(F.col("b").alias("labels"))).alias("annotation")).write.format("xml").option("rowTag", "thread").save(notes)
+    out = readers.read_labelled_sentences(t.spark, corpus, notes, TAGS)
+    return out.select("sentence_id", "sentence_text", listed("acts", "acts"))
+
+
+@query("run_logs", "A11", """
+SELECT event_id::VARCHAR AS question_id, event_type AS category, 1 + (event_id % 2) AS n_tool_calls, value AS wall_time_ms, CAST(props->>'$.k' AS BIGINT) >= 50 AS passed FROM events""")
+def _(t):
+    path = work_dir(t.spark, "runs")
+    call = F.struct(F.lit("search").alias("name"), F.col("value").alias("latency_ms"))
+    e = t.events.select(
+        F.col("event_id").cast("string").alias("question_id"), F.col("event_type").alias("category"), F.when(F.col("event_id") % 2 == 1, F.array(call, call)).otherwise(F.array(call)).alias("tool_calls"),
+        F.col("value").alias("wall_time_ms"), (F.get_json_object("props", "$.k").cast("bigint") >= 50).alias("pass"),
+    )
+    sinks.append_json(e, path)
+    return readers.read_runs(t.spark, path).select("question_id", "category", F.size("tool_calls").alias("n_tool_calls"), "wall_time_ms", "passed")
+
+
+@query("missing_numbers", "B18", "SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events")
+def _(t):
+    read = F.when(F.col("event_type") == "error", F.lit("NaN")).otherwise(F.col("value").cast("string")).cast("double")
+    return t.events.select("event_id", X.nan_to_null(read).alias("value"))
+
+
+@query("graph_cache", "A20 A17", """
+SELECT src, dst, weight FROM contact""")
+def _(t):
+    folder, inputs = work_dir(t.spark, "graph"), [f"{t.sf_dir}/{n}.parquet" for n in ("orders", "lineitem", "customer", "supplier", "nation", "documents")]
+
+    def build():
+        edges = t.contact
+        # Merging the same edges again leaves one row a pair: what a second run of an ingest does.
+        twice = sinks.merge_graph(edges, edges, ["src", "dst"], [F.col("weight").desc()])
+        return {"nodes": t.person.select("name", "level"), "edges": twice}
+
+    cache = TableCache(t.spark, folder, inputs, {"minimum": 1})
+    cache.get(build)
+    return cache.get(build)["edges"]
 
 
 @query("embedded_texts", "L1 M3")
@@ -118,6 +197,27 @@ def _echo(prompt: str) -> str:
     return prompt if "{" in prompt else "nothing"
 
 
+@query("resumed_embeddings", "L1")
+def _(t):
+    path = work_dir(t.spark, "embeddings")
+    jobs_log = models.AnswerLog(t.spark, path, "doc_id", "bigint", "array<float>")
+    answer = models.embedding_batches(models.hashing_embedder(32))
+    jobs_log.run(t.documents.where("doc_id % 2 = 0"), "text", answer)  # a first run that got half-way
+    jobs_log.run(t.documents, "text", answer)
+    return jobs_log.read().select("doc_id", F.size("result").alias("dims"), F.round(F.aggregate("result", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+@query("resumed_payloads", "L2", """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(props->>'$.k' AS BIGINT) END AS k, CASE WHEN event_type = 'error' THEN 'no JSON object' END AS failure FROM events""")
+def _(t):
+    prompt = F.when(F.col("event_type") == "error", "none").otherwise(F.concat(F.lit("answer: "), F.col("props")))
+    asked = t.events.select("event_id", prompt.alias("prompt"))
+    jobs_log = models.AnswerLog(t.spark, work_dir(t.spark, "payloads"), "event_id", "bigint", "string")
+    jobs_log.run(asked.where("event_id % 3 = 0"), "prompt", models.payload_answers(_echo))
+    jobs_log.run(asked, "prompt", models.payload_answers(_echo))
+    return jobs_log.read().select("event_id", F.get_json_object("result", "$.k").cast("bigint").alias("k"), "failure")
+
+
 @query("extracted_payloads", "L2 M3", """
 SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(props->>'$.k' AS BIGINT) END AS k, CASE WHEN event_type = 'error' THEN 'no JSON object' END AS failure FROM events""")
 def _(t):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tieline.operators.ordering import top_per_key
+from tieline.session import cut_lineage
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
@@ -62,6 +63,19 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, rows: int = 10_000, field: str | None = None) -> None:
+    """Files that hold one JSON array each of about ``rows`` rows (under ``field`` of an object, if named), not one a line.
+
+    Rows are written once before and dealt to files by their place there, so repeated rows spread and a repeated task deals alike.
+    """
+    df = cut_lineage(df)
+    buckets = max(1, -(-df.count() // rows))
+    dealt = df.select(F.struct("*").alias("_row"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("_file"))
+    body = dealt.groupBy("_file").agg(F.collect_list("_row").alias("_rows"))
+    text = F.to_json(F.struct(F.col("_rows").alias(field)) if field else F.col("_rows"))
+    body.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def read_back(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Write and read again, for tables that later stages scan more than once."""
     df.write.mode("overwrite").format(fmt).save(path)
