@@ -50,47 +50,53 @@ def fuzzy_links(near: DataFrame, item: str = "vec_id") -> DataFrame:
     return pairs.select(F.inline(ways), weight.alias("weight")).where("weight > 0")
 
 
-def spectral_layout(links: DataFrame, k: int, seed: int = 42, degree: int = 4, tol: float = 1e-3, rounds: int = 100) -> DataFrame:
+def spectral_layout(links: DataFrame, k: int, seed: int = 42, degree: int = 12, tol: float = 1e-3, rounds: int = 100) -> DataFrame:
     """(node, point): the ``k`` slowest modes of a random walk over the links (src, dst, weight; both directions).
 
-    A round filters a block of k + 3 vectors by a Chebyshev polynomial of ``degree`` steps, each one join of the links with the
-    vectors and one grouped sum, then solves a (k + 3)-square eigenproblem on the driver and turns the block; it is written to the shared folder.
+    A round filters a block of k + 10 vectors by a Chebyshev polynomial of ``degree`` steps, each one join of the links with the
+    vectors and one grouped sum, written to the shared folder, then solves a (k + 10)-square eigenproblem on the driver and turns the block.
     Rounds end when the residual of the k modes is below ``tol``; it raises if ``rounds`` do not suffice.  The constant mode
     is left out; a graph with fewer modes gets zeros.  Vectors start from a hash of ``seed`` and node and are turned to a fixed sign.
     """
-    m = k + 3
-    xs, ys = [f"x{j}" for j in range(m)], [f"y{j}" for j in range(m)]
-    mass = links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d"))
-    mass = cut_lineage(mass)
+    m = k + 10  # spare vectors: the further the first one left out, the fewer rounds
+    ps, cs = [f"p{j}" for j in range(m)], [f"c{j}" for j in range(m)]
+    mass = cut_lineage(links.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("d")))
     total, n = mass.agg(F.sum("d"), F.count("*")).first()
     if not n:
         return mass.select("node", F.array().cast("array<double>").alias("point"))
     side = lambda c: mass.select(F.col("node").alias(c), F.col("d").alias(f"_{c}"))
     scaled = links.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("_src") * F.col("_dst"))).alias("s"))
     scaled = cut_lineage(scaled)
-
-    def step(state: DataFrame, cur: list[str], own: dict[str, object]) -> DataFrame:
-        """node, root, the columns of ``own`` of the node itself, and next_j: the neighbours' ``cur`` columns, weighted and summed."""
-        sent = scaled.join(state.select(F.col("node").alias("dst"), *cur), "dst").select(
-            F.col("src").alias("node"), *[(F.col("s") * F.col(c)).alias(f"next{j}") for j, c in enumerate(cur)], *[F.lit(None).cast("double").alias(c) for c in ("root", *own)]
+    # The filter's two numbers ride along as columns, so that every step of every round is the same generated code.
+    own = ["root", "centre", "half", *cs, *ps]
+    numbers = lambda names: T.StructType([T.StructField("node", mass.schema["node"].dataType), *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def step(state: DataFrame) -> DataFrame:
+        """The columns of ``own`` of each node, and n0, n1, …: the neighbours' c columns, weighted and summed."""
+        sent = scaled.join(state.select(F.col("node").alias("dst"), *cs), "dst").select(
+            F.col("src").alias("node"), *[(F.col("s") * F.col(c)).alias(f"n{j}") for j, c in enumerate(cs)], *[F.lit(None).cast("double").alias(c) for c in own]
         )
-        here = state.select("node", *[F.lit(0.0).alias(f"next{j}") for j in range(len(cur))], "root", *[e.alias(c) for c, e in own.items()])
-        return sent.unionByName(here).groupBy("node").agg(*[F.sum(f"next{j}").alias(f"next{j}") for j in range(len(cur))], *[F.max(c).alias(c) for c in ("root", *own)])
-
-    unit_hash = lambda j: F.xxhash64("node", F.lit(seed), F.lit(j)) / F.lit(2.0**63)
-    state = mass.select("node", F.sqrt(F.col("d") / F.lit(float(total))).alias("root"), *[unit_hash(j).alias(c) for j, c in enumerate(xs)])
-
-    def turned(state: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
-        """The block as Ritz vectors with their products, their values, and the worst residual of the first k."""
-        state = step(state, xs, {c: F.col(c) for c in xs})
-        state = cut_lineage(state.select("node", "root", *xs, *[F.col(f"next{j}").alias(c) for j, c in enumerate(ys)]))
-        every = [*xs, *ys, "root"]
-        asked = [(a, b) for i, a in enumerate(every) for b in every[i:]]
-        row = state.agg(*[F.sum(F.col(a) * F.col(b)) for a, b in asked]).first()
-        at = {c: i for i, c in enumerate(every)}
-        gram = np.zeros((len(every), len(every)))
-        for (a, b), v in zip(asked, row, strict=True):
-            gram[at[a], at[b]] = gram[at[b], at[a]] = v
+        here = state.select("node", *[F.lit(0.0).alias(f"n{j}") for j in range(m)], *own)
+        return sent.unionByName(here).groupBy("node").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(m)], *[F.max(c).alias(c) for c in own])
+
+    def matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+        return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+
+    every = [*cs, *[f"n{j}" for j in range(m)], "root"]
+    wide = len(every)
+
+    def products(batches):
+        sums = sum((x.T @ x for x in (matrix(b, every) for b in batches)), np.zeros((wide, wide)))
+        yield pa.RecordBatch.from_arrays([pa.array(range(wide * wide), pa.int32()), pa.array(sums.ravel())], names=["at", "v"])
+
+    def solved(state: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, float]:
+        """The block and its neighbour sums as written, the turn to Ritz vectors, their share of the constant mode, their values, the worst residual of the first k."""
+        state = cut_lineage(step(state).select("node", *every))
+        # wide² numbers a task, wide² numbers on the driver.
+        gram = np.zeros(wide * wide)
+        for at, v in state.mapInArrow(products, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
+            gram[at] = v
+        gram = gram.reshape(wide, wide)
         r = gram[:m, -1]
         inner, moved, square = (g - np.outer(r, r) for g in (gram[:m, :m], (gram[:m, m:-1] + gram[m:-1, :m]) / 2, gram[m:-1, m:-1]))
         size = np.sqrt(np.maximum(np.diag(inner), 1e-300))
@@ -100,31 +106,44 @@ def spectral_layout(links: DataFrame, k: int, seed: int = 42, degree: int = 4, t
         ritz, z = np.linalg.eigh(basis.T @ moved @ basis)
         ritz, z = ritz[::-1], (basis @ z)[:, ::-1]
         worst = max(np.sqrt(max(0.0, z[:, j] @ (square - 2 * ritz[j] * moved + ritz[j] ** 2 * inner) @ z[:, j])) for j in range(min(k, len(ritz))))
-        z = np.pad(z, ((0, 0), (0, m - z.shape[1])))
-        mix = lambda cols, j: sum((F.lit(float(z[i, j])) * F.col(c) for i, c in enumerate(cols)), F.lit(0.0)) - F.lit(float(r @ z[:, j])) * F.col("root")
-        return state.select("node", "root", *[mix(xs, j).alias(c) for j, c in enumerate(xs)], *[mix(ys, j).alias(c) for j, c in enumerate(ys)]), ritz, worst
+        return state, np.pad(z, ((0, 0), (0, m - z.shape[1]))), r, ritz, worst
+
+    def turned(state: DataFrame, z: np.ndarray, r: np.ndarray, centre: float, half: float) -> DataFrame:
+        """The first filter step: the Ritz vectors as p, their shifted and scaled neighbour sums as c."""
+        names = ["root", "centre", "half", *cs, *ps]
 
-    state, ritz, worst = turned(state)
+        def turn(batches):
+            for batch in batches:
+                rows = matrix(batch, every)
+                flat = rows[:, -1:] * (r @ z)  # both sides lose the constant mode, which every step leaves as it is
+                x, y = rows[:, :m] @ z - flat, rows[:, m:-1] @ z - flat
+                cols = np.concatenate([rows[:, -1:], np.full((len(rows), 1), centre), np.full((len(rows), 1), half), (y - centre * x) / half, x], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols.T]], names=["node", *names])
+
+        return state.mapInArrow(turn, numbers(names))
+
+    unit_hash = lambda j: F.xxhash64("node", F.lit(seed), F.lit(j)) / F.lit(2.0**63)
+    zero = F.lit(0.0)
+    start = mass.select("node", F.sqrt(F.col("d") / F.lit(float(total))).alias("root"), zero.alias("centre"), zero.alias("half"), *[unit_hash(j).alias(c) for j, c in enumerate(cs)], *[zero.alias(p) for p in ps])
+    state, z, r, ritz, worst = solved(start)
     wanted = min(k, n - 1)
     for _ in range(rounds):
         if worst <= tol or len(ritz) <= wanted:
             break
         # The filter is small on [-1, cut] and grows beyond it.
         cut = float(np.clip(ritz[-1], -0.5, 0.999))
-        centre, half = (cut - 1) / 2, (cut + 1) / 2
-        state = state.select("node", "root", *[F.col(x).alias(f"p{j}") for j, x in enumerate(xs)], *[((F.col(y) - centre * F.col(x)) / half).alias(f"c{j}") for j, (x, y) in enumerate(zip(xs, ys, strict=True))])
-        cs = [f"c{j}" for j in range(m)]
+        now = turned(state, z, r, (cut - 1) / 2, (cut + 1) / 2)
         for _ in range(degree - 1):
-            state = step(state, cs, {c: F.col(c) for c in [*cs, *[f"p{j}" for j in range(m)]]})
-            following = [(2 * (F.col(f"next{j}") - centre * F.col(f"c{j}")) / half - F.col(f"p{j}")).alias(f"c{j}") for j in range(m)]
-            state = state.select("node", "root", *[F.col(f"c{j}").alias(f"p{j}") for j in range(m)], *following)
-        state, ritz, worst = turned(state.select("node", "root", *[F.col(f"c{j}").alias(x) for j, x in enumerate(xs)]))
+            now = step(now)  # names its input twice: written at every step, else the plan doubles with each
+            following = [(2 * (F.col(f"n{j}") - F.col("centre") * F.col(f"c{j}")) / F.col("half") - F.col(f"p{j}")).alias(f"c{j}") for j in range(m)]
+            now = cut_lineage(now.select("node", "root", "centre", "half", *[F.col(f"c{j}").alias(f"p{j}") for j in range(m)], *following))
+        state, z, r, ritz, worst = solved(now)
     else:
         raise RuntimeError(f"the layout did not settle in {rounds} rounds: residual {worst:.1e}")
     kept = min(wanted, len(ritz))
-    state = cut_lineage(state.select("node", "root", *xs[:kept]))
-    signs = state.agg(F.lit(0.0), *[F.sum(F.col(c) * unit_hash(-1)) for c in xs[:kept]]).first()[1:]
-    point = [F.col(c) / F.col("root") * F.lit(float(np.copysign(max(ritz[j], 0.0), signs[j]))) for j, c in enumerate(xs[:kept])]
+    state = cut_lineage(turned(state, z, r, 0.0, 1.0).select("node", "root", *ps[:kept]))
+    signs = state.agg(F.lit(0.0), *[F.sum(F.col(c) * unit_hash(-1)) for c in ps[:kept]]).first()[1:]
+    point = [F.col(c) / F.col("root") * F.lit(float(np.copysign(max(ritz[j], 0.0), signs[j]))) for j, c in enumerate(ps[:kept])]
     return state.select("node", F.array(*point, *[F.lit(0.0)] * (k - kept)).alias("point"))
 
 
