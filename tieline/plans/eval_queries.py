@@ -600,10 +600,13 @@ def _(t):
 @query("stylometry", "H15", r"""
 WITH b AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Dear all,' || chr(10) || text || chr(10) || 'JB' WHEN 1 THEN 'Sally,' || chr(10) || text || chr(10) || 'John Arnold ' || chr(10)
   WHEN 2 THEN text || chr(10) || '--' WHEN 3 THEN text || ' Sent from my  BlackBerry' WHEN 4 THEN '  ' || text ELSE '  Good morning x. ' || text END AS t FROM documents),
-s AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '[.!?]+'), lambda s: len(regexp_extract_all(s, '[^\s\p{Z}]+'))), lambda n: n > 0) AS n FROM b)
-SELECT doc_id, round(CASE WHEN len(n) > 0 THEN list_sum(n) / len(n) ELSE 0 END, 6) AS mean_sentence_length, CASE doc_id % 6 WHEN 0 THEN 'formal' WHEN 1 THEN 'first_name' WHEN 5 THEN 'formal' ELSE
-  CASE WHEN regexp_matches(substr(t, 1, 120), '(?m)^[A-Z][a-z]+,\s*$') THEN 'first_name' ELSE 'none' END END AS salutation,
- CASE doc_id % 6 WHEN 0 THEN 'initials' WHEN 1 THEN 'full_name' WHEN 2 THEN 'dash' WHEN 3 THEN 'blackberry' ELSE 'none' END AS signoff, doc_id % 6 = 3 AS device_tag FROM s""")
+s AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '[.!?]+'), lambda s: len(regexp_extract_all(s, '[^\s\p{Z}]+'))), lambda n: n > 0) AS n,
+  regexp_matches(t, '(?i)sent\s+from\s+my\s+blackberry') AS device_tag, lower(regexp_replace(substr(t, 1, 120), '^[\s\p{Z}]+', '')) AS head,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')[-1] AS tail FROM b)
+SELECT doc_id, round(CASE WHEN len(n) > 0 THEN list_sum(n) / len(n) ELSE 0 END, 6) AS mean_sentence_length,
+ CASE WHEN regexp_matches(head, '^(dear |good morning|good afternoon|good evening)') THEN 'formal' WHEN regexp_matches(substr(t, 1, 120), '(?m)^[A-Z][a-z]+,\s*$') THEN 'first_name' ELSE 'none' END AS salutation,
+ CASE WHEN device_tag THEN 'blackberry' WHEN tail IS NULL THEN 'none' WHEN tail IN ('-', '--') THEN 'dash' WHEN regexp_matches(tail, '^[A-Z]{2,4}$') THEN 'initials'
+  WHEN regexp_matches(tail, '^[A-Z][a-z]+(\s+[A-Z][a-z]+){0,2}$') THEN 'full_name' ELSE 'none' END AS signoff, device_tag FROM s""")
 def _(t):
     b = F.expr(
         r"""CASE doc_id % 6 WHEN 0 THEN 'Dear all,\n' || text || '\nJB' WHEN 1 THEN 'Sally,\n' || text || '\nJohn Arnold \n' WHEN 2 THEN text || '\n--'
