@@ -1,7 +1,11 @@
 """Queries and operators on tables that the given small ones do not resemble."""
 
+import hashlib
+
 import duckdb
+from pyspark.sql import functions as F
 
+from tieline.operators import corpus
 from tieline.plans.catalogue import ORACLES, QUERIES
 from tools.check import run
 
@@ -14,3 +18,14 @@ def test_stylometry_ends_of_texts(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     line, ok = run(spark, con, "stylometry", QUERIES["stylometry"], ORACLES["stylometry"], str(tmp_path))
     assert ok, line
+
+
+def test_clean_mail_carries_forms_of_bodies(spark):
+    aliases = spark.createDataFrame([("a@x.com", "Ann")], "alias string, name string")
+    body = "word " * 900
+    raw = [("a@x.com", ["b@y.com"], "2001-01-01", "s", body + "tail"), ("a@x.com", ["b@y.com"], "2001-01-01", "s", body + "tail, longer")]
+    raw = spark.createDataFrame(raw, "`from` string, `to` array<string>, date string, subject string, body string")
+    plain = corpus.clean_mail(raw, aliases, "x.com").collect()
+    short = corpus.clean_mail(raw, aliases, "x.com", body_form=F.md5).collect()
+    assert [(r["body_chars"], r["body_truncated"]) for r in plain] == [(4504, body[:2000])]
+    assert [(r["body_chars"], r["body_truncated"]) for r in short] == [(4504, hashlib.md5(body[:2000].encode()).hexdigest())]

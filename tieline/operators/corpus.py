@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieline.functions import text as X
 from tieline.operators.identity import resolve
 from tieline.operators.ordering import top_per_key
+from tieline.session import cut_lineage
 
 CANDIDATES = {
     "from": ("from", "From", "sender"),
@@ -49,9 +50,13 @@ def clean_mail(
     min_chars: int = 100,
     max_chars: int = 2000,
     thread_mode: str = "subject",
+    body_form: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Clean table of ten columns: known party, long enough, truncated body, content id, de-duplicated.
 
+    Of mails with one id the shortest stays, then that of the smallest digest.  ``body_form`` (a digest, say) is applied to
+    the truncated body at once, so that no shuffle carries bodies of which only that form is wanted.
+
     ``thread_mode="self"`` makes every mail its own thread; ``"subject"`` keys threads by the
     normalised subject.
     """
@@ -62,15 +67,17 @@ def clean_mail(
         X.recipients_list(F.col("to"), as_text).alias("recipients_emails"),
         "date",
         "subject",
-        F.col("body").alias("_body"),
+        (body_form or (lambda b: b))(F.substring("body", 1, max_chars)).alias("body_truncated"),
+        F.unhex(F.md5("body")).alias("_body"),
         F.length("body").alias("body_chars"),
     ).where(F.col("body_chars") >= min_chars)
     df = df.withColumn(
         "email_id",
         X.content_id(F.col("sender_email"), F.col("recipients_emails"), F.col("date").cast("string"), F.col("subject")),
     )
-    # De-duplicate on the narrow rows first: bodies of repeats are not resolved or shipped further.
-    df = first_per_key(df, ["email_id"], [F.col("body_chars"), F.col("_body")])
+    # Written once: addresses are read from here three times, and bodies of repeats are not shipped further.
+    whole = [F.col(c) for c in ("body_chars", "_body", "recipients_emails", "subject")]
+    df = cut_lineage(first_per_key(df, ["email_id"], whole).drop("_body"))
     rows = df.select("email_id", F.posexplode_outer("recipients_emails").alias("_pos", "address"))
     everyone = rows.select("address").unionByName(df.select(F.col("sender_email").alias("address"))).where("address is not null")
     names = resolve(everyone, aliases, domain)
@@ -93,7 +100,7 @@ def clean_mail(
         "date",
         "subject",
         "body_chars",
-        F.substring("_body", 1, max_chars).alias("body_truncated"),
+        "body_truncated",
     )
 
 

@@ -247,10 +247,10 @@ def _(t):
     raw = t.mail.join(t.documents.select("doc_id", "text"), "doc_id").select(
         F.col("sender_email").alias("From"), F.col("recipients_emails").alias("To"), stamp("date", "date"), "subject", "text"
     )
-    out = corpus.clean_mail(raw, aliases, INTERNAL_DOMAIN)
+    out = corpus.clean_mail(raw, aliases, INTERNAL_DOMAIN, body_form=F.md5)
     return out.select(
         "email_id", "thread_id", F.col("body_chars").cast("bigint").alias("body_chars"),
-        listed("recipients_resolved", "recipients_resolved"), F.md5("body_truncated").alias("body_digest"),
+        listed("recipients_resolved", "recipients_resolved"), F.col("body_truncated").alias("body_digest"),
     )
 
 
