@@ -5,7 +5,7 @@ import hashlib
 import duckdb
 from pyspark.sql import functions as F
 
-from tieline.operators import corpus
+from tieline.operators import corpus, identity
 from tieline.plans.catalogue import ORACLES, QUERIES
 from tools.check import run
 
@@ -29,3 +29,12 @@ def test_clean_mail_carries_forms_of_bodies(spark):
     short = corpus.clean_mail(raw, aliases, "x.com", body_form=F.md5).collect()
     assert [(r["body_chars"], r["body_truncated"]) for r in plain] == [(4504, body[:2000])]
     assert [(r["body_chars"], r["body_truncated"]) for r in short] == [(4504, hashlib.md5(body[:2000].encode()).hexdigest())]
+
+
+def test_alias_rows_are_dealt_out_before_they_multiply(spark, monkeypatch):
+    cols = "ord bigint, name string, given_name string, family_name string, email string, folder_name string, additional_name string"
+    people = spark.createDataFrame([(i, f"Ann W{i}", "Ann", f"W{i}", f"ann.w{i}@x.com", "", "") for i in range(40)], cols).coalesce(1)
+    whole = sorted(identity.alias_table(people, "x.com").collect())
+    monkeypatch.setattr(identity, "PEOPLE_A_TASK", 10)
+    dealt = identity.alias_table(people, "x.com")
+    assert "hashpartitioning(ord" in dealt._jdf.queryExecution().toString() and sorted(dealt.collect()) == whole

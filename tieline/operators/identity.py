@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tieline.functions import vocabulary as V
 
 
+PEOPLE_A_TASK = 10_000
+
+
 def _list_map(mapping: dict[str, list[str]]):
     pairs = [x for k, v in mapping.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]
     return F.create_map(*pairs)
@@ -34,6 +37,8 @@ def alias_table(people: DataFrame, domain: str, manual: Sequence[tuple[str, str]
     bare surname stays with its first claimant.  ``manual`` (alias, name) pairs apply last,
     for names that occur in the directory.
     """
+    # A person gives some thirty rows: dealt out first, so that a task's share does not grow with the directory.
+    people = people.repartition(people.count() // PEOPLE_A_TASK + 1, "ord")
     empty = F.array().cast("array<string>")
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     base = people.select(
