@@ -5,10 +5,13 @@ import hashlib
 import duckdb
 from pyspark.sql import functions as F
 
-from tieline.operators import corpus, identity
+from tieline.operators import corpus, identity, network
 from tieline.plans.catalogue import ORACLES, QUERIES
+from tieline.plans.shapes import Tables
 from tools.check import run
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_stylometry_ends_of_texts(spark, tmp_path):
     texts = ["a b.\nJohn Arnold", "Sally,\nx y", "one. two\nAB", "Sent  from my blackberry", "ok.\n--", " \n", "plain text here", "Dear you"]
@@ -38,3 +41,17 @@ def test_alias_rows_are_dealt_out_before_they_multiply(spark, monkeypatch):
     monkeypatch.setattr(identity, "PEOPLE_A_TASK", 10)
     dealt = identity.alias_table(people, "x.com")
     assert "hashpartitioning(ord" in dealt._jdf.queryExecution().toString() and sorted(dealt.collect()) == whole
+
+
+def test_contact_is_built_once(spark):
+    plan = Tables(spark, SF).contact._jdf.queryExecution().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_components_of_chains(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
+    edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")
+    weak = {r["node"]: r["component"] for r in network.components(edges).collect()}
+    strong = {r["node"]: r["component"] for r in network.strong_components(edges).collect()}
+    assert weak == {f"n{i:02d}": "n00" for i in range(13)} | {"x": "x", "y": "y", "z": "y"}
+    assert strong == {n: "n04" if n in ("n05", "n06") else n for n in weak}
