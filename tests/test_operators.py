@@ -57,6 +57,19 @@ def test_fuzzy_names_equals_brute_force(spark):
     assert got == want
 
 
+def test_fuzzy_names_compares_few_of_many_alike_names(spark, monkeypatch):
+    names = [f"Supplier#{i:09d}" for i in range(400)] + ["Supplier" + "#0" * 20 + "1"]
+    left = [f"Suplier {i:09d}" for i in range(400)] + ["Suplier" + "#0" * 20 + "1"]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    compared, real = [], identity._best_ratio
+    monkeypatch.setattr(identity, "_best_ratio", lambda pairs, t: compared.append(pairs.count()) or real(pairs, t))
+    got = {r["name"]: (r["match"], r["ratio"]) for r in identity.fuzzy_names(frame(left), frame(names)).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    some = [*left[:400:40], left[-1]]
+    assert len(got) == 401 and {a: got[a] for a in some} == {a: max((ratio(a, b), b) for b in names)[::-1] for a in some}
+    assert len(compared) == 2 and sum(compared) < 10 * len(left)
+
+
 def test_clean_mail(spark):
     aliases = identity.alias_table(spark.createDataFrame(PEOPLE, PEOPLE_COLS), "x.com")
     body = "b" * 150

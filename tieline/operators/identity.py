@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tieline.functions import vocabulary as V
+from tieline.session import cut_lineage
 
 
 PEOPLE_A_TASK = 10_000
@@ -147,9 +148,76 @@ def _bigrams(df: DataFrame) -> DataFrame:
     return df.select("name").distinct().select("name", F.explode(numbered).alias("gram"))
 
 
+#: Names longer than this are met by letter pairs alone: their spellings with two letters less are too many.
+SHORT_NAME = 40
+
+
+def _less_letters(names: DataFrame, threshold: float) -> DataFrame:
+    """(name, size, gone, key): digests of the lower-cased name with none, one or two letters left out."""
+    low, size = F.col("low"), F.length("low")
+    without = lambda p, q: F.concat(F.substring(low, F.lit(1), p - 1), F.substring(low, p + 1, q - p - 1), F.substring(low, q + 1, size))
+    entry = lambda gone, text: F.struct(F.lit(gone).alias("gone"), F.xxhash64(text).alias("key"))
+    one = F.transform(F.sequence(F.lit(1), size), lambda p: entry(1, without(p, p)))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda p: F.transform(F.sequence(p + 1, size), lambda q: entry(2, without(p, q)))))
+    none = F.array(entry(0, low))
+    every = F.when(size > 1, F.concat(none, one, two)).when(size == 1, F.concat(none, one)).otherwise(none)
+    short = names.select("name", F.lower("name").alias("low")).distinct().where(size <= SHORT_NAME)
+    short = short.repartition(short.count() // PEOPLE_A_TASK + 1, "name")  # a small table becomes a few hundred rows a name
+    kept = short.select("name", size.alias("size"), F.inline(F.array_distinct(every)))
+    return kept.where(F.col("gone") <= (2 * F.col("size") - F.col("gone")) * (1 - threshold) + 1e-9)
+
+
+def near_spellings(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(name, match): all pairs of short names that may reach ``threshold`` and are equal once at most two letters of each,
+    three in all, are left out.  They meet in an equi-join."""
+    mine = _less_letters(left, threshold)
+    theirs = _less_letters(right, threshold).select(F.col("name").alias("match"), F.col("size").alias("_size"), F.col("gone").alias("_gone"), "key")
+    edits, letters = F.col("gone") + F.col("_gone"), F.col("size") + F.col("_size")
+    # The estimated size is that of the names, far less than that of their spellings: never sent whole to a task.
+    met = mine.join(theirs.hint("merge"), "key").where((edits <= 3) & (edits <= letters * (1 - threshold) + 1e-9))
+    return met.select("name", "match").distinct()
+
+
+def _best_ratio(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(name, match, ratio): the best of the compared pairs (name, match) per name, ties to the larger match."""
+
+    def ratios(batches):
+        from difflib import SequenceMatcher
+
+        for pdf in batches:
+            r = [SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(pdf["name"], pdf["match"])]
+            yield pd.DataFrame({"name": pdf["name"], "match": pdf["match"], "ratio": r})
+
+    scored = pairs.mapInPandas(ratios, "name string, match string, ratio double")
+    return (
+        scored.where(F.col("ratio") >= threshold)
+        .groupBy("name")
+        .agg(F.max(F.struct("ratio", "match")).alias("b"))
+        .select("name", F.col("b.match").alias("match"), F.col("b.ratio").alias("ratio"))
+    )
+
+
 def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(name) → best (name, match, ratio) with a matching-block ratio of at least ``threshold``.
 
+    Near spellings are compared first.  Any other pair of lengths ``a`` and ``b`` has a least number ``d`` of insertions and
+    deletions, so a ratio of at most ``1 - d / (a + b)``: a name whose best is above that for every length that occurs is
+    settled, its ties included.  The rest goes on by letter pairs.
+    """
+    close = cut_lineage(_best_ratio(near_spellings(left, right, threshold), threshold))
+    size = F.length(F.lower("name"))
+    apart = F.abs(F.col("_a") - F.col("_b"))
+    unseen = F.when((F.col("_b") > SHORT_NAME) | (apart > 2), apart).when(apart == 1, 5).otherwise(4)
+    lengths = left.select(size.alias("_a")).distinct().where(F.col("_a") <= SHORT_NAME).crossJoin(right.select(size.alias("_b")).distinct())
+    others = lengths.groupBy("_a").agg(F.max(1 - unseen / F.greatest(F.col("_a") + F.col("_b"), F.lit(1))).alias("_most"))
+    settled = close.join(others, size == F.col("_a")).where(F.col("ratio") > F.col("_most") + 1e-9).select("name", "match", "ratio")
+    rest = left.select("name").join(settled.select("name"), "name", "left_anti")
+    return settled.unionByName(_best_ratio(_share_letter_pairs(rest, right, threshold), threshold))
+
+
+def _share_letter_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(name, match): every pair that may reach ``threshold``.
+
     A ratio ``t`` bounds the insertions and deletions between two names, and each of those
     destroys at most two padded letter pairs.  So a match keeps at least ``k`` pairs, and it is
     enough to look a name up by its rarest ``n - k + 1`` pairs.  The filter is exact; the ratio
@@ -164,25 +232,10 @@ def fuzzy_names(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> Da
     rarest = Window.partitionBy("name").orderBy(F.coalesce("_freq", F.lit(0)), "gram")
     need = F.greatest(F.lit(1), F.ceil(F.length("name") * (1 - loss) + 1 - 1e-9))
     probe = mine.withColumn("_rn", F.row_number().over(rarest)).where(F.col("_rn") <= F.length("name") + 1 - need + 1)
-    pairs = (
+    return (
         probe.select("name", "gram")
         .join(theirs, "gram")
         .where(F.least(F.length("name"), F.length("match")) >= F.greatest(F.length("name"), F.length("match")) * shortest - 1e-9)
         .select("name", "match")
         .distinct()
     )
-
-    def ratios(batches):
-        from difflib import SequenceMatcher
-
-        for pdf in batches:
-            r = [SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(pdf["name"], pdf["match"])]
-            yield pd.DataFrame({"name": pdf["name"], "match": pdf["match"], "ratio": r})
-
-    scored = pairs.mapInPandas(ratios, "name string, match string, ratio double")
-    return (
-        scored.where(F.col("ratio") >= threshold)
-        .groupBy("name")
-        .agg(F.max(F.struct("ratio", "match")).alias("b"))
-        .select("name", F.col("b.match").alias("match"), F.col("b.ratio").alias("ratio"))
-    )
