@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieline.functions import text as X
-from tieline.operators import models, network, overlap, retrieval, scoring, stats, threads, vectors
+from tieline.operators import models, network, overlap, phrases, retrieval, scoring, stats, threads, vectors
 from tieline.session import work_dir
 from tieline.sources.tables import UpsertTable
 from tieline.streaming import jobs
@@ -109,6 +109,19 @@ def test_phrase_matches_against_brute_force(spark):
     assert rows(retrieval.phrase_matches(q, table), "qid", "email_id", "top_score") == sorted(want) and len(want) > 2
 
 
+def test_phrases_of_one_ending_meet_only_the_texts_that_hold_them(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abzé1") for _ in range(draw.randint(1, 7)))
+    lots = sorted({f"lot{i}z" for i in range(300)} | {word() for _ in range(60)} | {"é", "ab", "lot1z lot2z " * 9})
+    texts = [(i, f"{word()} LOT{i}Z{word()}", None if i % 7 == 0 else " ".join(word() for _ in range(i % 30))) for i in range(300)]
+    texts.append((300, "", "x" + "lot1z lot2z " * 12))
+    table = spark.createDataFrame(texts, "id int, head string, body string").repartition(3)
+    keys = spark.createDataFrame([(p,) for p in lots], "low string")
+    want = sorted((i, f, p) for i, head, body in texts for f, t in (("head", head), ("body", body)) for p in lots if p in (t or "").lower())
+    assert rows(phrases.finds(table, {"head": F.col("head"), "body": F.col("body")}, keys, ["id"]), "id", "field", "low") == want
+    assert phrases.finds(table, {"head": F.col("head")}, keys.limit(0), ["id"]).count() == 0
+
+
 def test_failed_embedding_batches_can_be_seen(spark):
     def embed(texts):
         if "bad" in texts:
