@@ -48,6 +48,16 @@ def test_contact_is_built_once(spark):
     assert "Aggregate" not in plan and "Join" not in plan
 
 
+def test_full_mail_moves_only_its_features(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Tables(spark, SF).mail_full._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert "InMemoryRelation" not in plan and plan.count("hashpartitioning(_key") == 1 and plan.count("hashpartitioning(l_orderkey") == 1
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")
