@@ -5,7 +5,7 @@ import hashlib
 import duckdb
 from pyspark.sql import functions as F
 
-from tieline.operators import corpus, identity, network
+from tieline.operators import corpus, identity, network, rollups
 from tieline.plans.catalogue import ORACLES, QUERIES
 from tieline.plans.shapes import Tables
 from tools.check import run
@@ -58,6 +58,11 @@ def test_full_mail_moves_only_its_features(spark):
     assert "InMemoryRelation" not in plan and plan.count("hashpartitioning(_key") == 1 and plan.count("hashpartitioning(l_orderkey") == 1
 
 
+def test_person_rollup_builds_the_mail_once(spark):
+    plan = rollups.person_rollup(Tables(spark, SF).mail_full)._jdf.queryExecution().toString()
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")

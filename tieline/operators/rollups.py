@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.operators.network import real_name
 from tieline.operators.ordering import top_per_key
+from tieline.session import cut_lineage
 
 PAIR_ACTS = ("request", "commit", "deliver", "propose")
 
@@ -85,10 +86,15 @@ def person_rollup(mail: DataFrame) -> DataFrame:
     """Nineteen properties per sender.
 
     Needs the signal, text and thread columns on ``mail``.  Request, commit and deliver shares
-    count repeated labels inside one mail.
+    count repeated labels inside one mail.  The columns that four aggregations read are written once.
     """
-    rows = mail.where(real_name(F.col("sender")))
-    labels = lambda a: F.sum(F.size(F.filter("speech_acts", lambda x: x == a)))
+    labels = lambda a: F.size(F.filter("speech_acts", lambda x: x == a)).alias(f"_{a}")
+    rows = cut_lineage(
+        mail.where(real_name(F.col("sender"))).select(
+            "sender", "date", "topics", "entities", "decision_carrying", "action_required", "commitment_made", "sentiment", "body_word_count",
+            "is_thread_initiator", "reply_latency_hours", "is_off_hours", "politeness_score", "hedge_count", F.size("recipients_emails").alias("_to"), *map(labels, ("request", "commit", "deliver")),
+        )
+    )
     share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
     flag = lambda c: F.sum(F.coalesce(F.col(c), F.lit(False)).cast("bigint"))
     n = F.count("*")
@@ -97,13 +103,13 @@ def person_rollup(mail: DataFrame) -> DataFrame:
         flag("decision_carrying").alias("n_decision_carrying_sent"),
         flag("action_required").alias("n_action_required_sent"),
         flag("commitment_made").alias("n_commitment_made_sent"),
-        (labels("request") / n).alias("pct_request_sent"),
-        (labels("commit") / n).alias("pct_commit_sent"),
-        (labels("deliver") / n).alias("pct_deliver_sent"),
+        (F.sum("_request") / n).alias("pct_request_sent"),
+        (F.sum("_commit") / n).alias("pct_commit_sent"),
+        (F.sum("_deliver") / n).alias("pct_deliver_sent"),
         share("decision_carrying").alias("pct_decision_carrying"),
         F.avg("sentiment").alias("mean_sentiment_sent"),
         F.avg("body_word_count").alias("mean_body_words"),
-        F.avg(F.size("recipients_emails")).alias("mean_to_count"),
+        F.avg("_to").alias("mean_to_count"),
         share("is_thread_initiator").alias("pct_thread_initiator"),
         F.avg("reply_latency_hours").alias("mean_reply_latency_received_hours"),
         share("is_off_hours").alias("pct_off_hours"),
