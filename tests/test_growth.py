@@ -63,6 +63,11 @@ def test_person_rollup_builds_the_mail_once(spark):
     assert "lineitem.parquet" not in plan and "orders.parquet" not in plan
 
 
+def test_backfill_moves_a_body_once_a_document(spark):
+    plan = QUERIES["body_backfill"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") == 1
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")
