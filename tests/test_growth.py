@@ -68,6 +68,14 @@ def test_backfill_moves_a_body_once_a_document(spark):
     assert plan.count("Relation [o_orderkey") == 1
 
 
+def test_longest_mail_is_found_by_two_columns(spark, monkeypatch):
+    taken, kind = [], type(spark.range(1))
+    real = kind.first
+    monkeypatch.setattr(kind, "first", lambda df: taken.append(df.columns) or real(df))
+    QUERIES["email_content"](spark, SF)
+    assert taken == [["email_id", "body_chars"]]
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")
