@@ -44,7 +44,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filters(keys: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray, int]:
-    """(byte lengths, table of ends, bits of two digest slots a phrase, log of their number); at most 16 MB whatever the phrases."""
+    """(byte lengths, table of ends, bits of two digest slots a phrase, log of their number); 17 MB at most, whatever the phrases."""
     sizes = {r["size"]: r["n"] for r in keys.groupBy(F.octet_length("low").alias("size")).agg(F.count("*").alias("n")).collect()}
     bits = min(MOST_BITS, max(20, (32 * sum(sizes.values())).bit_length()))
 
