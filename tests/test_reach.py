@@ -62,3 +62,21 @@ def test_betweenness_in_blocks_goes_on_where_it_stopped(spark, monkeypatch):
         pass
     got = {r["node"]: r["betweenness"] for r in reach.betweenness_in_blocks(edges, ledger, 3).collect()}
     assert len(calls) == 4 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_neighbourhoods_move_slices_not_a_sketch_a_link(spark, monkeypatch):
+    pairs = ring_with_chords(90, 40, 5)
+    far = all_distances(pairs)
+    edges = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}", 1) for a, b in pairs], "src string, dst string, weight int")
+    links = network.both_ways(network.undirected(edges))
+    whole = reach.neighbourhoods(links, lg_registers=8)
+    monkeypatch.setattr(reach, "TASK_BYTES", 700)
+    dropped, real = [], reach.drop_step
+    monkeypatch.setattr(reach, "drop_step", lambda df: dropped.append(df.columns) or real(df))
+    cut = reach.neighbourhoods(links, lg_registers=8)
+    blocks, parts = reach._cut(90, links.count(), 256)
+    assert blocks > 1 and -(-90 // blocks) * 256 // parts <= 700
+    assert len(cut) == len(whole) and all(abs(a - b) < 1e-6 * b for a, b in zip(cut, whole, strict=True))
+    want = [90 + sum(d <= t for d in far.values()) for t in range(len(cut))]
+    assert cut[:2] == want[:2] and all(abs(a - b) < 0.15 * b for a, b in zip(cut, want, strict=True))
+    assert len(dropped) == len(cut) + 1  # every round's state
