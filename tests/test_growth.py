@@ -1,10 +1,12 @@
 """Queries and operators on tables that the given small ones do not resemble."""
 
 import hashlib
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
+from tieline.functions import text
 from tieline.operators import corpus, identity, network, rollups
 from tieline.plans.catalogue import ORACLES, QUERIES
 from tieline.plans.shapes import Tables
@@ -76,6 +78,16 @@ def test_longest_mail_is_found_by_two_columns(spark, monkeypatch):
     assert taken == [["email_id", "body_chars"]]
 
 
+def test_quoted_lines_are_read_once(spark):
+    lines = 20_000
+    bodies = ["x\n> y\n" * (lines // 2), "x\n" * lines + "---- Original Message\nz", "a\n -----Forwarded by x\n> b\nc", "> a", "", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    began = time.time()
+    got = [r["q"] for r in df.select("i", text.quoted_fraction(F.col("body")).alias("q")).orderBy("i").collect()]
+    assert time.time() - began < 20  # a look at every line for every line took minutes
+    assert got == [(lines // 2) / (lines + 1), 2 / (lines + 2), 0.75, 1.0, 0.0, 0.0]
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")
