@@ -5,11 +5,13 @@ import time
 
 import duckdb
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from tieline.functions import text
-from tieline.operators import corpus, identity, network, rollups
+from tieline.operators import corpus, identity, network, ordering, overlap, retrieval, rollups, threads
 from tieline.plans.catalogue import ORACLES, QUERIES
 from tieline.plans.shapes import Tables
+from tieline.sources import readers
 from tools.check import run
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +90,19 @@ def test_quoted_lines_are_read_once(spark):
     assert got == [(lines // 2) / (lines + 1), 2 / (lines + 2), 0.75, 1.0, 0.0, 0.0]
 
 
+def test_a_file_may_hold_several_transcripts(spark, tmp_path):
+    lines = ['{"_header": true, "scenario_name": "s%s", "condition": "c", "transcript": "%s"}' % (i, i) for i in "12"]
+    lines += ['{"sender": "a", "turn_id": 0, "body": "x", "transcript": "%s"}' % i for i in "12"]
+    (tmp_path / "both.jsonl").write_text("\n".join(lines))
+    (tmp_path / "own.jsonl").write_text('{"_header": true, "scenario_name": "s3"}\n{"sender": "a", "turn_id": 0, "body": "y"}')
+    rows = readers.read_transcripts(spark, str(tmp_path))
+    assert rows_of(rows.select("scenario_name", "body")) == [("s1", "x"), ("s2", "x"), ("s3", "y")] and "transcript" not in rows.columns
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")

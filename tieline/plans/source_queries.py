@@ -47,10 +47,10 @@ def _(t):
         F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string")).alias("condition"),
     )
     body = c.select("conv_id", F.col("turn").alias("turn_id"), F.col("role").alias("sender"), F.array(F.lit("*")).alias("recipients"), F.col("text").alias("body"))
-    # One file per conversation: partitionBy puts each conversation into a folder of its own.
-    rows = head.unionByName(body, allowMissingColumns=True)
-    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_id").write.partitionBy("conv_id").json(path)
-    out = readers.read_transcripts(t.spark, f"{path}/*/")
+    # Many conversations a file, whose lines name their own: a file each would cost more to make, list and open than to read.
+    rows = head.unionByName(body, allowMissingColumns=True).withColumn("transcript", F.col("conv_id").cast("string"))
+    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_id").drop("conv_id").write.json(path)
+    out = readers.read_transcripts(t.spark, path)
     return out.select(F.col("scenario_name").cast("bigint").alias("conv_id"), F.col("turn_id").cast("bigint").alias("turn"), F.col("sender").alias("role"), "condition")
 
 
