@@ -103,6 +103,16 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_read_from_one_writing_of_the_mails(spark):
+    for name in ("bucketed_sample",):
+        plan = plan_of(QUERIES[name](spark, SF))
+        assert "l_orderkey" not in plan and "InMemoryRelation" not in plan, name
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")

@@ -42,10 +42,11 @@ def bucketed(mail: DataFrame, topics: DataFrame, n_decision: int = 5, n_topic: i
     taken = top_per_key(base.where("decision_carrying"), ["sender"], order, n_decision).select(
         "sender", "email_id", F.lit("decision").alias("bucket")
     )
-    ranked = topics.select("sender", F.posexplode("topics").alias("_i", "topic"))
     width = 3
-    on_topic = base.select("sender", "email_id", "body_word_count", F.explode("_t").alias("topic")).join(ranked, ["sender", "topic"])
-    pool = top_per_key(on_topic, ["sender", "_i"], order, n_decision + width * n_topic, "_r")
+    # Mails meet their sender's short list: all that follows is dealt by sender.
+    listed = base.join(topics.select("sender", F.col("topics").alias("_top")), "sender")
+    on_topic = listed.select("sender", "email_id", "body_word_count", "_t", F.posexplode("_top").alias("_i", "topic")).where(F.array_contains("_t", F.col("topic")))
+    pool = top_per_key(on_topic.drop("_t"), ["sender", "_i"], order, n_decision + width * n_topic, "_r")
     # Each step reads the rows taken so far twice; a written table keeps that from multiplying.
     taken, pool = cut_lineage(taken), cut_lineage(pool)
     for i in range(width):
