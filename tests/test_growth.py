@@ -113,6 +113,15 @@ def test_read_from_one_writing_of_the_mails(spark):
         assert "l_orderkey" not in plan and "InMemoryRelation" not in plan, name
 
 
+def test_contacts_are_dealt_out_by_person(spark, monkeypatch):
+    names = ["a", "b", "c", "d"]
+    edges = spark.createDataFrame([(x, y, i) for i, x in enumerate(names) for y in names if x != y], "src string, dst string, weight int").coalesce(1)
+    whole = sorted(map(tuple, retrieval.ranked_contacts(edges, 2).collect()))
+    monkeypatch.setattr(ordering, "ROWS_A_TASK", 8)
+    dealt = retrieval.ranked_contacts(edges, 2)
+    assert "RepartitionByExpression [name" in plan_of(dealt) and sorted(map(tuple, dealt.collect())) == whole and len(whole) == 16
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")
