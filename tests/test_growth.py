@@ -120,6 +120,10 @@ def test_contacts_are_dealt_out_by_person(spark, monkeypatch):
     monkeypatch.setattr(ordering, "ROWS_A_TASK", 8)
     dealt = retrieval.ranked_contacts(edges, 2)
     assert "RepartitionByExpression [name" in plan_of(dealt) and sorted(map(tuple, dealt.collect())) == whole and len(whole) == 16
+    none = spark.createDataFrame([], "subordinate string, superior string, name string, team string, topic string")
+    around = retrieval.person_context(known.toDF("name"), none, none, edges, none)
+    assert "RepartitionByExpression [name" in plan_of(around)
+    assert around.where("name = 'a'").first()["contacts"][:2] == ["d (3 interactions)", "c (2 interactions)"]
 
 
 def test_components_of_chains(spark):
