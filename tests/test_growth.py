@@ -108,7 +108,7 @@ def plan_of(df):
 
 
 def test_read_from_one_writing_of_the_mails(spark):
-    for name in ("bucketed_sample",):
+    for name in ("bucketed_sample", "resolve_recipient_lists"):
         plan = plan_of(QUERIES[name](spark, SF))
         assert "l_orderkey" not in plan and "InMemoryRelation" not in plan, name
 

@@ -10,6 +10,7 @@ from tieline.operators import corpus, identity
 from tieline.plans.columns import listed, r6, stamp
 from tieline.plans.registry import query
 from tieline.plans.shapes import INTERNAL_DOMAIN
+from tieline.session import cut_lineage
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -176,16 +177,19 @@ named AS MATERIALIZED (SELECT t.*, name FROM tried t LEFT JOIN person p
   ON p.email = replace(replace(lower(t.address), '_0', '.0'), '-0', '.0'))"""
 
 
-def tried_addresses(t):
-    a = F.col("a")
-    form = (
-        F.when(F.col("i") % 4 == 0, a)
-        .when(F.col("i") % 4 == 1, F.replace(a, F.lit(".0"), F.lit("_0")))
-        .when(F.col("i") % 4 == 2, F.replace(a, F.lit(".0"), F.lit("-0")))
+def tried_form(a, i):
+    """The spelling of address ``a`` at place ``i`` of its mail."""
+    return (
+        F.when(i % 4 == 0, a)
+        .when(i % 4 == 1, F.replace(a, F.lit(".0"), F.lit("_0")))
+        .when(i % 4 == 2, F.replace(a, F.lit(".0"), F.lit("-0")))
         .otherwise(F.upper(a))
     )
+
+
+def tried_addresses(t):
     rows = t.mail.select("email_id", F.posexplode("recipients_emails").alias("p", "a")).withColumn("i", F.col("p") + 1)
-    return rows.select("email_id", "i", form.alias("address"))
+    return rows.select("email_id", "i", tried_form(F.col("a"), F.col("i")).alias("address"))
 
 
 def directory(t):
@@ -214,10 +218,8 @@ SELECT m.email_id, coalesce(names, '') AS names FROM mail m LEFT JOIN
  ON n.email_id = m.email_id""")
 def _(t):
     aliases = identity.alias_table(directory(t), INTERNAL_DOMAIN)
-    rows = tried_addresses(t).groupBy("email_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "address"))), lambda s: s["address"]).alias("addresses")
-    )
-    df = t.mail.select("email_id").join(rows, "email_id", "left")
+    # Written once: the lists are read three times, and each reading would build the mails again.
+    df = cut_lineage(t.mail.select("email_id", F.transform("recipients_emails", lambda a, p: tried_form(a, p + 1)).alias("addresses")))
     got = identity.resolve_list(df, "email_id", "addresses", aliases, INTERNAL_DOMAIN, "names")
     return got.select("email_id", listed("names", "names"))
 
