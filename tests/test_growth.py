@@ -126,6 +126,14 @@ def test_contacts_are_dealt_out_by_person(spark, monkeypatch):
     assert around.where("name = 'a'").first()["contacts"][:2] == ["d (3 interactions)", "c (2 interactions)"]
 
 
+def test_bigrams_leave_arrow_one_text_at_a_time(spark):
+    df = spark.createDataFrame([(1, "abab  ab", "ab"), (2, None, ""), (3, "x", "yz")], "k int, a string, b string")
+    out = overlap.bigram_jaccard(df, "k", F.col("a"), F.col("b"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan and f"], {PythonEvalType.SQL_SCALAR_PANDAS_UDF}" not in plan
+    assert sorted(map(tuple, out.collect())) == [(1, 0.25), (2, 1.0), (3, 0.0)]
+
+
 def test_components_of_chains(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)]
     edges = spark.createDataFrame([*chain, ("n06", "n04"), ("x", "x"), ("y", "z")], "src string, dst string")

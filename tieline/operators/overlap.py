@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieline.functions import text as X
@@ -58,10 +60,17 @@ def diagnostics(df: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
 def _bigrams(text: Column, n: int) -> Column:
     """The ``n`` most frequent character pairs of each text with their counts, the earliest first on ties; blanks count as one."""
 
-    @F.pandas_udf("array<struct<gram:string,count:bigint>>")
-    def top(texts: pd.Series) -> pd.Series:
-        # Counter keeps the order of first occurrence, and most_common is stable.
-        return pd.Series([[{"gram": g, "count": c} for g, c in Counter(map("".join, zip(t, t[1:], strict=False))).most_common(n)] for t in texts])
+    @F.arrow_udf("array<struct<gram:string,count:bigint>>")
+    def top(texts: pa.Array) -> pa.Array:
+        # One text at a time leaves Arrow; Counter keeps the order of first occurrence, and most_common is stable.
+        ends, grams, counts = [0], [], []
+        for text in texts:
+            for gram, count in Counter(map("".join, pairwise(text.as_py()))).most_common(n):
+                grams.append(gram)
+                counts.append(count)
+            ends.append(len(grams))
+        found = pa.StructArray.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "count"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
 
     return top(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
