@@ -120,6 +120,10 @@ def test_contacts_are_dealt_out_by_person(spark, monkeypatch):
     monkeypatch.setattr(ordering, "ROWS_A_TASK", 8)
     dealt = retrieval.ranked_contacts(edges, 2)
     assert "RepartitionByExpression [name" in plan_of(dealt) and sorted(map(tuple, dealt.collect())) == whole and len(whole) == 16
+    mail = spark.createDataFrame([("a", ["b", "b", "a", "z"]), ("a", ["b", "c"]), ("b", ["a"])], "sender string, recipients array<string>")
+    known = spark.createDataFrame([(x,) for x in names], "node string")
+    got = threads.breadth(mail, known)
+    assert "RepartitionByExpression [sender" in plan_of(got) and sorted(map(tuple, got.collect())) == [("a", 2), ("b", 1)]
     none = spark.createDataFrame([], "subordinate string, superior string, name string, team string, topic string")
     around = retrieval.person_context(known.toDF("name"), none, none, edges, none)
     assert "RepartitionByExpression [name" in plan_of(around)
