@@ -1,5 +1,7 @@
 """Density clusters against brute force: neighbours, forest, planted groups."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +92,43 @@ def test_odd_tables(spark):
     got = dict(density.density_clusters(alike, 10, 5).collect())
     assert {got[i] for i in range(30)} == {0} and {got[i] for i in range(30, 60)} == {1}
     assert vectors.density_clusters is density.density_clusters
+
+
+def test_visits_grow_with_the_rows(spark, monkeypatch):
+    """Points without structure visit the cells around them, not all; copies are one site."""
+    monkeypatch.setattr(density, "BLOCK_ROWS", 100)
+    visits, real = [], density.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        if "far" in out.columns:
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(density, "cut_lineage", counted)
+    draw = np.random.default_rng(3)
+    for n in (1000, 4000):
+        assert density.neighbours(table(spark, draw.uniform(0, 1, (n, 2))), 3).count() == 3 * n
+    assert visits[0] < 4 * 1000 and visits[1] < 4 * 4000  # of 20 and 80 cells
+    copies = density.neighbours(table(spark, [[1.0, 2.0]] * 3000 + [[3.0, 4.0]]), 3)
+    assert sorted({r["other"] for r in copies.where("vec_id < 3000").collect()}) == [0, 1, 2, 3] and visits[2] <= 3
+
+
+def test_sizes_go_through_the_levels_together(spark):
+    points = table(spark, planted(300, 4)[0])
+    forest = density.spanning_forest(density.reachability(density.neighbours(points, 6)))
+    both = density.condensed_at(points, forest, {"a": 40, "b": 8})
+    for out, size in (("a", 40), ("b", 8)):
+        alone = density.condensed_clusters(points, forest, size, out=out)
+        assert (labels_of(both, 300, out) == labels_of(alone, 300, out)).all()
+    assert len(set(labels_of(both, 300, "b"))) > len(set(labels_of(both, 300, "a"))) > 2
+
+
+def test_the_norm_is_summed_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "i int, v array<double>").repartition(1)
+    unit = rows.select("i", vectors.unit(F.col("v")).alias("u"))
+    assert sorted((r["i"], r["u"]) for r in unit.collect()) == [(1, [0.6, 0.8]), (2, [0.0, 0.0]), (3, None)]
+    long = spark.range(2000).repartition(1).select(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: x.cast("double")).alias("v"))
+    began = time.time()
+    assert round(long.select(F.sum(F.get(vectors.unit(F.col("v")), F.lit(0)))).first()[0], 3) > 0
+    assert time.time() - began < 30  # 8 billion products before

@@ -1,7 +1,7 @@
 """Density clusters of points: neighbour graph, mutual reachability, spanning forest, condensed tree, excess of mass.
 
-Every step is a Spark job over tables of rows, edges or components; the driver sees at most ``PIVOTS`` points,
-their cell counts and radii, and one weight a level of the tree.
+Every step is a Spark job over tables of rows, edges or components; the driver sees a bounded sample of the points,
+one box a cell, and one weight a level of the tree.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from tieline.operators.network import components
 from tieline.operators.ordering import top_per_key
 from tieline.session import cut_lineage
 
-# Cells of space, each around a sampled point; a cell of more rows than BLOCK_ROWS is several blocks.
-PIVOTS, BLOCK_ROWS = 256, 4096
+# Cells of space have about half of BLOCK_ROWS points, until there are MOST_CELLS; a task meets about BLOCK_ROWS visitors of a cell at once.
+BLOCK_ROWS, MOST_CELLS = 4096, 2048
 # Up to so many edges are united on the driver, more by rounds over tables; the components are the same.
 FEW_EDGES = 20_000
 # Distances held at once inside a task.
-PRODUCT_CELLS = 2_000_000
+PRODUCT_CELLS = 400_000
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -30,83 +30,153 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _distances(a: np.ndarray, b: np.ndarray):
-    """(first row, block of distances) of the rows of ``a`` to those of ``b``, from differences so that equal points are 0 apart."""
-    step = max(1, PRODUCT_CELLS // max(1, b.size))
+def _squares(a: np.ndarray, b: np.ndarray):
+    """(first row, block of squared distances) of the rows of ``a`` to those of ``b``, from differences so that equal points are 0 apart."""
+    step = max(1, PRODUCT_CELLS // max(1, len(b)))
     for lo in range(0, len(a), step):
-        yield lo, np.sqrt(((a[lo : lo + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+        rows = a[lo : lo + step]
+        total = np.zeros((len(rows), len(b)))
+        for x, y in zip(rows.T, b.T, strict=True):
+            total += (x[:, None] - y) ** 2
+        yield lo, total
 
 
-def _in_cells(points: DataFrame, item: str, vec: str) -> tuple[DataFrame, np.ndarray]:
-    """(item, v, cell, away, part) and the pivots: each point in the cell of its nearest pivot, large cells in parts."""
-    n = points.count()
-    wanted = min(PIVOTS, -(-n // (BLOCK_ROWS // 2)))
-    pivots = np.array([r["v"] for r in points.select(F.col(vec).cast("array<double>").alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(wanted).collect()])
-    kind = points.schema[item].dataType
+def _cuts(sample: np.ndarray, cells: int, least: int) -> list[tuple]:
+    """A k-d tree over the sample as rows (dimension, cut, left, right), or (−1, 0, cell, 0) for a cell.
+
+    Every cell holds at least ``least`` of the sampled rows, so tied coordinates may leave fewer cells than asked for.
+    """
+    tree, found = [], 0
+    todo = [(sample, cells, None)]
+    while todo:
+        rows, wanted, at = todo.pop()
+        if at is not None:
+            tree[at[0]][at[1]] = len(tree)
+        split = None
+        for dim in np.argsort(-np.ptp(rows, axis=0)) if wanted > 1 and len(rows) >= 2 * least else []:
+            line = np.sort(rows[:, dim])
+            edges = np.flatnonzero(line[1:] > line[:-1]) + 1
+            edges = edges[(edges >= least) & (edges <= len(line) - least)]
+            if len(edges):
+                split = int(dim), float(line[edges[np.abs(edges - len(line) // 2).argmin()]])
+                break
+        if split is None:
+            tree.append([-1, 0.0, found, 0])
+            found += 1
+            continue
+        low = rows[:, split[0]] < split[1]
+        todo += [(rows[~low], wanted - wanted // 2, (len(tree), 3)), (rows[low], wanted // 2, (len(tree), 2))]
+        tree.append([*split, 0, 0])
+    return [tuple(row) for row in tree]
+
+
+def _cell_of(rows: np.ndarray, tree: list[tuple]) -> np.ndarray:
+    cell, todo = np.zeros(len(rows), np.int32), [(0, np.arange(len(rows)))]
+    while todo:
+        at, which = todo.pop()
+        dim, cut, left, right = tree[at]
+        if dim < 0:
+            cell[which] = left
+        elif len(which):
+            low = rows[which, dim] < cut
+            todo += [(left, which[low]), (right, which[~low])]
+    return cell
+
+
+def _in_cells(sites: DataFrame, k: int) -> DataFrame:
+    """``sites`` (v, …) and the cell of each, by a tree over a bounded sample of them."""
+    n = sites.count()
+    cells = min(MOST_CELLS, -(-n // (BLOCK_ROWS // 2)))
+    share = min(1.0, cells * 4 * (k + 1) / n)
+    sample = sites.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()
+    tree = _cuts(_matrix(sample["v"]), cells, k + 1) if sample.num_rows else [(-1, 0.0, 0, 0)]
+    schema = T.StructType([*sites.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def assign(batches):
         for batch in batches:
-            rows = _matrix(batch.column(1))
-            cell, away = np.zeros(len(rows), np.int32), np.zeros(len(rows))
-            for lo, d in _distances(rows, pivots):
-                cell[lo : lo + len(d)], away[lo : lo + len(d)] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(away)], names=[item, "v", "cell", "away"])
+            if batch.num_rows:
+                yield batch.append_column("cell", pa.array(_cell_of(_matrix(batch.column("v")), tree)))
 
-    schema = T.StructType([T.StructField(item, kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
-    placed = cut_lineage(points.select(item, F.col(vec).cast("array<double>").alias("v")).mapInArrow(assign, schema))
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    # One row a cell: at most PIVOTS rows.
-    placed = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
-    return cut_lineage(placed), pivots
+    return cut_lineage(sites.mapInArrow(assign, schema))
 
 
-def neighbours(points: DataFrame, k: int, item: str = "vec_id", vec: str = "point") -> DataFrame:
-    """(item, other, distance): the ``k`` nearest other points of each point, exactly; ties go to the smaller id.
+def _near_sites(sites: DataFrame, k: int) -> DataFrame:
+    """(site, other, distance): the ``k`` + 1 nearest of ``sites`` (site, v, n) to each, itself included; ties go to the smaller site.
 
-    A block first searches itself, which bounds how far its points need to look; it then meets the blocks of all cells
-    within that bound (triangle inequality over pivots and radii).  Clustered points meet a few blocks each; points without
-    structure meet all, which is quadratic in the number of blocks.  Item ids are unique; null vectors take no part.
+    A site first searches its own cell, which bounds how far it needs to look, and then visits the cells whose boxes lie within
+    that bound.  Cells keep their size as rows grow, so a site meets a number of cells that depends on how the points lie, not on the rows.
     """
-    points = points.where(F.col(vec).isNotNull() & F.col(item).isNotNull())
-    kind = points.schema[item].dataType
-    schema = T.StructType([T.StructField(item, kind), T.StructField("other", kind), T.StructField("distance", T.DoubleType())])
-    if points.isEmpty():
-        return points.sparkSession.createDataFrame([], schema)
-    placed, pivots = _in_cells(points, item, vec)
-
-    def reach(block: pa.Table) -> pa.Table:
-        rows, far = _matrix(block["v"]), 0.0
-        for _, d in _distances(rows, rows):
-            far = max(far, float(np.partition(d, k, axis=1)[:, k].max()) if len(rows) > k else np.inf)
-        return pa.table({"cell": block["cell"][:1], "reach": [far]})
-
-    bound = placed.groupBy("cell", "part").applyInArrow(reach, "cell int, reach double").groupBy("cell").agg(F.max("reach").alias("reach"))
-    cells = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.max("parts").alias("parts")).join(bound, "cell").collect()
-    at = {r["cell"]: r for r in cells}
-    near = lambda i, j: np.linalg.norm(pivots[i] - pivots[j]) - at[i]["radius"] - at[j]["radius"] <= at[i]["reach"] * (1 + 1e-9)
-    pairs = [(i, j, at[i]["parts"], at[j]["parts"]) for i in at for j in at if near(i, j)]
-    wanted = F.broadcast(points.sparkSession.createDataFrame(pairs, "i int, j int, i_parts int, j_parts int"))  # at most PIVOTS² rows
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = placed.select(item, "v", F.col("cell").alias("i"), F.col("part").alias("ip")).join(wanted, "i").select(item, "v", "i", "ip", "j", each("j_parts").alias("jp"))
-    right = placed.select(F.col(item).alias("other"), "v", F.col("cell").alias("j"), F.col("part").alias("jp")).join(wanted, "j")
-    right = right.select("other", "v", "j", "jp", "i", each("i_parts").alias("ip"))
+    kind = sites.schema["site"].dataType
+    placed = _in_cells(sites, k)
+    width = F.size("v")
+    dims = placed.select(width).first()[0]
+    edge = lambda f: F.array(*[f(F.get("v", F.lit(i))) for i in range(dims)])
+    boxes = placed.groupBy("cell").agg(edge(F.min).alias("lo"), edge(F.max).alias("hi")).orderBy("cell").toArrow()  # one row a cell
+    cells, lows, highs = boxes["cell"].to_numpy(), _matrix(boxes["lo"]), _matrix(boxes["hi"])
+
+    def route(block: pa.Table) -> pa.Table:
+        rows, far = _matrix(block["v"]), np.full(block.num_rows, np.inf)
+        if len(rows) > k:
+            for lo, d in _squares(rows, rows):
+                far[lo : lo + len(d)] = np.partition(d, k, axis=1)[:, k]
+        far[block["n"].to_numpy() > k] = 0.0
+        far *= 1 + 1e-12
+        gap = np.maximum(0, np.maximum(lows - rows.max(axis=0), rows.min(axis=0) - highs))
+        around = np.flatnonzero((gap**2).sum(axis=1) <= far.max() * (1 + 1e-9))
+        out = []
+        for c in around:
+            away = (np.maximum(0, np.maximum(lows[c] - rows, rows - highs[c])) ** 2).sum(axis=1)
+            went = pa.array(np.flatnonzero(away <= far * (1 + 1e-9)))
+            part = block.select(["site", "v"]).take(went).append_column("far", pa.array(far).take(went))
+            out.append(part.append_column("to", pa.array(np.full(len(went), cells[c], np.int32))))
+        return pa.concat_tables(out)
+
+    visit = T.StructType([T.StructField("site", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("far", T.DoubleType()), T.StructField("to", T.IntegerType())])
+    visits = cut_lineage(placed.groupBy("cell").applyInArrow(route, visit))
+    parts = cut_lineage(visits.groupBy("to").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")))  # one row a cell
+    left = visits.join(F.broadcast(parts), "to").select("site", "v", "far", "to", F.pmod(F.xxhash64("site"), F.col("parts")).cast("int").alias("part"))
+    right = placed.select(F.col("site").alias("other"), "v", F.col("cell").alias("to")).join(F.broadcast(parts), "to")
+    right = right.select("other", "v", "to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = right.toDF(*right.columns)  # columns of its own: both sides come from the same tables
-    keys = ["i", "ip", "j", "jp"]
+    schema = T.StructType([T.StructField("site", kind), T.StructField("other", kind), T.StructField("distance", T.DoubleType())])
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = [pa.table({item: a[item][:0], "other": b["other"][:0], "distance": pa.array([], pa.float64())})]
-        ids, others = a[item].combine_chunks(), b["other"].combine_chunks()
+        found = [pa.table({"site": a["site"][:0], "other": b["other"][:0], "distance": pa.array([], pa.float64())})]
+        ids, others = a["site"].combine_chunks(), b["other"].combine_chunks()
         if len(ids) and len(others):
             order = np.array(pc.sort_indices(others))
-            others, rows = others.take(pa.array(order)), _matrix(b["v"])[order]
-            for lo, d in _distances(_matrix(a["v"]), rows):
-                take = min(k + 1, d.shape[1])
-                best = np.argsort(d, axis=1, kind="stable")[:, :take]
-                p = np.repeat(np.arange(lo, lo + len(d)), take)
-                found.append(pa.table({item: ids.take(pa.array(p)), "other": others.take(pa.array(best.ravel())), "distance": np.take_along_axis(d, best, 1).ravel()}))
+            others, rows, far = others.take(pa.array(order)), _matrix(b["v"])[order], a["far"].to_numpy()
+            for lo, d in _squares(_matrix(a["v"]), rows):
+                p, q = np.nonzero(d <= far[lo : lo + len(d), None])
+                away = np.sqrt(d[p, q])
+                best = np.lexsort((q, away, p))
+                starts = np.searchsorted(p, np.arange(len(d)))  # p rises, before and after the sort
+                best = best[np.arange(len(best)) - starts[p] <= k]
+                found.append(pa.table({"site": ids.take(pa.array(lo + p[best])), "other": others.take(pa.array(q[best])), "distance": away[best]}))
         return pa.concat_tables(found)
 
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema).where(F.col(item) != F.col("other"))
+    met = left.groupBy("to", "part").cogroup(right.groupBy("to", "part")).applyInArrow(search, schema)
+    return top_per_key(met, ["site"], [F.col("distance"), F.col("other")], k + 1).select("site", "other", "distance")
+
+
+def neighbours(points: DataFrame, k: int, item: str = "vec_id", vec: str = "point") -> DataFrame:
+    """(item, other, distance): the ``k`` nearest other points of each point, exactly; ties go to the smaller id.
+
+    Equal points are one site, of which only the ``k`` + 1 smallest ids can be among anyone's neighbours: copies cost rows, not pairs.
+    Sites find their nearest by cells; see :func:`_near_sites`.  Item ids are unique; null vectors take no part.
+    """
+    points = points.where(F.col(vec).isNotNull() & F.col(item).isNotNull()).select(item, F.col(vec).cast("array<double>").alias("v"))
+    kind = points.schema[item].dataType
+    if points.isEmpty():
+        schema = T.StructType([T.StructField(item, kind), T.StructField("other", kind), T.StructField("distance", T.DoubleType())])
+        return points.sparkSession.createDataFrame([], schema)
+    first = top_per_key(points, ["v"], [F.col(item)], k + 1)
+    sites = cut_lineage(first.groupBy("v").agg(F.min(item).alias("site"), F.collect_list(item).alias("ids"), F.count("*").alias("n")))
+    near = _near_sites(sites.select("site", "v", "n"), k)
+    ids = sites.select(F.col("site").alias("other"), F.explode("ids").alias("_id"))
+    near = near.join(ids, "other").select("site", F.col("_id").alias("other"), "distance")
+    members = points.join(sites.select("v", "site"), "v").select(item, "site")
+    met = members.join(near, "site").where(F.col(item) != F.col("other"))
     return top_per_key(met, [item], [F.col("distance"), F.col("other")], k).select(item, "other", "distance")
 
 
@@ -189,65 +259,80 @@ def levels_of(forest: DataFrame, even: int = 6) -> list[float]:
 
 
 def condensed_clusters(items: DataFrame, forest: DataFrame, min_size: int, item: str = "vec_id", out: str = "cluster") -> DataFrame:
-    """(item, out): clusters of at least ``min_size`` points chosen by excess of mass, numbered from the largest; −1 is noise.
+    """(item, out): clusters of at least ``min_size`` points; see :func:`condensed_at`."""
+    return condensed_at(items, forest, {out: min_size}, item)
+
 
-    Levels of rising weight unite components.  A component becomes a cluster when it reaches ``min_size``; smaller ones that
+def condensed_at(items: DataFrame, forest: DataFrame, sizes: dict[str, int], item: str = "vec_id") -> DataFrame:
+    """(item, …): a column for each of ``sizes`` with clusters of at least so many points chosen by excess of mass, numbered from the largest; −1 is noise.
+
+    Levels of rising weight unite components.  A component becomes a cluster when it reaches its size; smaller ones that
     join later fall to it; where two clusters meet, both end and a parent begins.  A cluster's mass is the sum over its points of 1 / w
     at which they came less 1 / w at which it ended.  The chosen clusters are those with at least the mass of the best choice below them,
     the topmost on each branch; the root of a connected forest is not one.  Weights count by level.  Points that no edge touches are noise.
+
+    All sizes go through the levels together.  A component has the name of its smallest point, so each name ends once: in a cluster, or in
+    a smaller name.  That is logged, and points are looked up at the end.
     """
     ids = items.select(F.col(item).alias("comp")).distinct()
-    comps = cut_lineage(ids.select("comp", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("born_at")))
-    points = cut_lineage(ids.select(F.col("comp").alias("item"), "comp"))
+    grains = F.explode(F.array(*[F.struct(F.lit(out).alias("grain"), F.lit(n).cast("bigint").alias("need")) for out, n in sizes.items()])).alias("g")
+    comps = ids.select("comp", grains).select("g.*", "comp", F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("string").alias("cluster"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("born_at"))
+    comps = cut_lineage(comps)
     cuts = levels_of(forest)
     least = next((w for w in cuts if w > 0), 1.0)
     level = reduce(lambda c, i: F.when(F.col("w") <= cuts[i], i).otherwise(c), reversed(range(len(cuts) - 1)), F.lit(len(cuts) - 1)) if cuts else F.lit(0)
     edges = cut_lineage(forest.select(F.col("u").alias("cu"), F.col("v").alias("cv"), level.alias("level")))
-    joined, closed = [], []
+    logs = []
 
     def ending(rows: DataFrame, rate: float) -> DataFrame:
         own = F.col("mass") - F.col("size") * rate
         return rows.withColumn("own", own).withColumn("best", F.greatest("own", "below")).withColumn("taken", F.col("own") >= F.col("below"))
 
+    big = F.col("cluster").isNotNull()
     for i, weight in enumerate(cuts):
         rate = 1 / max(weight, least)
-        now = edges.where(F.col("level") == i)
-        moved = _united(now)
+        moved = _united(edges.where(F.col("level") == i))
         parts = ending(comps.drop("n").join(moved, F.col("comp") == F.col("node")).drop("node"), rate)
-        big = F.col("cluster").isNotNull()
-        met = parts.groupBy("component").agg(
+        met = parts.groupBy("grain", "need", "component").agg(
             F.sum("size").alias("size"), F.count_if(big).alias("n"), F.max("cluster").alias("cluster"), F.coalesce(F.sum(F.when(~big, F.col("size"))), F.lit(0)).alias("small"),
             F.sum("mass").alias("mass"), F.sum("below").alias("below"), F.coalesce(F.sum(F.when(big, F.col("best"))), F.lit(0.0)).alias("best"),
         )
-        born = (F.col("n") != 1) & (F.col("size") >= min_size)
+        born = (F.col("n") != 1) & (F.col("size") >= F.col("need"))
         named = F.when(born, F.concat(F.lit(f"{i}:"), F.col("component").cast("string"))).otherwise(F.col("cluster"))
         mass = F.when(born, F.col("size") * rate).when(F.col("n") == 1, F.col("mass") + F.col("small") * rate).otherwise(0.0)
         below = F.when(F.col("n") > 1, F.col("best")).when(F.col("n") == 1, F.col("below")).otherwise(0.0)
-        met = met.select(F.col("component").alias("comp"), "size", named.alias("cluster"), mass.alias("mass"), below.alias("below"), "n", F.lit(i).alias("born_at"))
+        met = met.select("grain", "need", F.col("component").alias("comp"), "size", named.alias("cluster"), mass.alias("mass"), below.alias("below"), "n", F.lit(i).alias("born_at"))
         comps = cut_lineage(comps.join(moved, F.col("comp") == F.col("node"), "left_anti").unionByName(met))
-        up = comps.where(F.col("born_at") == i).select(F.col("comp").alias("component"), F.col("cluster").alias("parent"), "n")
-        closed.append(parts.where(big).join(up.where("n > 1"), "component").select("cluster", "parent", "taken"))
-        into = parts.where(~big).join(up, "component").select("comp", F.col("component").alias("to"), F.col("parent").alias("_cluster"))
-        points = cut_lineage(points.join(into, "comp", "left").select("item", F.coalesce("to", "comp").alias("comp"), F.col("_cluster").alias("cluster")))
-        joined.append(points.where("cluster is not null").select("item", "cluster"))
-        points = points.where("cluster is null").select("item", "comp")
-        edges = cut_lineage(_renamed(edges.where(F.col("level") > i), moved))
-
-    if not joined:
-        return items.select(item, F.lit(-1).alias(out))
-    last = cut_lineage(ending(comps.where("cluster is not null"), 0.0))
-    several = last.count() > 1
-    closed.append(last.select("cluster", F.lit(None).cast("string").alias("parent"), (F.col("taken") & F.lit(several)).alias("taken")))
-    # Pointer jumping: each cluster looks twice as far up every round; the topmost taken one on its way counts.
-    way = cut_lineage(reduce(DataFrame.unionByName, closed).select("cluster", F.when(F.col("taken"), F.col("cluster")).alias("top"), F.col("parent").alias("up")))
+        up = comps.where(F.col("born_at") == i).select("grain", F.col("comp").alias("component"), F.col("cluster").alias("parent"), "n")
+        ends = (big & (F.col("n") > 1)) | (~big & (F.col("parent").isNotNull() | (F.col("comp") != F.col("component"))))
+        logs.append(cut_lineage(parts.join(up, ["grain", "component"]).where(ends).select("grain", "comp", F.col("component").alias("to"), "cluster", "parent", "taken")))
+        if i + 1 < len(cuts):
+            edges = cut_lineage(_renamed(edges.where(F.col("level") > i), moved))
+
+    if not logs:
+        return items.select(item, *[F.lit(-1).alias(out) for out in sizes])
+    log = cut_lineage(reduce(DataFrame.unionByName, logs))
+    # Pointer jumping, for names as for clusters: each looks twice as far every round.
+    ended = cut_lineage(log.where(~big).select("grain", "comp", "to", F.col("parent").alias("cluster")))
+    while not ended.where("cluster is null and to is not null").isEmpty():
+        ahead = ended.select("grain", F.col("comp").alias("to"), F.col("to").alias("_to"), F.col("cluster").alias("_cluster"))
+        onward = ended.where("cluster is null and to is not null").join(ahead, ["grain", "to"], "left").select("grain", "comp", F.col("_to").alias("to"), F.col("_cluster").alias("cluster"))
+        ended = cut_lineage(ended.where("cluster is not null").unionByName(onward))
+    last = cut_lineage(ending(comps.where(big), 0.0))
+    roots = last.groupBy("grain").agg((F.count("*") > 1).alias("several"))  # one row a size
+    last = last.join(F.broadcast(roots), "grain").select("grain", "cluster", F.lit(None).cast("string").alias("parent"), (F.col("taken") & F.col("several")).alias("taken"))
+    closed = log.where(big).select("grain", "cluster", "parent", "taken").unionByName(last)
+    way = cut_lineage(closed.select("grain", "cluster", F.when(F.col("taken"), F.col("cluster")).alias("top"), F.col("parent").alias("up")))
     while not way.where("up is not null").isEmpty():
-        above = way.select(F.col("cluster").alias("up"), F.col("top").alias("_top"), F.col("up").alias("_up"))
-        way = cut_lineage(way.join(above, "up", "left").select("cluster", F.coalesce("_top", "top").alias("top"), F.col("_up").alias("up")))
-    labels = cut_lineage(reduce(DataFrame.unionByName, joined).join(way.where("top is not null"), "cluster").select(F.col("item").alias(item), "top"))
-    sizes = labels.groupBy("top").agg(F.count("*").alias("n"), F.min(item).alias("first"))
-    # One row a cluster, each of at least min_size points.
-    numbered = sizes.select("top", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias(out))
-    return items.select(item).join(labels.join(numbered, "top").select(item, out), item, "left").select(item, F.coalesce(out, F.lit(-1)).alias(out))
+        above = way.select("grain", F.col("cluster").alias("up"), F.col("top").alias("_top"), F.col("up").alias("_up"))
+        way = cut_lineage(way.join(above, ["grain", "up"], "left").select("grain", "cluster", F.coalesce("_top", "top").alias("top"), F.col("_up").alias("up")))
+    labels = cut_lineage(ended.where("cluster is not null").join(way.where("top is not null"), ["grain", "cluster"]).select("grain", F.col("comp").alias(item), "top"))
+    counts = labels.groupBy("grain", "top").agg(F.count("*").alias("n"), F.min(item).alias("first"))
+    # One row a cluster, each of at least its size.
+    numbered = counts.select("grain", "top", (F.row_number().over(Window.partitionBy("grain").orderBy(F.desc("n"), "first")) - 1).alias("_number"))
+    label = lambda out: F.max(F.when(F.col("grain") == out, F.col("_number"))).alias(out)
+    wide = labels.join(numbered, ["grain", "top"]).groupBy(item).agg(*[label(out) for out in sizes])
+    return items.select(item).join(wide, item, "left").select(item, *[F.coalesce(out, F.lit(-1)).alias(out) for out in sizes])
 
 
 def density_clusters(points: DataFrame, min_size: int, near: int | None = None, item: str = "vec_id", out: str = "cluster") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tieline.operators.density import density_clusters
 from tieline.operators.ordering import top_per_key
+from tieline.session import cut_lineage
 
 # Largest matrix that one task holds (numbers of 8 bytes: 32 MB).  A query or centroid set up to this size is
 # sent to every task; a larger one stays a table and meets the items block by block.
@@ -34,8 +35,9 @@ def cosine(a: Column, b: Column, floor: float = 0.0) -> Column:
 
 
 def unit(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    # The norm is bound once: inside the lambda over ``v`` it would be summed anew for every component.
+    scaled = lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), scaled), F.lit(0))
 
 
 def truncated(v: Column, dims: int) -> Column:
@@ -201,7 +203,7 @@ def representatives(items: DataFrame, k: int = 5, item: str = "vec_id", vec: str
 
 def reduce_dimensions(items: DataFrame, k: int = 5, item: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(item, point): principal components of the unit vectors."""
-    data = items.select(item, array_to_vector(unit(F.col(vec))).alias("_v"))
+    data = cut_lineage(items.select(item, unit(F.col(vec)).alias("_u"))).select(item, array_to_vector("_u").alias("_v"))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(data)
     return model.transform(data).select(item, vector_to_array("_p").alias("point"))
 

@@ -95,11 +95,9 @@ def _(t):
 @query("density_clusters", "J2 J3")
 def _(t):
     p = cut_lineage(vectors.reduce_dimensions(t.embeddings))
-    # Both granularities read one forest.
+    # Both granularities read one forest, and its levels once.
     forest = density.spanning_forest(density.reachability(density.neighbours(p, 10)))
-    a = density.condensed_clusters(p, forest, 50, out="project")
-    b = density.condensed_clusters(p, forest, 10, out="topic")
-    return vectors.label_table(a.join(b, "vec_id"), "vec_id", "project", "topic")
+    return vectors.label_table(density.condensed_at(p, forest, {"project": 50, "topic": 10}), "vec_id", "project", "topic")
 
 
 @query("cluster_label_table", "J3 H38", """
