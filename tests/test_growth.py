@@ -1,6 +1,7 @@
 """Queries and operators on tables that the given small ones do not resemble."""
 
 import hashlib
+import random
 import time
 
 import duckdb
@@ -145,3 +146,16 @@ def test_components_of_chains(spark):
     strong = {r["node"]: r["component"] for r in network.strong_components(edges).collect()}
     assert weak == {f"n{i:02d}": "n00" for i in range(13)} | {"x": "x", "y": "y", "z": "y"}
     assert strong == {n: "n04" if n in ("n05", "n06") else n for n in weak}
+
+
+def test_triangles_come_from_lists(spark):
+    draw = random.Random(4)
+    pairs = {(draw.randrange(30), draw.randrange(30)) for _ in range(200)} | {(0, i) for i in range(30)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 2) for a, b in pairs] + [("n1", "n1", 1), ("x", "y", 1), (None, "y", 1)], "src string, dst string, weight int")
+    ends = {}
+    for a, b in [*((f"n{a}", f"n{b}") for a, b in pairs if a != b), ("x", "y")]:
+        ends.setdefault(a, set()).add(b)
+        ends.setdefault(b, set()).add(a)
+    got = network.triangles(edges)
+    assert "array_intersect" in plan_of(got) and got.dtypes == [("node", "string"), ("degree", "bigint"), ("triangles", "bigint")]
+    assert rows_of(got) == sorted((v, len(n), sum(len(n & ends[w]) for w in n) // 2) for v, n in ends.items())
