@@ -159,3 +159,34 @@ def test_triangles_come_from_lists(spark):
     got = network.triangles(edges)
     assert "array_intersect" in plan_of(got) and got.dtypes == [("node", "string"), ("degree", "bigint"), ("triangles", "bigint")]
     assert rows_of(got) == sorted((v, len(n), sum(len(n & ends[w]) for w in n) // 2) for v, n in ends.items())
+
+
+def test_ranks_move_links_as_lists(spark, monkeypatch):
+    draw = random.Random(6)
+    pairs = {(draw.randrange(20), draw.randrange(40)) for _ in range(150)} | {(0, i) for i in range(1, 40)}
+    edges = [(f"n{a}", f"n{b}", draw.randrange(1, 5)) for a, b in sorted(pairs)]
+    names, out = sorted({x for a, b, _ in edges for x in (a, b)}), {}
+    for a, _, w in edges:
+        out[a] = out.get(a, 0) + w
+    want = {v: 1 / len(names) for v in names}
+    for _ in range(5):
+        sunk = sum(r for v, r in want.items() if v not in out)
+        flow = dict.fromkeys(names, 0.0)
+        for a, b, w in edges:
+            flow[b] += want[a] * w / out[a]
+        want = {v: 0.85 * flow[v] + (0.15 + 0.85 * sunk) / len(names) for v in names}
+    lists, real = [], network.cut_lineage
+
+    def seen(df):
+        done = real(df)
+        if "ids" in done.columns:
+            lists.append([len(r["ids"]) for r in done.select("ids").collect()])
+        return done
+
+    monkeypatch.setattr(network, "cut_lineage", seen)
+    table = spark.createDataFrame(edges, "src string, dst string, weight bigint")
+    for limit in (network.LINKS_A_ROW, 8):
+        monkeypatch.setattr(network, "LINKS_A_ROW", limit)
+        got = dict(network.pagerank(table, tol=0, max_iter=5).collect())
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    assert [sum(x) for x in lists] == [len(edges)] * 2 and len(lists[0]) == len(out) < len(lists[1])
