@@ -80,3 +80,22 @@ def test_neighbourhoods_move_slices_not_a_sketch_a_link(spark, monkeypatch):
     want = [90 + sum(d <= t for d in far.values()) for t in range(len(cut))]
     assert cut[:2] == want[:2] and all(abs(a - b) < 0.15 * b for a, b in zip(cut, want, strict=True))
     assert len(dropped) == len(cut) + 1  # every round's state
+
+
+def test_neighbourhoods_keep_the_slices_of_one_pass_on_disk(spark, monkeypatch):
+    pairs = [(0, i) for i in range(1, 40)] + [(39, 40)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src int, dst int, weight int")
+    links = network.both_ways(network.undirected(edges))
+    whole = reach.neighbourhoods(links, lg_registers=6)
+    held, real = [], reach.cut_lineage
+
+    def cut(df):
+        out = real(df)
+        if "regs" in out.columns:
+            held.append(out.select("part").distinct().count())
+        return out
+
+    monkeypatch.setattr(reach, "cut_lineage", cut)
+    monkeypatch.setattr(reach, "PASS_BYTES", 8 * (41 * 4 + 80 * 4), raising=False)  # of 16 slices
+    assert reach.neighbourhoods(links, lg_registers=6) == whole
+    assert max(held) <= 8 and len(whole) == 4 and whole[:2] == [41, 41 + 80]
