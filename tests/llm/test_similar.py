@@ -80,3 +80,28 @@ def test_rarest_shingles_meet_for_every_similar_pair(spark):
                 met += 1
                 assert at[i] & at[j]
     assert met > 10
+
+
+def test_a_pair_without_a_common_key_is_linked(spark):
+    """Two texts of nine runs, eight of them shared: a similarity of 0.8, but none of the 32 keys in common."""
+    words = [f"{a}465298" for a in "abcdefghijklm"]
+    one, two = (" ".join([*words[:12], last]) for last in (words[12], "z465298"))
+    grams = [simhash.shingle_set(t.encode(), 5) for t in (one, two)]
+    assert not set(simhash.band_keys(grams[0])) & set(simhash.band_keys(grams[1]))
+    assert len(np.intersect1d(*grams)) == 8 and len(np.union1d(*grams)) == 10
+    rows = [(1, one), (2, two), *((i, " ".join(f"v{i}x{j}" for j in range(40))) for i in range(3, 9))]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4, 5, 6, 7, 8]
+
+
+def test_similar_sets_share_their_first_shingles():
+    draws = np.random.default_rng(3)
+    for n in (1, 4, 9, 40, 160, 900):
+        for _ in range(40):
+            gone, new = draws.integers(0, n // 9 + 1, 2)
+            one = np.unique(draws.integers(0, 1 << 62, n).astype(np.uint64))
+            two = np.unique(np.r_[one[gone:] if draws.random() < 0.5 else draws.permutation(one)[gone:], draws.integers(0, 1 << (62 if draws.random() < 0.5 else 50), new).astype(np.uint64)])
+            both = len(np.intersect1d(one, two))
+            if 100 * both >= 80 * len(np.union1d(one, two)):
+                early = np.intersect1d(simhash.first_shingles(one, 80), simhash.first_shingles(two, 80))
+                assert len(early) >= min(simhash._FIRST, -(-len(one) * 80 // 100), -(-len(two) * 80 // 100))

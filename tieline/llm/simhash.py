@@ -179,18 +179,31 @@ def band_keys(grams: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), n) - (1 << 63) for n, row in enumerate(least.reshape(_BANDS, _ROWS))]
 
 
-def _set_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, content, node, n, keys): ``node`` is a hash of the shingle set, ``n`` its size."""
+#: Shingles that two similar sets share, at least, among the first of both (all that they share, if fewer).
+_FIRST = 32
+
+
+def first_shingles(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest hashes of a set: those of two sets that share ``percent`` hundredths of their union have ``_FIRST`` in common.
+
+    At most n - ceil(n * percent / 100) of a set's n shingles are not shared, so the ``_FIRST``-th shared one lies this early in both.
+    """
+    return grams[: len(grams) - -(-len(grams) * percent // 100) + _FIRST]
+
+
+def _set_prints(docs: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
+    """(doc_id, content, node, n, keys, early): ``node`` is a hash of the shingle set, ``n`` its size, ``early`` its first shingles."""
 
     def batches(it):
         for batch in it:
             sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
             out = [pa.array([xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63) for g in sets], pa.int64()), pa.array(map(len, sets), pa.int64())]
             out.append(pa.array(map(band_keys, sets), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["doc_id", "content", "node", "n", "keys"])
+            out.append(pa.array([first_shingles(g, percent).view(np.int64) for g in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["doc_id", "content", "node", "n", "keys", "early"])
 
     rows = doc_texts(docs, as_bytes=True).select("doc_id", F.xxhash64("text").alias("content"), "text")
-    return rows.mapInArrow(batches, "doc_id bigint, content bigint, node bigint, n bigint, keys array<bigint>")
+    return rows.mapInArrow(batches, "doc_id bigint, content bigint, node bigint, n bigint, keys array<bigint>, early array<bigint>")
 
 
 def _shingle_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -252,11 +265,19 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return lists.select("node", "n", "alone", F.posexplode("grams").alias("i", "g")).select("g.gram", "node", "n", (F.col("alone") + F.col("i")).alias("at"))
 
 
-def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int = 80, heads: int = 8) -> DataFrame:
-    """(a, b): verified links that connect all ``nodes`` (node, first, n, keys) of similar shingle sets that share a key.
+def _met(runs: DataFrame, label: str) -> DataFrame:
+    """The rows of ``runs`` whose shingle (gram) stands under several values of ``label``."""
+    runs = runs.repartition("gram")  # moved once, for the groups and for the join
+    several = runs.groupBy("gram").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high")
+    return runs.join(several.select("gram"), "gram")
+
 
-    First each node is compared with the smallest node of each of its keys.  Nodes of keys that then still hold several
-    components go on by their rarest shingles, where every similar pair meets: in rounds each is compared with ``heads``
+def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int = 80, heads: int = 8, runs: DataFrame | None = None) -> DataFrame:
+    """(a, b): verified links that connect all ``nodes`` (node, first, n, keys) of similar shingle sets.
+
+    First each node is compared with the smallest node of each of its keys.  Where ``runs`` (gram, node) has the first shingles of
+    every node, the nodes that share enough of them with other components go on, and no similar pair is left out; without it those
+    of keys that still hold several components, and a similar pair without a common key is left out.  They go on by their rarest shingles, where every similar pair meets: in rounds each is compared with ``heads``
     nodes a shingle, a number of rows in proportion to the shingles, for as long as a round joins a hundredth of the nodes
     that are left.  All pairs that share such a shingle across the last components are compared at the end, so rounds
     change the work and not the components.  Pairs leave these joins only if sizes, places in the orders and bit sketches
@@ -267,16 +288,25 @@ def similar(docs: DataFrame, nodes: DataFrame, shingle: int = 5, percent: int =
     sizes = blocked.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     shared = cut_lineage(blocked.join(sizes.select("key", "head"), "key"))
     stars = shared.where((F.col("node") != F.col("head.node")) & sized(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct()
-    sets = _shingle_sets(shared, docs, nodes, shingle)
+    wanted, enough_met = shared.select("node"), F.col("met") >= F.least(F.lit(_FIRST), F.ceil(F.col("n") * percent / 100))
+    if runs is not None:
+        met = cut_lineage(_met(runs, "node"))
+        known = cut_lineage(met.groupBy("node").agg(F.count("*").alias("met")).join(nodes.select("node", "n"), "node").where(enough_met).select("node", "n"))
+        wanted = wanted.unionByName(known.select("node"))
+    sets = _shingle_sets(wanted, docs, nodes, shingle)
     links = _verified(cut_lineage(stars), sets, percent)
     root = connected(links).withColumnRenamed("node", "of")
-    shared = cut_lineage(shared.join(root, shared["node"] == root["of"], "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    rooted = lambda rows: rows.join(root, rows["node"] == root["of"], "left").withColumn("root", F.coalesce("root", "node")).drop("of")
 
     def mixed(rows: DataFrame, key: str) -> DataFrame:
         several = rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         return rows.join(several.select(key), key)
 
-    left = cut_lineage(mixed(shared, "key").select("node", "root").distinct())
+    if runs is None:
+        left = cut_lineage(mixed(cut_lineage(rooted(shared.select("key", "node"))), "key").select("node", "root").distinct())
+    else:
+        apart_met = _met(cut_lineage(rooted(met.join(known, "node"))), "root").groupBy("node", "n", "root").agg(F.count("*").alias("met"))
+        left = cut_lineage(apart_met.where(enough_met).select("node", "root"))
     open_ = cut_lineage(mixed(_prefixes(sets.join(left.select("node"), "node", "left_semi"), percent).join(left.join(sets.select("node", "bits"), "node"), "node"), "gram"))
     # Sets that meet at places i and j of their orders share at most the rest of either.
     needed = lambda p, q: F.ceil((p["n"] + q["n"]) * percent / (100 + percent))
@@ -315,20 +345,22 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
     """One document of each group, that with the smallest id, all its columns unchanged.
 
     Two documents are linked if the sets of their ``shingle``-word runs (lower case, split at white space) have a Jaccard
-    similarity of at least ``percent`` hundredths; each link is verified on the sets.  Candidates share a MinHash key.  A
-    text of fewer words is one run.  Null and empty texts form one group.  Of rows that repeat an id and its text one stays.
+    similarity of at least ``percent`` hundredths; each link is verified on the sets.  Candidates share a MinHash key or enough
+    of their first runs, where every similar pair meets.  A text of fewer words is one run.  Null and empty texts form one group.
+    Of rows that repeat an id and its text one stays.
     """
-    prints = cut_lineage(_set_prints(docs, shingle))
+    prints = _set_prints(docs, shingle, percent)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "content"))
-    nodes = cut_lineage(prints.groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    member = connected(similar(docs, nodes, shingle, percent)).withColumnRenamed("node", "of")
+    nodes = cut_lineage(prints.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "keys", "early")]))
+    runs = nodes.select(F.explode("early").alias("gram"), "node")
+    member = connected(similar(docs, nodes, shingle, percent, runs=runs)).withColumnRenamed("node", "of")
     labelled = nodes.select("node", "first").join(member, F.col("node") == F.col("of"), "left")
     roots = labelled.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     keep = cut_lineage(roots.select(F.col("first.doc_id").alias("id"), F.col("first.content").alias("content")).distinct())
     rows = with_whole_row(docs).select("row", F.col("row.doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("row.text", F.lit("")).cast("binary")).alias("content"))
     both = rows["id"].eqNullSafe(keep["id"]) & (rows["content"] == keep["content"])
     kept = rows.join(keep, both, "left_semi")
-    repeated = prints.groupBy("doc_id", "content").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = rows.groupBy("id", "content").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["id", "content"])
     return kept.select("row.*")
